@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import chat, decontaminate, media, pieces, quality
+from weirflow.llm import chat, decontaminate, jaccard, media, pieces, quality, repeats
 
 #: The tokenizer file that queries use; operators take the path as a parameter.
 PIECES_FILE = "piece_bpe_32k.model"
@@ -41,6 +41,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that also start elsewhere."""
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learnt from labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -49,6 +54,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(quality.remainder(), F.lit(-1)) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document."""
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
     return pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model_path())
@@ -58,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_media_columns": op2_media_columns,
     "op3_decontaminate": op3_decontaminate,
+    "op4_repeats": op4_repeats,
     "op6_quality": op6_quality,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_pieces": op10_pieces,
 }
 
