@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import dropped, ship, strings, text_of, words, written
+from weirflow.llm.common import dropped, raw_texts, ship, text_of, words, written
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SIZE, PERCENT = 5, 75
@@ -55,10 +55,10 @@ class Shingler:
         self._reset()
 
     def _reset(self) -> None:
-        self._ids: dict[str, int] = {}
+        self._ids: dict[bytes, int] = {}
         self._hashes = np.zeros(1 << 16, np.uint64)
 
-    def _of(self, tokens: list[str]) -> np.ndarray:
+    def _of(self, tokens: list[bytes]) -> np.ndarray:
         ids = self._ids
         if len(ids) > self._limit:
             self._reset()
@@ -70,11 +70,11 @@ class Shingler:
                 if t not in ids:
                     if len(ids) == len(self._hashes):
                         self._hashes = np.concatenate([self._hashes, np.zeros_like(self._hashes)])
-                    self._hashes[len(ids)] = self._digest(t.encode("utf-8", "surrogatepass"))
+                    self._hashes[len(ids)] = self._digest(t)
                     ids[t] = len(ids)
             return self._hashes[[ids[t] for t in tokens]]
 
-    def shingles(self, text: str) -> np.ndarray:
+    def shingles(self, text: bytes) -> np.ndarray:
         """The distinct shingle hashes, ascending (uint64)."""
         tokens = words(text)
         if not tokens:
@@ -121,7 +121,7 @@ def survey(docs: DataFrame, least: int = 4, share: float = 0.002, id_col: str =
         for batch in batches:
             for part in _slices(batch):
                 sizes, keys, sets = [], [], {}
-                for text in strings(part.column(1)):
+                for text in raw_texts(part.column(1)):
                     own = s.shingles(text)
                     k = s.key(own) if len(own) else None
                     sizes.append(len(own))
@@ -151,7 +151,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, id_col: str
         for batch in batches:
             for part in _slices(batch):
                 seen, tokens, keys = set(), [], []
-                for text in strings(part.column(0)):
+                for text in raw_texts(part.column(0)):
                     own = s.shingles(text)
                     n = len(own)
                     if not n or (k := s.key(own)) in seen:
@@ -183,7 +183,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, small: int =
         s = _shingler()
         for batch in batches:
             for part in _slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.shingles(t).tobytes() for t in strings(part.column(1))], pa.binary())], names=["key", "members"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.shingles(t).tobytes() for t in raw_texts(part.column(1))], pa.binary())], names=["key", "members"])
 
     return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(ids, "_id").select("key", "_text").mapInArrow(run, "key long, members binary").dropDuplicates(["key"])
 

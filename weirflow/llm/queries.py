@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import chat, decontaminate, jaccard, media, pieces, quality, repeats
+from weirflow.llm import chat, decontaminate, jaccard, language_model, media, pieces, quality, repeats
 
 #: The tokenizer file that queries use; operators take the path as a parameter.
 PIECES_FILE = "piece_bpe_32k.model"
@@ -54,6 +54,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(quality.remainder(), F.lit(-1)) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document by smoothed counts and by the recurrent model, learnt from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(quality.remainder(n=10), F.lit(-1)) == 0
+    found = language_model.scored(docs, ~out)
+    return found.withColumn("held_out", out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of near copies of every document."""
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_repeats": op4_repeats,
     "op6_quality": op6_quality,
+    "op7_lm_score": op7_lm_score,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_pieces": op10_pieces,
 }
