@@ -1,7 +1,13 @@
 """A corpus pipeline of five stages, each written as Parquet and read again by the next.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir). All stages
-but the last return the columns of documents. run() applies them in order.
+but the last return the columns of documents. run() applies them in order:
+
+1. quality: documents that the quality classifier scores under 0.7 go.
+2. near copies: one document of each component of the n-gram Jaccard join stays.
+3. decontamination: documents in which a benchmark item is found go.
+4. PII: personal data in texts is replaced, and so are terms that disclose it.
+5. pieces: what is left is encoded and decoded.
 """
 
 from __future__ import annotations
@@ -9,38 +15,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import decontaminate, pieces, quality
+from weirflow.llm import decontaminate, jaccard, pieces, pii, quality
 from weirflow.llm.common import written
 from weirflow.llm.queries import piece_model_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects (score under 0.7)."""
+    """Drops the documents that the quality classifier rejects (a score under 0.7)."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     columns = docs.columns
-    return quality.score(docs, model, keep=tuple(c for c in columns if c != "doc_id")).where("score >= 0.7").select(*columns)
+    return quality.score(docs, model, keep=tuple(c for c in columns if c != "doc_id")).where(F.col("score") >= 0.7).select(*columns)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest id, of each component of near copies."""
+    return jaccard.kept(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark item was found."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Drops the documents in which a benchmark item is found."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and the terms that disclose it; n_chars follows the new text."""
+    return pii.sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left."""
+    """Encodes and decodes the documents that are left."""
     return pieces.encode_documents(docs, piece_model_path())
 
 
-STAGES = [("quality", quality_stage), ("decontamination", decontamination_stage), ("pieces", pieces_stage)]
+STAGES = [("quality", quality_stage), ("near copies", near_copies_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("pieces", pieces_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each one's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: No SQL: the classifier, the edit distances and the merges aren't expressible; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -182,3 +182,23 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Documents with a match: doc_id, items (array of item_id, ascending), nearest (the least distance)."""
     id_col = options.get("id_col", "doc_id")
     return matches(docs, items, **options).groupBy(id_col).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.min("distance").alias("nearest"))
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_bytes: int = 60, block: int = 8_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs without the rows in which an item is found, all columns as they are; nothing is shuffled. A pass for each block of items."""
+    spark = docs.sparkSession
+    ship(spark)
+    out = docs
+    for part in blocks(items, block, item_col, item_text_col):
+        out = _without(out, spark.sparkContext.broadcast(part), rate, min_bytes, text_col)
+    return out
+
+
+def _without(docs: DataFrame, sent, rate: float, min_bytes: int, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, rate, min_bytes)
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            yield batch.filter(pa.array([not matcher.find(t) for t in strings(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

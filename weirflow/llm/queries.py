@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import chat, decontaminate, jaccard, language_model, media, pieces, quality, repeats
+from weirflow.llm import chat, decontaminate, jaccard, language_model, licenses, media, pieces, pii, quality, repeats
 
 #: The tokenizer file that queries use; operators take the path as a parameter.
 PIECES_FILE = "piece_bpe_32k.model"
@@ -46,6 +46,11 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every document, and the spans of terms that disclose their entities."""
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learnt from labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +72,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or the nearest directory's."""
+    return licenses.scan(licenses.path_of_documents(table(spark, sf_dir, "documents")), "path", "text", file_share=0.15)
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
     return pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model_path())
@@ -77,9 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_decontaminate": op3_decontaminate,
     "op4_repeats": op4_repeats,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_lm_score": op7_lm_score,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_license_scan": op9_license_scan,
     "op10_pieces": op10_pieces,
 }
 
