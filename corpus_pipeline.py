@@ -22,9 +22,7 @@ from weirflow.llm.queries import piece_model_path, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects (a score under 0.7)."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return quality.score(docs, model, keep=tuple(c for c in columns if c != "doc_id")).where(F.col("score") >= 0.7).select(*columns)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,7 +168,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """
     rows = _rows(docs, id_col, text_col)
     terms = term_spans(rows, with_spans(rows, "_text"), **options)
-    keyed = docs.withColumn("_text", text_of(text_col)).withColumn("_row", F.xxhash64(F.col(id_col), F.col("_text")))
+    # One struct holds all columns, so that none of their names can clash with those made here.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docs"), text_of(text_col).alias("_text"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("_row"))
     own = with_spans(keyed, "_text").withColumn("_base", _base())
     full = own.join(terms.withColumnRenamed("terms", "_terms"), "_row", "left")
     spans = F.array_sort(F.concat("_base", F.coalesce("_terms", F.expr(_NO_TERMS))))
@@ -180,5 +181,5 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         return F.when(x["end"] <= s["at"], s).when(x["start"] < s["at"], F.struct(x["end"].alias("at"), s["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], between, label).alias("out")))
 
     done = F.aggregate(spans, begin, replace, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.length("_text"))))
-    clean = F.when(F.size(spans) == 0, F.col(text_col)).otherwise(done)
-    return full.withColumn(text_col, clean).select(*docs.columns)
+    clean = F.when(F.size(spans) == 0, F.col("_docs")[text_col]).otherwise(done)
+    return full.select(*[(clean if c == text_col else F.col("_docs")[c]).alias(c) for c in docs.columns])

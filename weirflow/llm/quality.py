@@ -137,18 +137,31 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col:
     return x[order], y[order]
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns in keep, and the score of every document."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and score of every document."""
     ship(docs.sparkSession)
-    columns = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", score double"
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in strings(batch.column(batch.num_columns - 1))], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(model.scores(x), pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1)), pa.float64())], names=[id_col, "score"])
 
-    return docs.select(*[F.col(c) for c in columns], text_of(text_col).alias("_text_to_score")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents that score at least the model's cut, with all their columns."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column(batch.schema.get_field_index(text_col))) >= model.cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    return model.scores(np.array([features(t) for t in strings(texts)], float).reshape(-1, len(FEATURES)))
 
 
 def remainder(id_col: str = "doc_id", n: int = 4):
