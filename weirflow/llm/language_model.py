@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,10 @@ class Shape:
     """Sizes. frequent: words with an embedding and a softmax of their own, in `fine` classes; coarse: classes of the others, the last for the words that are not broadcast."""
 
     hidden: int = 12
-    frequent: int = 768
-    fine: int = 24
+    frequent: int = 512
+    fine: int = 16
     coarse: int = 16
-    lanes: int = 256
+    lanes: int = 512
     head: int = 131_072
 
 
@@ -113,16 +114,18 @@ class Vocabulary:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all tokens in turn (the last place: not broadcast), and the number of tokens of each text."""
-        get, rest = self.index.get, len(self.index)
-        end = get(END, rest)
-        out: list[int] = []
-        sizes = []
-        for text in texts:
+        get, rest = self.index.get, repeat(len(self.index))
+        parts, sizes = [], np.zeros(len(texts), np.int64)
+        tokens: list[bytes] = []  # of some texts at a time
+        for i, text in enumerate(texts):
             own = words(text)
-            out += [get(w, rest) for w in own]
-            out.append(end)
-            sizes.append(len(own) + 1)
-        return np.array(out, np.int32), np.array(sizes, np.int64)
+            tokens += own
+            tokens.append(END)
+            sizes[i] = len(own) + 1
+            if len(tokens) > 50_000 or i == len(texts) - 1:
+                parts.append(np.fromiter(map(get, tokens, rest), np.int32, len(tokens)))
+                tokens = []
+        return np.concatenate(parts), sizes
 
 
 # -- the network -----------------------------------------------------------------
@@ -179,21 +182,26 @@ class Network:
         x[some] += (table[self.v.classes + ids[some]]) - self.p["b"]
         return x
 
+    @staticmethod
+    def bounded(logits: np.ndarray) -> np.ndarray:
+        """Logits whose exponentials can't overflow: shifted by row only where some are large, as rows are short."""
+        if np.abs(logits).max(initial=0) > 60:
+            logits -= logits.max(axis=1, keepdims=True)
+        return logits
+
     def outputs(self, states: np.ndarray, classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the class, and of the word within a fine class, given the states."""
-        logits = states @ self.p["C"] + self.p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        out = logits[np.arange(len(classes)), classes] - np.log(np.exp(logits).sum(axis=1))
+        logits = self.bounded(states @ self.p["C"] + self.p["cb"])
+        out = logits[np.arange(len(classes)), classes] - np.log(_row_sums(np.exp(logits)))
         some = np.flatnonzero(ids >= 0)
-        order = some[np.argsort(classes[some], kind="stable")]
+        order = some[np.argsort(classes[some].astype(np.uint16), kind="stable")]
         cuts = np.searchsorted(classes[order], np.arange(self.v.shape.fine + 1))
         for c in range(self.v.shape.fine):
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
                 a, m = self.v.starts[c], self.v.members[c]
-                own = states[rows] @ self.p["O"][a : a + m].T + self.p["ob"][a : a + m]
-                own -= own.max(axis=1, keepdims=True)
-                out[rows] += own[np.arange(len(rows)), ids[rows] - a] - np.log(np.exp(own).sum(axis=1))
+                own = self.bounded(states[rows] @ self.p["O"][a : a + m].T + self.p["ob"][a : a + m])
+                out[rows] += own[np.arange(len(rows)), ids[rows] - a] - np.log(_row_sums(np.exp(own)))
         return out
 
     def window_gradient(self, x_classes, x_ids, y_classes, y_ids, fresh, weight, state) -> tuple[np.ndarray, float, np.ndarray]:
@@ -216,10 +224,9 @@ class Network:
         g = Network(v, grad).p
         yc, yi, w = y_classes.ravel(), y_ids.ravel(), weight.ravel().astype(np.float32)
         scale = 1 / max(float(w.sum()), 1.0)
-        logits = flat @ p["C"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = self.bounded(flat @ p["C"] + p["cb"])
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits /= _row_sums(logits)[:, None]
         rows = np.arange(len(yc))
         loss = -float((np.log(logits[rows, yc] + 1e-20) * w).sum())
         logits[rows, yc] -= 1
@@ -228,17 +235,16 @@ class Network:
         g["cb"][:] = logits.sum(axis=0)
         d_states = logits @ p["C"].T
         some = np.flatnonzero((yi >= 0) & (w > 0))
-        order = some[np.argsort(yc[some], kind="stable")]
+        order = some[np.argsort(yc[some].astype(np.uint16), kind="stable")]
         cuts = np.searchsorted(yc[order], np.arange(v.shape.fine + 1))
         for c in range(v.shape.fine):
             own_rows = order[cuts[c] : cuts[c + 1]]
             if len(own_rows):
                 a, m = v.starts[c], v.members[c]
                 s = flat[own_rows]
-                q = s @ p["O"][a : a + m].T + p["ob"][a : a + m]
-                q -= q.max(axis=1, keepdims=True)
+                q = self.bounded(s @ p["O"][a : a + m].T + p["ob"][a : a + m])
                 np.exp(q, out=q)
-                q /= q.sum(axis=1, keepdims=True)
+                q /= _row_sums(q)[:, None]
                 at = np.arange(len(own_rows))
                 loss -= float(np.log(q[at, yi[own_rows] - a] + 1e-20).sum())
                 q[at, yi[own_rows] - a] -= 1
@@ -277,11 +283,15 @@ class Network:
         return grad, loss, state
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """out[at] += rows, with repeats: sorted, then summed by segment."""
     if not len(at):
         return
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # classes and frequent words: few
     own = at[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     out[own[first]] += np.add.reduceat(rows[order], first, axis=0)
@@ -383,7 +393,7 @@ def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     lanes = len(grid.ends)
     state = np.zeros((lanes, h), np.float32)
     out = np.zeros(grid.tokens.shape, np.float32)
-    for a, on, x, y, fresh in grid.windows(64):
+    for a, on, x, y, fresh in grid.windows(32):
         xc, xi = _read(v, x)
         gates = net.inputs(table, xc.ravel(), xi.ravel()).reshape(len(y), on, 3 * h)
         gates[fresh] = bias
@@ -408,7 +418,7 @@ def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     return np.add.reduceat(logs, firsts), grid.sizes, np.add.reduceat(v.seen[places], firsts), np.add.reduceat(v.smooth_log10[places], firsts)
 
 
-def _groups(batch: pa.RecordBatch, column: int, most: int = 24_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _groups(batch: pa.RecordBatch, column: int, most: int = 40_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch of about `most` bytes of text (a longer text stands alone)."""
     texts = raw_texts(batch.column(column))
     start = size = 0
@@ -493,9 +503,8 @@ def scored(docs: DataFrame, training, shape: Shape | None = None, id_col: str =
                 tokens, times, at = [], [], []
                 for i, text in enumerate(texts):
                     own: dict[bytes, int] = {}
-                    for w in words(text):
-                        if w not in index:
-                            own[w] = own.get(w, 0) + 1
+                    for w in [w for w in words(text) if w not in index]:
+                        own[w] = own.get(w, 0) + 1
                     tokens += own
                     times += own.values()
                     at += [i] * len(own)
