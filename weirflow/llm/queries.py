@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import chat, decontaminate, jaccard, language_model, licenses, media, pieces, pii, quality, repeats
+from weirflow.llm import chat, decontaminate, jaccard, language_model, licenses, media, oracles, pieces, pii, quality, repeats
 
 #: The tokenizer file that queries use; operators take the path as a parameter.
 PIECES_FILE = "piece_bpe_32k.model"
@@ -23,11 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A conversation whose texts hold control strings.
+HARD_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+#: Of a licence file among the documents, which are longer than licence files, so much at least is licence statements.
+FILE_SHARE = 0.15
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and conversation -7, and returns what reading the output back gives."""
-    hard = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame(HARD_CONVERSATION, "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.format_turns(rows.unionByName(extra)))
 
 
@@ -74,7 +79,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document, its own or the nearest directory's."""
-    return licenses.scan(licenses.path_of_documents(table(spark, sf_dir, "documents")), "path", "text", file_share=0.15)
+    return licenses.scan(licenses.path_of_documents(table(spark, sf_dir, "documents")), "path", "text", file_share=FILE_SHARE)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pieces": op10_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hold what SQL can't express (models, merges, edit distances, media bytes) or not on whole tables (400-byte strings).
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": oracles.chat_sql(chat.CHAT, HARD_CONVERSATION),
+    "op8_jaccard_join": oracles.NEAR_COPIES_SQL,
+    "op9_license_scan": oracles.licenses_sql(0.8, FILE_SHARE),
+}
