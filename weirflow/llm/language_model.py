@@ -49,9 +49,9 @@ ALPHA = 0.1
 class Shape:
     """Sizes. frequent: words with an embedding and a softmax of their own, in `fine` classes; coarse: classes of the others, the last for the words that are not broadcast."""
 
-    hidden: int = 12
-    frequent: int = 512
-    fine: int = 16
+    hidden: int = 8
+    frequent: int = 384
+    fine: int = 12
     coarse: int = 16
     lanes: int = 512
     head: int = 131_072
@@ -101,6 +101,8 @@ class Vocabulary:
         last = s.fine + s.coarse - 1
         self.class_of = np.concatenate([fine, coarse, [last]]).astype(np.int32)
         self.classes = last + 1
+        # Kinds of inputs: frequent words, then coarse classes.
+        self.kind_of = np.concatenate([np.arange(n), n + self.class_of[n:] - s.fine]).astype(np.int32)
         # Smoothed mass: ALPHA for each distinct token, and for one unseen.
         smooth = self.counts + ALPHA
         rest = total - self.counts.sum() + ALPHA * (distinct - len(tokens) + 1)
@@ -151,7 +153,7 @@ class Network:
     def fresh(cls, v: Vocabulary) -> Network:
         """Small weights, biases at the logs of the counts: before training this is the unigram model."""
         net = cls(v)
-        net.p["cb"][:] = np.log(np.maximum(v.mass / max(v.mass.sum(), 1e-9), 1e-7))
+        net.p["cb"][:] = np.log(np.maximum(v.mass / max(v.mass.sum(), 1e-9), 1e-22))
         net.p["ob"][:] = np.log(np.maximum(v.counts[: v.frequent], 0.5))
         net.p["b"][:] = 0
         net.p["b"][: v.shape.hidden] = 1.0  # the state is kept at first
@@ -171,16 +173,14 @@ class Network:
         fresh = n + z * (state - n)
         return fresh, (z, r, rs, n)
 
-    def table(self) -> np.ndarray:
-        """E @ W + b: what each class and frequent word puts into the gates."""
-        return self.p["E"] @ self.p["W"] + self.p["b"]
+    def embedded(self) -> np.ndarray:
+        """What each kind of input reads: a frequent word its class's row and its own, the others their class's row."""
+        v, e = self.v, self.p["E"]
+        return np.concatenate([e[v.class_of[: v.frequent]] + e[v.classes :], e[v.shape.fine : v.classes]])
 
-    def inputs(self, table: np.ndarray, classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Gate inputs of tokens: their class, plus the word if it is frequent (id >= 0)."""
-        x = table[classes]
-        some = np.flatnonzero(ids >= 0)
-        x[some] += (table[self.v.classes + ids[some]]) - self.p["b"]
-        return x
+    def table(self) -> np.ndarray:
+        """What each kind of input puts into the gates."""
+        return self.embedded() @ self.p["W"] + self.p["b"]
 
     @staticmethod
     def bounded(logits: np.ndarray) -> np.ndarray:
@@ -204,12 +204,12 @@ class Network:
                 out[rows] += own[np.arange(len(rows)), ids[rows] - a] - np.log(_row_sums(np.exp(own)))
         return out
 
-    def window_gradient(self, x_classes, x_ids, y_classes, y_ids, fresh, weight, state) -> tuple[np.ndarray, float, np.ndarray]:
+    def window_gradient(self, x_kinds, y_classes, y_ids, fresh, weight, state) -> tuple[np.ndarray, float, np.ndarray]:
         """(gradient, loss, state after) of a window [steps, lanes]; fresh marks where a document begins, weight is 0 for padding."""
         p, h, v = self.p, self.h, self.v
-        steps, lanes = x_classes.shape
-        table = self.table()
-        gates = self.inputs(table, x_classes.ravel(), x_ids.ravel()).reshape(steps, lanes, 3 * h)
+        steps, lanes = x_kinds.shape
+        embedded = self.embedded()
+        gates = (embedded @ p["W"] + p["b"])[x_kinds]
         gates[fresh] = p["b"]
         some_fresh = fresh.any(axis=1)
         befores, kept, states = [], [], np.empty((steps, lanes, h), np.float32)
@@ -272,14 +272,13 @@ class Network:
         all_gates = d_gates.reshape(-1, 3 * h)
         g["b"][:] = all_gates.sum(axis=0)
         read = np.flatnonzero(~fresh.ravel())
-        d_in = all_gates[read]
-        xc, xi = x_classes.ravel()[read], x_ids.ravel()[read]
-        by = np.zeros((v.classes + v.frequent, 3 * h), np.float32)
-        _add_rows(by, xc, d_in)
-        own = np.flatnonzero(xi >= 0)
-        _add_rows(by, v.classes + xi[own], d_in[own])
-        g["W"][:] = p["E"].T @ by
-        g["E"][:] = by @ p["W"].T
+        by = np.zeros((len(embedded), 3 * h), np.float32)
+        _add_rows(by, x_kinds.ravel()[read], all_gates[read])
+        g["W"][:] = embedded.T @ by
+        back = by @ p["W"].T
+        g["E"][v.classes :] = back[: v.frequent]
+        g["E"][v.shape.fine : v.classes] = back[v.frequent :]
+        _add_rows(g["E"], v.class_of[: v.frequent], back[: v.frequent])
         return grad, loss, state
 
 
@@ -379,7 +378,7 @@ def train_on(net: Network, trainer: Trainer, texts: list[bytes]) -> tuple[float,
     state = np.zeros((len(grid.ends), net.h), np.float32)
     loss = 0.0
     for _, on, x, y, fresh in grid.windows(WINDOW):
-        gradient, own, state = net.window_gradient(*_read(net.v, x), *_read(net.v, y), fresh, y >= 0, state[:on])
+        gradient, own, state = net.window_gradient(net.v.kind_of[x], *_read(net.v, y), fresh, y >= 0, state[:on])
         trainer.step(gradient)
         loss += own
     return loss, int(grid.sizes.sum())
@@ -394,8 +393,7 @@ def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     state = np.zeros((lanes, h), np.float32)
     out = np.zeros(grid.tokens.shape, np.float32)
     for a, on, x, y, fresh in grid.windows(32):
-        xc, xi = _read(v, x)
-        gates = net.inputs(table, xc.ravel(), xi.ravel()).reshape(len(y), on, 3 * h)
+        gates = table[v.kind_of[x]]
         gates[fresh] = bias
         some_fresh = fresh.any(axis=1)
         states = np.empty((len(y), on, h), np.float32)
