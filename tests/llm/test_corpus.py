@@ -68,7 +68,7 @@ def test_hot_anchor_is_split(spark):
 
 
 # -- near copies -------------------------------------------------------------------------
-@pytest.mark.parametrize("options", [{}, {"pivots": 1, "heavy": 3}])
+@pytest.mark.parametrize("options", [{}, {"cell": 900, "heavy": 3}])
 def test_components_of_documents(spark, options):
     docs = cases.documents(spark, extra=bool(options)).where("doc_id is not null")
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
@@ -96,7 +96,7 @@ def test_dense_families(spark):
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = dict(enumerate(cases.components(texts)))
-    for options in ({}, {"pivots": 1, "heavy": 5}):
+    for options in ({}, {"cell": 3000, "heavy": 5}):
         assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs, **options).collect()} == want
 
 
@@ -214,7 +214,7 @@ def test_gradient_of_the_network():
     net.flat = np.random.default_rng(0).normal(0, 0.4, len(net.flat)).astype(np.float32)
     net = language_model.Network(v, net.flat)
     grid = language_model.Grid.of(v, texts)
-    read = lambda: net.window_gradient(*language_model._read(v, x), *language_model._read(v, y), fresh, y >= 0, np.zeros((on, 4), np.float32))
+    read = lambda: net.window_gradient(v.kind_of[x], *language_model._read(v, y), fresh, y >= 0, np.zeros((on, 4), np.float32))
     _, on, x, y, fresh = next(grid.windows(9))
     gradient, _, _ = read()
     for k in np.flatnonzero(np.abs(gradient) > 5e-3)[::7]:
@@ -232,6 +232,7 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     tokens, counts = [b"a", b"b", language_model.END, b"c", b"d"], [9, 8, 6, 3, 2]
     v = language_model.Vocabulary(tokens, counts, 30, 7, shape)  # two words of the rest: 2 tokens in all
     net = language_model.Network(v, np.random.default_rng(3).normal(0, 0.5, len(language_model.Network(v).flat)).astype(np.float32))
+    net.p["cb"][np.bincount(v.class_of, minlength=v.classes) == 0] = -50  # as fresh networks have it: no class without words
     prefix = b"a b " * 60  # longer than a window
     at = {}
     for w in (b"a", b"b", b"c", b"d", b"other"):
@@ -310,3 +311,11 @@ def test_cosine_against_brute_force(spark):
     df = spark.createDataFrame([(f"/{i}", t) for i, t in enumerate(texts)], "path string, text string")
     got = {int(r.path[1:]): (r.own_license, r.own_score) for r in licenses.scan(df, "path", "text", least=0.3).where("own_license is not null").collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_components_by_either_way(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    links = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
+    assert sorted(map(tuple, jaccard.components(links).collect())) == sorted(map(tuple, jaccard.components(links, few=0).collect()))
+    assert jaccard.components(links.where("a < 0")).collect() == [] == jaccard.components(links.where("a < 0"), few=0).collect()

@@ -10,18 +10,20 @@ cells and windows work inside:
    n - ceil(0.75 n) + 1 shingles of each, in any fixed order of all shingles.
    Each of these spans a region. The order puts shingles that many documents
    share last (a hint from counts over all documents; any order is exact).
-3. Each region takes its smallest class as pivot; the distance of all its members
-   to it is computed exactly. A class whose nearest pivot is p has its cell there.
-4. A region whose remaining members are all connected already is done: links
-   within a component add nothing. Otherwise it is joined recursively: small
-   regions pair by pair across components, within the window |d(x,p) - d(y,p)| <=
-   0.25 that the triangle inequality leaves and within the sizes that can link;
-   large ones by further pivots, which leave the region once compared with all of it.
-5. Links make components (large-star, small-star); each document gets the smallest
-   id of its component.
-
-All pairs within a group of copies are never made: a group costs its members times
-the pivots. Null texts count as empty; documents without words link with nothing.
+3. Each region takes its smallest class as pivot, and regions of one pivot make its
+   cell. A class is replicated to the cell of each of its regions, so every pair that
+   may link meets in a cell.
+4. Members without a partner of a like size leave a cell, and so do those whose sketch,
+   a quarter of the set, differs too much from all others'. The rest of a cell is
+   joined by one task: distances to the pivot first; members that link to
+   it are connected, and of the others only pairs are compared that lie within the
+   window |d(x, p) - d(y, p)| <= 0.25 of the triangle inequality, have sizes that can
+   link, and aren't connected yet. A cell that is too large for one task first finds
+   who links to its pivot, and is then joined in blocks: others with others, and
+   others with the linked ones, never the linked ones with each other.
+5. Links make components; each document gets the smallest id of its component.
+
+Pairs of a group are never emitted, only links that connect its parts. Null texts count as empty; documents without words link with nothing.
 Repeated rows are equal sets; null ids take part, and a component of null ids only
 has a null component_id. Shingles and sets are compared by 64-bit hashes.
 """
@@ -35,59 +37,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import dropped, raw_texts, ship, text_of, words, written
+from weirflow.llm.common import dropped, raw_texts, ship, text_of, written
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SIZE, PERCENT = 5, 75
+#: Differences that collisions of 32 bits may hide before a pair is compared by 64.
+SPARE = 8
+#: What collisions can take from a distance that windows compare.
+COLLISIONS = 0.01
 #: Shingles counted as frequent (an ordering hint), at most.
-HEAVY = 100_000
-#: Regions of at most so many members are joined pair by pair; larger ones by so many pivots a round.
-SMALL, PIVOTS = 64, 8
+HEAVY = 200_000
+#: Shingles of the sets of a cell (and members, by 256 each) that one task joins, at most; also the size of blocks, doubled.
+CELL = 2_000_000
+#: Links of which components are made by one task (16 MB); more are dealt over the cluster.
+FEW_LINKS = 1_000_000
+
+
+#: An odd multiplier, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text that are hashed together, which keeps arrays in the processor's cache.
+_CHUNK = 1 << 18
+
+
+def _powers(x: int, n: int) -> np.ndarray:
+    out = np.full(n, x, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 class Shingler:
-    """Sets of shingle hashes of texts; keeps the hashes of words, up to a bound."""
+    """Sets of shingle hashes of texts. Words are hashed by differences of a running polynomial sum over the bytes of many texts."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self) -> None:
         import xxhash
 
-        self._digest, self._limit = xxhash.xxh3_64_intdigest, limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self._ids: dict[bytes, int] = {}
-        self._hashes = np.zeros(1 << 16, np.uint64)
-
-    def _of(self, tokens: list[bytes]) -> np.ndarray:
-        ids = self._ids
-        if len(ids) > self._limit:
-            self._reset()
-            ids = self._ids
-        try:
-            return self._hashes[[ids[t] for t in tokens]]
-        except KeyError:
-            for t in tokens:
-                if t not in ids:
-                    if len(ids) == len(self._hashes):
-                        self._hashes = np.concatenate([self._hashes, np.zeros_like(self._hashes)])
-                    self._hashes[len(ids)] = self._digest(t)
-                    ids[t] = len(ids)
-            return self._hashes[[ids[t] for t in tokens]]
-
-    def shingles(self, text: bytes) -> np.ndarray:
-        """The distinct shingle hashes, ascending (uint64)."""
-        tokens = words(text)
-        if not tokens:
+        self._digest = xxhash.xxh3_64_intdigest
+        rng = np.random.default_rng(20240229)
+        self._table = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self._space = np.zeros(256, bool)
+        self._space[list(b" \t\n\x0b\x0c\r")] = True
+        self._table[list(range(65, 91))] = self._table[list(range(97, 123))]  # A-Z as a-z
+        self._grow(_CHUNK + 1)
+
+    def _grow(self, n: int) -> None:
+        self._up, self._down = _powers(_BASE, n), _powers(_INVERSE, n)
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of all words."""
+        raw = np.frombuffer(data, np.uint8)
+        n = len(raw)
+        if n >= len(self._up):
+            self._grow(2 * n)
+        inside = ~self._space[raw]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if n and inside[0]:
+            edge = np.concatenate([[0], edge])
+        if n and inside[-1]:
+            edge = np.append(edge, n)
+        starts, ends = edge[::2], edge[1::2]
+        total = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(self._table[raw] * self._up[:n], out=total[1:])
+            h = (total[ends] - total[starts]) * self._down[starts]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(29)
+        return h, starts
+
+    def many(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The distinct shingle hashes of each text, ascending (uint64)."""
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) < _CHUNK):
+                size += len(texts[stop]) + 1
+                stop += 1
+            part = texts[at:stop]
+            h, starts = self._words(b"\n".join(part))
+            offsets = np.cumsum([0] + [len(t) + 1 for t in part])
+            cuts = np.searchsorted(starts, offsets).tolist()
+            x = self._mixed(h, SIZE)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b - a >= SIZE:
+                    yield np.unique(x[a : b - SIZE + 1])
+                else:
+                    yield self._mixed(h[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+            at = stop
+
+    @staticmethod
+    def _mixed(h: np.ndarray, width: int) -> np.ndarray:
+        n = len(h) - width + 1
+        if n <= 0:
             return np.zeros(0, np.uint64)
-        h = self._of(tokens)
-        n = len(h)
-        width = min(n, SIZE)
         with np.errstate(over="ignore"):
-            x = np.full(n - width + 1, 0x9E3779B97F4A7C15 + width, np.uint64)
+            x = np.full(n, 0x9E3779B97F4A7C15 + width, np.uint64)
             for j in range(width):
-                x = (x ^ h[j : n - width + 1 + j]) * np.uint64(0xFF51AFD7ED558CCD)
+                x ^= h[j : n + j]
+                x *= np.uint64(0xFF51AFD7ED558CCD)
                 x ^= x >> np.uint64(32)
-        return np.unique(x)
+        return x
+
+    def shingles(self, text: bytes) -> np.ndarray:
+        return next(self.many([text]))
 
     def key(self, own: np.ndarray) -> int:
         return _signed(self._digest(own.tobytes()))
@@ -111,36 +163,51 @@ def _slices(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]
         yield batch.slice(i, rows)
 
 
-def survey(docs: DataFrame, least: int = 4, share: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """First pass. kind 0: id, n (size of the set), key (of the set, null if empty). kind 1: key (a shingle), n (documents of a slice that share it)."""
+def survey(docs: DataFrame, least: int = 3, held: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """First pass. kind 0: id, n (size of the set), key (of the set, null if empty). kind 1: key (a shingle), n (different sets of a slice that share it).
+
+    A slice has about `held` shingles, which bounds memory.
+    """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["kind", "id", "n", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _shingler()
+        sets: dict[int, np.ndarray] = {}
+        size, kind_of_id = 0, pa.int64()
+
+        def shared() -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            some = counts >= least
+            m = int(some.sum())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind_of_id), pa.array(counts[some]), pa.array(found[some].view(np.int64))], names=names)
+
         for batch in batches:
+            kind_of_id = batch.schema.field(0).type
             for part in _slices(batch):
-                sizes, keys, sets = [], [], {}
-                for text in raw_texts(part.column(1)):
-                    own = s.shingles(text)
+                sizes, keys = [], []
+                for own in s.many(raw_texts(part.column(1))):
                     k = s.key(own) if len(own) else None
                     sizes.append(len(own))
                     keys.append(k)
-                    sets[k] = own
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["kind", "id", "n", "key"])
-                found, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-                some = counts >= max(least, share * part.num_rows)
-                if some.any():
-                    m = int(some.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, part.schema.field(0).type), pa.array(counts[some]), pa.array(found[some].view(np.int64))], names=["kind", "id", "n", "key"])
+                    if k is not None and k not in sets:
+                        sets[k] = own
+                        size += len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=names)
+                if size > held:
+                    yield shared()
+                    sets, size = {}, 0
+        if sets:
+            yield shared()
 
     return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, f"kind int, id {kind}, n long, key long")
 
 
-def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Second pass: (token, key) for the leading shingles of each set; equal sets of a slice give them once.
+def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, text_col: str = "text") -> DataFrame:
+    """Second pass: (token, key, n) for the leading shingles of each set; equal sets of a slice give them once.
 
-    heavy, ranks: frequent shingles, ascending, and the log2 of their counts; at most HEAVY, so they are broadcast.
+    heavy, ranks: frequent shingles, ascending, and the rank of their counts; at most HEAVY, so they are broadcast.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -150,9 +217,8 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, id_col: str
         s, (common, rank) = _shingler(), sent.value
         for batch in batches:
             for part in _slices(batch):
-                seen, tokens, keys = set(), [], []
-                for text in raw_texts(part.column(0)):
-                    own = s.shingles(text)
+                seen, tokens, keys, sizes = set(), [], [], []
+                for own in s.many(raw_texts(part.column(0))):
                     n = len(own)
                     if not n or (k := s.key(own)) in seen:
                         continue
@@ -166,14 +232,18 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, id_col: str
                             own = own[np.argsort(np.where(hit, rank[at], 0), kind="stable")]
                     tokens.append(own[:lead])
                     keys.append(np.full(lead, k, np.int64))
+                    sizes.append(np.full(lead, n, np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], names=["token", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
+
+    return docs.select(text_of(text_col).alias("_text")).mapInArrow(run, "token long, key long, n int")
 
-    return docs.select(text_of(text_col).alias("_text")).mapInArrow(run, "token long, key long")
 
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, exact: bool = False, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, n, sketch, members) of the wanted keys, from one document of each class.
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, members binary) of the wanted keys, from one document of each class."""
+    members: the upper 32 bits of each member's hash, or all 64 if `exact`; sketch: 16 bits of those whose hash is divisible by 4.
+    """
     ship(docs.sparkSession)
     ids = classes.join(wanted, "key", "left_semi").select(F.col("doc").alias("_id"), "key")
     if wanted.count() <= small:  # checked, so 16 MB at most; else both sides are shuffled
@@ -183,36 +253,208 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, small: int =
         s = _shingler()
         for batch in batches:
             for part in _slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.shingles(t).tobytes() for t in raw_texts(part.column(1))], pa.binary())], names=["key", "members"])
+                keys, sizes, sketches, members = [], [], [], []
+                for key, own in zip(part.column(0).to_pylist(), s.many(raw_texts(part.column(1))), strict=True):
+                    if s.key(own) == key:  # ids may repeat
+                        keys.append(key)
+                        sizes.append(len(own))
+                        sketches.append(np.unique((own[own & np.uint64(3) == 0] >> np.uint64(48)).astype(np.uint16)).tobytes())
+                        members.append(own.tobytes() if exact else np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(members, pa.binary())], names=["key", "n", "sketch", "members"])
+
+    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(ids, "_id").select("key", "_text").mapInArrow(run, "key long, n int, sketch binary, members binary")
+
+
+def _common(x: pa.Scalar, y: pa.Scalar, kind) -> tuple[int, int]:
+    """(size of the intersection, size of the union) of two ascending arrays."""
+    p, q = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return 0, len(q)
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    both = int((q[at] == p).sum())
+    return both, len(p) + len(q) - both
 
-    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(ids, "_id").select("key", "_text").mapInArrow(run, "key long, members binary").dropDuplicates(["key"])
 
+def _two_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    own = pairs.join(sets.select(F.col("key").alias("a"), F.col("n"), F.col(column).alias("own")), "a")
+    return own.join(sets.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col(column).alias("other")), "b").select("a", "b", "n", "m", "own", "other")
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, far, linked) of pairs (a, b); far is the exact distance."""
+
+def _compared(pairs: DataFrame, kind, least_open: int) -> DataFrame:
+    """(a, b, low, state) of pairs with two sets: a lower bound of the distance; state 0 can't link, 1 undecided, 2 links.
+
+    Sets of n and m members link if they differ in at most (n + m) / 7. What they are compared by differs in no more.
+    It shows a link only if so many more differences than were seen would still be few enough (least_open < 0: never).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, state = [], []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                both, union = _common(x, y, kind)
+                differ = union - both
+                low.append(2 * differ / (n + m + differ))
+                state.append(0 if 7 * differ > n + m else 2 if least_open >= 0 and 7 * (differ + least_open) <= n + m else 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.float64()), pa.array(state, pa.int32())], names=["a", "b", "low", "state"])
+
+    return pairs.mapInArrow(run, "a long, b long, low double, state int")
+
+
+class _Cell:
+    """Members of a cell (or of two of its blocks) with their sets; finds links that connect them."""
+
+    def __init__(self, keys: list[int], sizes: list[int], sets: list[np.ndarray]):
+        # size: of the sets; length: of what represents them, which collisions shorten.
+        self.keys, self.size, self.length, self.sets = keys, np.array(sizes, np.int64), np.array([len(x) for x in sets], np.int64), sets
+        of, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.length)
+        order = np.argsort(of, kind="stable")
+        ordered = of[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(of) else np.zeros(0, np.int64)
+        self.values, self.cuts = ordered[first], np.append(first, len(of))
+        self.posting = member[order]
+
+    def shared_with(self, i: int) -> np.ndarray:
+        """How many members of set i each set has."""
+        at = np.searchsorted(self.values, self.sets[i])
+        begins, counts = self.cuts[at], self.cuts[at + 1] - self.cuts[at]
+        total = int(counts.sum())
+        places = np.repeat(begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
+        return np.bincount(self.posting[places], minlength=len(self.sets))
+
+    def open(self) -> np.ndarray:
+        """Who may link to someone, as far as the sketches that stand for the sets show."""
+        out = np.zeros(len(self.keys), bool)
+        for i in range(len(self.keys) - 1):
+            alike = 100 * np.minimum(self.size[i + 1 :], self.size[i]) >= PERCENT * np.maximum(self.size[i + 1 :], self.size[i])
+            if out[i]:
+                alike &= ~out[i + 1 :]  # only who has found no one yet matters
+            if alike.any():
+                differ = self.length[i + 1 :] + self.length[i] - 2 * self.shared_with(i)[i + 1 :]
+                near = alike & (7 * differ <= self.size[i + 1 :] + self.size[i])
+                if near.any():
+                    out[i] = True
+                    out[i + 1 :] |= near
+        return out
+
+    def links(self, pivot: int | None, linked: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(a, b, state): links (2), and undecided pairs (1), that connect what is not connected yet.
+
+        pivot: its place, if it is here. linked: who is known to link to the pivot. Members of a block are compared with
+        each other only if all are of one block.
+        """
+        m = len(self.keys)
+        root = np.arange(m)
+        known = np.flatnonzero(linked)
+        if len(known):
+            root[known] = known[0]
+        far = np.zeros(m)
+        if pivot is not None:
+            both = self.shared_with(pivot)
+            far = 1 - both / (self.length + self.length[pivot] - both)
+        whole = len(np.unique(blocks)) == 1
+        done = np.zeros(m, bool)
+        # The pivot first: who links to it is connected before others are compared.
+        for i in ([pivot] if pivot is not None else []) + [i for i in range(m) if i != pivot and not linked[i]]:
+            done[i] = True
+            open_to = ~done & (root != root[i]) & (100 * np.minimum(self.size, self.size[i]) >= PERCENT * np.maximum(self.size, self.size[i]))
+            if pivot is not None and i != pivot:
+                open_to &= np.abs(far - far[i]) <= 1 - PERCENT / 100 + COLLISIONS
+            if not whole:
+                open_to &= (blocks != blocks[i]) | linked[i]
+            if not open_to.any():
+                continue
+            some = np.flatnonzero(open_to)
+            differ = self.length[some] + self.length[i] - 2 * self.shared_with(i)[some]
+            limit = self.size[some] + self.size[i]
+            for j in some[7 * (differ + SPARE) <= limit].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    yield self.keys[i], self.keys[j], 2
+            for j in some[(7 * (differ + SPARE) > limit) & (7 * differ <= limit)].tolist():
+                if root[j] != root[i]:
+                    yield self.keys[i], self.keys[j], 1
+
+
+def _by_cell(rows: DataFrame, names: list[str], make, schema: str) -> DataFrame:
+    """make(cell, rows) for all rows of a (cell, i, j), dealt by these; rows are tuples of the named columns, the cell in front."""
+    columns = ["cell", "i", "j", *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            far, linked = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                both = int((q[at] == p).sum())
-                union = len(p) + len(q) - both
-                far.append(1 - both / union)
-                linked.append(100 * both >= PERCENT * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "far", "linked"])
-
-    own = pairs.join(sets.select(F.col("key").alias("a"), F.col("members").alias("own")), "a")
-    both = own.join(sets.select(F.col("key").alias("b"), F.col("members").alias("other")), "b")
-    return both.select("a", "b", "own", "other").mapInArrow(run, "a long, b long, far double, linked boolean")
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(key, root) for every node of the links: root is the smallest node that it reaches. Large-star and small-star rounds."""
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                for row in zip(*(part.column(c).to_pylist() for c in range(len(columns))), strict=True):
+                    if row[:3] != now:
+                        if len(held) > 1:
+                            yield make(now[0], held)
+                        now, held = row[:3], []
+                    held.append(row[3:])
+        if len(held) > 1:
+            yield make(now[0], held)
+
+    return rows.select(*columns).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, schema)
+
+
+def narrowed(cells: DataFrame) -> DataFrame:
+    """(cell, key, n) of members that may link to another member of their cell; cells: cell, i, j, key, n, sketch."""
+
+    def make(cell: int, held: list[tuple]) -> pa.RecordBatch:
+        keep = np.flatnonzero(_Cell([h[0] for h in held], [h[1] for h in held], [np.frombuffer(h[2], np.uint16) for h in held]).open()).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([cell] * len(keep), pa.int64()), pa.array([held[i][0] for i in keep], pa.int64()), pa.array([held[i][1] for i in keep], pa.int32())], names=["cell", "key", "n"])
+
+    return _by_cell(cells, ["key", "n", "sketch"], make, "cell long, key long, n int")
+
+
+def joined(cells: DataFrame) -> DataFrame:
+    """(a, b, state) of cells: rows (cell, i, j, key, n, members, linked, block)."""
+
+    def make(cell: int, held: list[tuple]) -> pa.RecordBatch:
+        pivot = next((k for k, h in enumerate(held) if h[0] == cell), None)
+        own = _Cell([h[0] for h in held], [h[1] for h in held], [np.frombuffer(h[2], np.uint32) for h in held])
+        found = list(own.links(pivot, np.array([h[3] for h in held], bool), np.array([h[4] for h in held])))
+        columns = zip(*found, strict=True) if found else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "state"])
+
+    return _by_cell(cells, ["key", "n", "members", "linked", "block"], make, "a long, b long, state int")
+
+
+def _with_sets(members: DataFrame, sets: DataFrame, column: str, small: int = 1_000_000) -> DataFrame:
+    """members joined with a column of their sets; members are broadcast if they are few (counted), for the sets are large."""
+    few = F.broadcast(members) if members.count() <= small else members
+    return sets.select("key", column).join(few, "key")
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, root) of all nodes of the links (two columns of longs), by union and find."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for node in (x, y):
+                root.setdefault(node, node)
+            p, q = find(x), find(y)
+            root[max(p, q)] = min(p, q)
+    keys = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([find(k) for k in keys], pa.int64())], names=["key", "root"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW_LINKS) -> DataFrame:
+    """(key, root) for every node of the links: root is the smallest node that it reaches.
+
+    Up to `few` links, which are counted first, by one task; more by large-star and small-star rounds.
+    """
+    if links.count() <= few:
+        return links.select(a, b).coalesce(1).mapInArrow(_united, "key long, root long")
     edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = None
     while True:
@@ -232,64 +474,65 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root"))).groupBy("key").agg(F.min("root").alias("root"))
 
 
-def class_links(docs: DataFrame, surveyed: DataFrame, heavy: int = HEAVY, small: int = SMALL, pivots: int = PIVOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(links, roots): links (a, b, far) found between classes, and the component of every linked class."""
-    classes = surveyed.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("doc"), F.first("n").alias("n"))
+def class_links(docs: DataFrame, surveyed: DataFrame, heavy: int = HEAVY, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, roots): links (a, b) that connect classes, and the component of every linked class."""
+    classes = surveyed.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("doc"))
     top = surveyed.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(heavy).toArrow()
     tokens = np.array(top.column("key").to_pylist(), np.int64).view(np.uint64)
     counts = np.array(top.column("n").to_pylist(), np.float64)
     order = np.argsort(tokens)
-    ranks = np.log2(np.maximum(counts[order], 2)).astype(np.int8)
+    ranks = (4 * np.log2(np.maximum(counts[order], 2))).astype(np.int16)
 
     token = Window.partitionBy("token")
-    regions = written(
-        prefixes(docs, tokens[order], ranks, id_col, text_col).withColumn("pivot", F.min("key").over(token)).withColumn("last", F.max("key").over(token)).where("pivot != last").select("token", "key", "pivot"),
-        "regions",
-    )
-    wanted = regions.select("key").distinct()
-    sets = written(sets_of(docs, classes, wanted, id_col=id_col, text_col=text_col), "sets")
-
-    def known(pairs: DataFrame) -> DataFrame:
-        return written(distances(pairs, sets), "distances")
-
-    # Every member against its region's pivot.
-    found = known(regions.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
-    measured = [found]
-    links = found.where("linked").select("a", "b", "far")
+    led = prefixes(docs, tokens[order], ranks, text_col).withColumn("pivot", F.min(F.struct("key", "n")).over(token)).withColumn("last", F.max("key").over(token)).where("pivot.key != last")
+    # Each class once in each of its cells.
+    pairs = led.groupBy(F.col("pivot.key").alias("cell"), "key").agg(F.first("n").alias("n"))
+    cell_size = Window.partitionBy("cell")
+    members = written(pairs.withColumn("total", F.count(F.lit(1)).over(cell_size)).withColumn("weight", F.sum(F.col("n") + 256).over(cell_size)), "cells")
+    sets = written(sets_of(docs, classes, members.select("key").distinct(), id_col=id_col, text_col=text_col), "sets")
+
+    # Members that have someone of a like size in their cell, by the nearest sizes; then those whose sketches come near another's.
+    zero, weight = F.lit(0), F.sum(F.col("n") + 256)
+    sizes = Window.partitionBy("cell").orderBy("n")
+    near = lambda m: F.coalesce(100 * F.least("n", m) >= PERCENT * F.greatest("n", m), F.lit(False))
+    alike = members.where("total > 1").withColumn("before", F.lag("n").over(sizes)).withColumn("after", F.lead("n").over(sizes)).where(near(F.col("before")) | near(F.col("after")))
+    small_cells = written(alike.where(F.col("weight") <= 8 * cell).select("cell", zero.alias("i"), zero.alias("j"), "key", "n"), "alike")
+    sketched = narrowed(_with_sets(small_cells, sets, "sketch"))
+    members = written(sketched.unionByName(alike.where(F.col("weight") > 8 * cell).select("cell", "key", "n")), "narrowed")
+
+    large = written(members.groupBy("cell").agg(weight.alias("weight")).where(F.col("weight") > cell).select("cell", F.ceil(2 * F.col("weight") / cell).cast("int").alias("parts")), "large")
+    plain = members.join(large, "cell", "left_anti").select("cell", zero.alias("i"), zero.alias("j"), "key", F.lit(False).alias("linked"), zero.alias("block"))
+    links = None
+    if not large.isEmpty():
+        # Who links to the pivot of a large cell, pair by pair.
+        inside = members.join(large, "cell").where("key != cell")
+        star = written(_compared(_two_sets(inside.select(F.col("key").alias("a"), F.col("cell").alias("b")), sets, "members"), np.uint32, SPARE), "star")
+        links = star.where("state > 0").select("a", "b", "state")
+        told = inside.join(star.select(F.col("a").alias("key"), F.col("b").alias("cell"), "state"), ["key", "cell"])
+        # Blocks of the linked ones are negative, of the others positive; a pair of blocks is a task.
+        block = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int") + 1
+        placed = told.select("cell", "key", "parts", (F.col("state") == 2).alias("linked"), F.when(F.col("state") == 2, -block).otherwise(block).alias("block"))
+        others = placed.where("NOT linked").select("cell", "block").distinct()
+        # At most twice `parts` blocks of a cell, so this join is of blocks, not of members.
+        all_blocks = placed.select("cell", "block").distinct()
+        tasks = all_blocks.withColumnRenamed("block", "i").join(others.withColumnRenamed("block", "j"), "cell").where("i <= j")
+        ends = tasks.select("cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        plain = plain.unionByName(placed.join(ends, ["cell", "block"]).select("cell", "i", "j", "key", "linked", "block"))
+    plain = written(plain.join(members.select("cell", "key", "n"), ["cell", "key"]), "tasks")
+    found = written(joined(_with_sets(plain, sets, "members")), "links")
+    links = found if links is None else links.unionByName(found)
+    undecided, links = links.where("state = 1").select("a", "b"), links.where("state = 2").select("a", "b")
     roots = written(components(links), "roots")
-
-    def rooted(members: DataFrame) -> DataFrame:
-        """Members of regions in which more than one component is left."""
-        own = members.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        return own.withColumn("_low", F.min("root").over(token)).withColumn("_high", F.max("root").over(token)).where("_low != _high").drop("_low", "_high")
-
-    members = regions.where("key != pivot").join(found.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "far"), ["key", "pivot"]).join(classes.select("key", "n"), "key").select("token", "key", "far", "n")
-    members = written(rooted(members.dropDuplicates(["token", "key"])).withColumn("size", F.count(F.lit(1)).over(token)), "members")
-    tried = found.select("a", "b")
-    while True:
-        few = members.where(F.col("size") <= small)
-        x, y = few.alias("x"), few.alias("y")
-        near = (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") > F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        many = members.where(F.col("size") > small)
-        by_size = Window.partitionBy("token").orderBy("_same", "key")
-        chosen = many.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("token", "root"))).withColumn("_at", F.row_number().over(by_size)).where(F.col("_at") <= pivots)
-        z = chosen.alias("z")
-        more = many.alias("x").join(z, (F.col("x.token") == F.col("z.token")) & (F.col("x.key") != F.col("z.key")) & (F.col("x.root") != F.col("z.root")) & (F.abs(F.col("x.far") - F.col("z.far")) <= 1 - PERCENT / 100 + 1e-9))
-        more = more.select(F.greatest("x.key", "z.key").alias("a"), F.least("x.key", "z.key").alias("b"))
-        fresh = pairs.unionByName(more).distinct().join(tried, ["a", "b"], "left_anti")
-        found = known(fresh)
-        measured.append(found)
-        links = links.unionByName(found.where("linked").select("a", "b", "far"))
-        left = many.join(chosen.select("token", "key"), ["token", "key"], "left_anti")
-        if left.isEmpty():
-            break
+    # What is undecided, and would join components, by all 64 bits of each member.
+    sides = undecided
+    for side in ("a", "b"):
+        sides = sides.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    open_pairs = written(sides.where("_a != _b").select("a", "b").distinct(), "undecided")
+    if not open_pairs.isEmpty():
+        exact = sets_of(docs, classes, open_pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), exact=True, id_col=id_col, text_col=text_col)
+        links = links.unionByName(written(_compared(_two_sets(open_pairs, exact, "members"), np.uint64, 0), "exact").where("state = 2").select("a", "b"))
         roots = written(components(links), "roots")
-        members = written(rooted(left.drop("size")).withColumn("size", F.count(F.lit(1)).over(token)), "members")
-        tried = tried.unionByName(found.select("a", "b"))
-        if members.isEmpty():
-            break
-    return links, written(components(links), "roots")
+    return links, roots
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
