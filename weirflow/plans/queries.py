@@ -400,3 +400,16 @@ def ext_intersect(spark, sf):
     from weirflow.operators.setops import intersect
 
     return intersect(table(spark, sf, "customer", "c_nationkey"), table(spark, sf, "supplier", "s_nationkey"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS total FROM events WHERE event_id % 2 = 0 GROUP BY event_type")
+def ext_stream_to_files(spark, sf):
+    """The events as a stream: filtered into files by a streaming query, which are then folded."""
+    from weirflow import streaming
+
+    where = _shared(spark)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf, "events").schema)
+    stream = streaming.read_files(spark, f"{sf}/events.parquet*", kinds)
+    streaming.write(O.filter_rows(stream, "event_id % 2 = 0").select("event_id", "event_type"), f"{where}/checkpoint", f"{where}/out").awaitTermination()
+    out = spark.read.schema("event_id long, event_type string").parquet(f"{where}/out")
+    return O.hash_fold(out, "event_type", F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
