@@ -35,6 +35,17 @@ def ship(spark: SparkSession) -> None:
     sc._weirflow_shipped = True
 
 
+_HELD: dict[str, object] = {}
+
+
+def hold(name: str, release=None) -> None:
+    """Called where a Python worker starts an operator: what other operators kept in this worker is let go of."""
+    for other in [k for k in _HELD if k != name]:
+        if free := _HELD.pop(other):
+            free()
+    _HELD[name] = release
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import dropped, raw_texts, ship, text_of, written
+from weirflow.llm.common import dropped, hold, raw_texts, ship, text_of, written
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SIZE, PERCENT = 5, 75
@@ -153,6 +153,7 @@ _SHINGLER: list[Shingler] = []
 
 
 def _shingler() -> Shingler:
+    hold("jaccard", _SHINGLER.clear)
     if not _SHINGLER:
         _SHINGLER.append(Shingler())
     return _SHINGLER[0]
