@@ -20,18 +20,31 @@ from weirflow.llm.common import written
 from weirflow.llm.queries import piece_model_path, table
 
 
+#: Rows of an Arrow batch. Batches of whole texts, on both sides of a Python worker, are what an executor's memory beyond
+#: its heap is spent on.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of the stages; stays set, for stages are executed after they return."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects (a score under 0.7)."""
+    small_batches(spark)
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each component of near copies."""
+    small_batches(spark)
     return jaccard.kept(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a benchmark item is found."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,6 +55,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes the documents that are left."""
+    small_batches(spark)
     return pieces.encode_documents(docs, piece_model_path())
 
 
