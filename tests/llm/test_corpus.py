@@ -250,6 +250,37 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert abs((10**logs).sum() - 1) < 1e-4
 
 
+def test_modelled_vocabulary_grows_with_the_counts(spark):
+    sizes = []
+    for top in (2_000, 100_000):
+        counts = [top // (k + 1) + 1 for k in range(20 * int(top**0.5))]
+        total = sum(counts) * 5 // 4  # a fifth of the tokens is not broadcast
+        v = language_model.Vocabulary([b"w%d" % k for k in range(len(counts))], counts, total, 2 * len(counts), language_model.Shape())
+        assert sum(counts[: v.frequent]) >= 0.7 * total > sum(counts[: v.frequent - 1])
+        assert v.members.sum() == v.frequent <= v.shape.fine**2
+        sizes.append(v.frequent)
+    assert sizes[0] < sizes[1]
+    big = np.zeros((70_000, 1), np.float32)
+    language_model._add_rows(big, np.array([66_000, 464, 66_000, 464]), np.ones((4, 1), np.float32))
+    assert big[66_000] == big[464] == 2
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    v = language_model.vocabulary(language_model.token_counts(docs, F.lit(True)), language_model.Shape())
+    assert v.counts[: v.frequent].sum() >= 0.7 * v.total and v.frequent > 5_000
+
+
+def test_thin_windows_move_weights_by_their_tokens():
+    shape = language_model.Shape(hidden=4, frequent=5, fine=2, coarse=3, lanes=64)
+    v = language_model.Vocabulary([b"a", b"b", b"c", language_model.END, b"d", b"e"], [9, 8, 7, 6, 3, 2], 35, 6, shape)
+    net = language_model.Network.fresh(v)
+    trainer = language_model.Trainer(net)
+    texts = [b"a b c"] * 64
+    language_model.train_on(net, trainer, texts)
+    before, t = net.flat.copy(), trainer.t
+    language_model.train_on(net, trainer, [*texts[1:], b"d e " * 2400])
+    assert trainer.t - t == 201  # nearly all of them with one lane of 64
+    assert np.abs(net.flat - before).max() < 201 * trainer.rate / 16
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_base_scores(spark, extra):
     docs = cases.documents(spark, extra)

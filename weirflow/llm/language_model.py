@@ -2,8 +2,9 @@
 
 Tokens are words (A-Z lower-cased, split at white space) and one end per document.
 
-Output, factored by class. The most frequent words of the training documents are
-cut into classes, each with a softmax over its members given the state. Other words
+Output, factored by class. The most frequent words of the training documents, as many
+as make up `coverage` of their tokens, are cut into classes, each with a softmax over
+its members given the state; their number grows with the counts. Other words
 that are broadcast go to classes by the size of their count, and all the rest,
 unseen words included, to the last class; there, members follow their smoothed
 counts. P(token) = P(class | state) * P(word | class[, state]) sums to one over all
@@ -29,7 +30,7 @@ network keeps its first weights. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -43,19 +44,34 @@ from weirflow.llm.common import raw_texts, ship, text_of, words, written
 END = b"\n"
 WINDOW = 24
 ALPHA = 0.1
+#: Weights of a row, where the weights of partitions are averaged.
+BLOCK = 16_384
 
 
 @dataclass
 class Shape:
-    """Sizes. frequent: words with an embedding and a softmax of their own, in `fine` classes; coarse: classes of the others, the last for the words that are not broadcast."""
+    """Sizes. frequent: words with an embedding and a softmax of their own, in `fine` classes; coarse: classes of the others, the last for the words that are not broadcast.
 
-    hidden: int = 8
-    frequent: int = 384
-    fine: int = 12
+    Where `frequent` is not given it follows the counts: the fewest words that make up `coverage` of all training
+    tokens (of the `head` words that are broadcast at most), in as many classes as the root of their number.
+    """
+
+    hidden: int = 12
+    frequent: int | None = None
+    fine: int | None = None
+    coverage: float = 0.7
     coarse: int = 16
     lanes: int = 512
     head: int = 131_072
 
+    def fitted(self, counts: np.ndarray, total: int) -> Shape:
+        """The shape with its sizes for these falling counts of the broadcast words."""
+        n = self.frequent
+        if n is None:
+            n = int(np.searchsorted(np.cumsum(counts), self.coverage * total)) + 1
+        n = min(n, len(counts))
+        return replace(self, frequent=n, fine=self.fine or max(1, int(np.ceil(np.sqrt(n)))))
+
 
 # -- counts ----------------------------------------------------------------------
 def token_counts(docs: DataFrame, training, text_col: str = "text", held: int = 300_000) -> DataFrame:
@@ -87,8 +103,9 @@ class Vocabulary:
     """The broadcast words by falling count, their classes, and their log10 shares within coarse classes."""
 
     def __init__(self, tokens: list[bytes], counts: list[int], total: int, distinct: int, shape: Shape):
-        self.counts, self.total, self.distinct, self.shape = np.array(counts, float), total, distinct, shape
-        s, n = shape, min(shape.frequent, len(tokens))
+        self.counts, self.total, self.distinct = np.array(counts, float), total, distinct
+        self.shape = s = shape.fitted(self.counts, total)
+        n = s.frequent
         self.frequent = n
         self.index = {t: i for i, t in enumerate(tokens)}
         # Fine classes: stretches of the frequent words with about equal sums of root counts.
@@ -196,12 +213,11 @@ class Network:
         some = np.flatnonzero(ids >= 0)
         order = some[np.argsort(classes[some].astype(np.uint16), kind="stable")]
         cuts = np.searchsorted(classes[order], np.arange(self.v.shape.fine + 1))
-        for c in range(self.v.shape.fine):
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
             rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                a, m = self.v.starts[c], self.v.members[c]
-                own = self.bounded(states[rows] @ self.p["O"][a : a + m].T + self.p["ob"][a : a + m])
-                out[rows] += own[np.arange(len(rows)), ids[rows] - a] - np.log(_row_sums(np.exp(own)))
+            a, m = self.v.starts[c], self.v.members[c]
+            own = self.bounded(states[rows] @ self.p["O"][a : a + m].T + self.p["ob"][a : a + m])
+            out[rows] += own[np.arange(len(rows)), ids[rows] - a] - np.log(_row_sums(np.exp(own)))
         return out
 
     def window_gradient(self, x_kinds, y_classes, y_ids, fresh, weight, state) -> tuple[np.ndarray, float, np.ndarray]:
@@ -237,21 +253,20 @@ class Network:
         some = np.flatnonzero((yi >= 0) & (w > 0))
         order = some[np.argsort(yc[some].astype(np.uint16), kind="stable")]
         cuts = np.searchsorted(yc[order], np.arange(v.shape.fine + 1))
-        for c in range(v.shape.fine):
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
             own_rows = order[cuts[c] : cuts[c + 1]]
-            if len(own_rows):
-                a, m = v.starts[c], v.members[c]
-                s = flat[own_rows]
-                q = self.bounded(s @ p["O"][a : a + m].T + p["ob"][a : a + m])
-                np.exp(q, out=q)
-                q /= _row_sums(q)[:, None]
-                at = np.arange(len(own_rows))
-                loss -= float(np.log(q[at, yi[own_rows] - a] + 1e-20).sum())
-                q[at, yi[own_rows] - a] -= 1
-                q *= scale
-                g["O"][a : a + m] = q.T @ s
-                g["ob"][a : a + m] = q.sum(axis=0)
-                d_states[own_rows] += q @ p["O"][a : a + m]
+            a, m = v.starts[c], v.members[c]
+            s = flat[own_rows]
+            q = self.bounded(s @ p["O"][a : a + m].T + p["ob"][a : a + m])
+            np.exp(q, out=q)
+            q /= _row_sums(q)[:, None]
+            at = np.arange(len(own_rows))
+            loss -= float(np.log(q[at, yi[own_rows] - a] + 1e-20).sum())
+            q[at, yi[own_rows] - a] -= 1
+            q *= scale
+            g["O"][a : a + m] = q.T @ s
+            g["ob"][a : a + m] = q.sum(axis=0)
+            d_states[own_rows] += q @ p["O"][a : a + m]
         d_states = d_states.reshape(steps, lanes, h)
         d_gates = np.empty_like(gates)
         later = np.zeros((lanes, h), np.float32)
@@ -290,7 +305,7 @@ def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """out[at] += rows, with repeats: sorted, then summed by segment."""
     if not len(at):
         return
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # classes and frequent words: few
+    order = np.argsort(at.astype(np.uint16) if len(out) <= 1 << 16 else at, kind="stable")
     own = at[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     out[own[first]] += np.add.reduceat(rows[order], first, axis=0)
@@ -302,14 +317,15 @@ class Trainer:
     def __init__(self, net: Network, rate: float = 0.01):
         self.net, self.rate, self.m, self.s, self.t = net, rate, np.zeros_like(net.flat), np.zeros_like(net.flat), 0
 
-    def step(self, gradient: np.ndarray) -> None:
+    def step(self, gradient: np.ndarray, share: float = 1.0) -> None:
+        """share: the window's tokens by those of a full one, so that windows where few lanes go on move the weights as little as they weigh."""
         self.t += 1
         norm = float(np.sqrt((gradient * gradient).sum()))
         if norm > 1:
             gradient = gradient / norm
         self.m += 0.1 * (gradient - self.m)
         self.s += 0.01 * (gradient * gradient - self.s)
-        rate = self.rate / (1 + self.t / 400) ** 0.5
+        rate = share * self.rate / (1 + self.t / 400) ** 0.5
         self.net.flat -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8)
 
 
@@ -379,7 +395,7 @@ def train_on(net: Network, trainer: Trainer, texts: list[bytes]) -> tuple[float,
     loss = 0.0
     for _, on, x, y, fresh in grid.windows(WINDOW):
         gradient, own, state = net.window_gradient(net.v.kind_of[x], *_read(net.v, y), fresh, y >= 0, state[:on])
-        trainer.step(gradient)
+        trainer.step(gradient, float((y >= 0).sum()) / (WINDOW * len(grid.ends)))
         loss += own
     return loss, int(grid.sizes.sum())
 
@@ -465,12 +481,18 @@ def train(docs: DataFrame, training, v: Vocabulary, warm_rows: int = 400, id_col
             for _, texts in _groups(batch, 0):
                 tokens += train_on(own, trainer, texts)[1]
         if tokens:
-            n = len(own.flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int64()), pa.array(own.flat.astype(float) * tokens), pa.array(np.full(n, float(tokens)))], names=["k", "x", "w"])
+            starts = range(0, len(own.flat), BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([own.flat[k : k + BLOCK].tobytes() for k in starts], pa.binary()), pa.array([tokens] * len(starts), pa.int64())], names=["k", "x", "w"])
+
+    def mean(group: pa.Table) -> pa.Table:
+        w = np.array(group.column("w").to_pylist(), float)
+        x = sum(np.frombuffer(b, np.float32) * k for b, k in zip(group.column("x").to_pylist(), w / w.sum(), strict=True))
+        return pa.table({"k": group.column("k")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
 
-    mean = rows.mapInArrow(run, "k long, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
+    means = rows.mapInArrow(run, "k long, x binary, w long").groupBy("k").applyInArrow(mean, "k long, x binary").toArrow()
     out = np.array(net.flat)
-    out[np.array(mean.column("k").to_pylist(), np.int64)] = np.array(mean.column("x").to_pylist(), np.float32)
+    for k, x in zip(means.column("k").to_pylist(), means.column("x").to_pylist(), strict=True):
+        out[k : k + BLOCK] = np.frombuffer(x, np.float32)
     return out
 
 
