@@ -167,6 +167,17 @@ def test_terms_that_disclose(spark):
     assert "Zorblax" not in clean[300] and "[EMAIL]" in clean[300] and clean[0] == rows[0][1]
 
 
+def test_terms_of_entities_in_one_text(spark):
+    rows = [(i, f"stone river cloud mountain number{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)]
+    rows += [(300, "stone Quellmann river lone@one.example.org cloud"), (301, "river Quellmann cloud stone")]
+    rows += [(302, "stone Firmwerk anna@firm.example.net"), (303, "river Firmwerk bert@firm.example.net cloud")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.found(docs).collect()}
+    assert "term:6:15" in got[300].split(",")  # one text has the entity, two have the term
+    assert "removed:6:14" in got[302].split(",") and "removed:6:14" in got[303].split(",")  # by the domain
+    assert all(s.split(":")[0] == "email" or s in ("term:6:15", "removed:6:14") for k in (300, 302, 303) for s in got[k].split(","))
+
+
 def test_sanitised_keeps_columns(spark):
     docs = cases.documents(spark, extra=True)
     out = pii.sanitised(docs)

@@ -7,9 +7,13 @@ Terms near an entity may reveal it. With N documents, df(e) those with the entit
 df(t) those with the term anywhere and df(e, t) those with the term near the
 entity, the term tells PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) of the
 IC(e) = log2(N / df(e)) bits that identify the entity. A term that tells at least
-`generalise` of them is replaced by its kind, from `remove` on it is taken out;
-both need support by at least `support` different texts, so a single document, or
-copies of one, flags nothing. Counts cover all documents.
+`generalise` of them is replaced by its kind, from `remove` on it is taken out.
+Most entities stand in one text, so the pair needs no second one: the term must be
+said by at least `support` different texts, with the entity or without it, so words of
+a single document, or of copies of one, flag nothing. Parts that entities share count
+as entities of their own: a mail's local part and its domain, and the first three
+parts of an ip; cards and phones are compared by their digits. Counts cover all
+documents and are exact.
 
 Everything here is DataFrame functions: no Python runs on the executors. Null texts
 count as empty; rows are told apart by a 64-bit hash of id and text, so null ids and
@@ -102,7 +106,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _entity(kind: str):
-    return lambda s: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
+    value = F.lower if kind in ("email", "ip") else lambda v: F.regexp_replace(v, "[^0-9]", "")
+    return lambda s: F.struct(F.concat(F.lit(f"{kind}:"), value(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
+
+
+def _pools(entity: str) -> Column:
+    """An entity and the parts of it that other entities may share."""
+    e = F.col(entity)
+    mail = F.array(e, F.concat(F.lit("local:"), F.regexp_extract(e, "^email:([^@]*)@", 1)), F.concat(F.lit("domain:"), F.substring_index(e, "@", -1)))
+    ip = F.array(e, F.concat(F.lit("net:"), F.regexp_extract(e, r"^ip:(.*)\.", 1)))
+    return F.when(e.startswith("email:"), mail).when(e.startswith("ip:"), ip).otherwise(F.array(e))
 
 
 def contexts(spanned: DataFrame) -> DataFrame:
@@ -122,18 +135,22 @@ def contexts(spanned: DataFrame) -> DataFrame:
     return placed.where(~F.exists("all", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("all").distinct()
 
 
+def _texts(support: int) -> Column:
+    """The number of different texts, exact up to `support`: of up to two, the least and the greatest hash tell, without a set."""
+    return F.count_distinct("text_hash") if support > 2 else F.when(F.min("text_hash") < F.max("text_hash"), 2).otherwise(1)
+
+
 def disclosing(rows: DataFrame, near: DataFrame, support: int = 2, generalise: float = 0.8, small: int = 200_000) -> DataFrame:
     """(entity, term, share): pairs whose term tells at least `generalise` of the entity's information. rows: _row, _text of all documents."""
-    pairs = near.select("entity", "term", "_row", "text_hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.approx_count_distinct("text_hash", 0.01).alias("texts"))
-    pairs = written(pairs.where(F.col("texts") >= support), "pairs")
+    pairs = written(near.select("entity", "term", "_row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")), "pairs")
     terms = pairs.select("term").distinct()
     if terms.count() <= small:  # checked; else both sides are shuffled
         terms = F.broadcast(terms)
-    said = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
-    df_term = said.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    said = rows.select(F.xxhash64("_text").alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
+    df_term = said.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"), _texts(support).alias("texts"))
     df_entity = near.select("entity", "_row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
     n = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
-    full = pairs.join(df_term, "term").join(df_entity, "entity").join(F.broadcast(n))
+    full = pairs.join(df_term.where(F.col("texts") >= support), "term").join(df_entity, "entity").join(F.broadcast(n))
     pmi, ic = F.log2(F.col("n") * F.col("both") / (F.col("entity_docs") * F.col("term_docs"))), F.log2(F.col("n") / F.col("entity_docs"))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     return full.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
@@ -141,7 +158,7 @@ def disclosing(rows: DataFrame, near: DataFrame, support: int = 2, generalise: f
 
 def term_spans(docs: DataFrame, spanned: DataFrame, remove: float = 0.95, **options) -> DataFrame:
     """(_row, terms): per document with such terms, their spans as (start, rank, end, kind); kind is 'term' (generalised) or 'removed'."""
-    near = written(contexts(spanned), "contexts")
+    near = written(contexts(spanned).withColumn("entity", F.explode(_pools("entity"))), "contexts")
     told = disclosing(docs, near, **options)
     hit = near.join(told, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= remove, "removed").otherwise("term")
