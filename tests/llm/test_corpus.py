@@ -178,6 +178,16 @@ def test_terms_of_entities_in_one_text(spark):
     assert all(s.split(":")[0] == "email" or s in ("term:6:15", "removed:6:14") for k in (300, 302, 303) for s in got[k].split(","))
 
 
+def test_terms_far_away_and_in_other_documents(spark):
+    far = "stone river cloud mountain " * 10
+    rows = [(i, f"{far}number{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)]
+    rows += [(300, f"lone@one.example.org {far}\n\nQuellmann Yx K7791 stone QUELLMANN"), (301, f"two@two.example.org {far} quellmann yx k7791"), (302, "river\nQuellmann cloud YX, K7791. Quellmanns")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs, generalise=0.75).collect()}
+    assert clean[300] == f"[EMAIL] {far}\n\n[TERM] [TERM] [TERM] stone [TERM]" and clean[301] == f"[EMAIL] {far} [TERM] [TERM] [TERM]"
+    assert clean[302] == "river\n[TERM] cloud [TERM], [TERM]. Quellmanns" and clean[5] == rows[5][1]
+
+
 def test_sanitised_keeps_columns(spark):
     docs = cases.documents(spark, extra=True)
     out = pii.sanitised(docs)

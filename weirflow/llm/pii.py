@@ -3,11 +3,12 @@
 Base spans are found by four patterns over each whole text: email, ip (parts at most
 255), card (12 to 19 digits with a valid check digit) and phone (9 to 15 digits).
 
-Terms near an entity may reveal it. With N documents, df(e) those with the entity,
-df(t) those with the term anywhere and df(e, t) those with the term near the
-entity, the term tells PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) of the
+Terms, which are words of two letters or digits at least, may reveal an entity. With
+N documents, df(e) those with the entity, df(t) those with the term anywhere and
+df(e, t) those with the entity and, anywhere outside base spans, the term, the term tells PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) of the
 IC(e) = log2(N / df(e)) bits that identify the entity. A term that tells at least
-`generalise` of them is replaced by its kind, from `remove` on it is taken out.
+`generalise` of them is replaced by its kind, from `remove` on it is taken out, wherever
+any document says it outside base spans.
 Most entities stand in one text, so the pair needs no second one: the term must be
 said by at least `support` different texts, with the entity or without it, so words of
 a single document, or of copies of one, flag nothing. Parts that entities share count
@@ -42,8 +43,9 @@ PATTERNS = {
 }
 _SMALL_PART = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
-#: Characters of context on each side of an entity, letters of a term at least.
-REACH, TERM = 60, r"\p{L}{4,}"
+#: A term: a longest run of these characters.
+_OF_TERM = r"\p{L}\p{M}\p{N}_"
+TERM = rf"[{_OF_TERM}]{{2,}}"
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -110,29 +112,40 @@ def _entity(kind: str):
     return lambda s: F.struct(F.concat(F.lit(f"{kind}:"), value(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
 
 
-def _pools(entity: str) -> Column:
+def _pools(e: Column) -> Column:
     """An entity and the parts of it that other entities may share."""
-    e = F.col(entity)
     mail = F.array(e, F.concat(F.lit("local:"), F.regexp_extract(e, "^email:([^@]*)@", 1)), F.concat(F.lit("domain:"), F.substring_index(e, "@", -1)))
     ip = F.array(e, F.concat(F.lit("net:"), F.regexp_extract(e, r"^ip:(.*)\.", 1)))
     return F.when(e.startswith("email:"), mail).when(e.startswith("ip:"), ip).otherwise(F.array(e))
 
 
+def _replaced(text: Column, spans: Column, label, keep: bool = False) -> Column:
+    """The text with label(span) for each of the sorted spans. Of overlapping ones the earlier is replaced, and what reaches beyond it is cut out, or blanked to keep places."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def replace(s: Column, x: Column) -> Column:
+        between = F.substring(text, s["at"] + 1, x["start"] - s["at"])
+        rest = F.concat(s["out"], F.repeat(F.lit("\n"), x["end"] - s["at"])) if keep else s["out"]
+        return F.when(x["end"] <= s["at"], s).when(x["start"] < s["at"], F.struct(x["end"].alias("at"), rest.alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], between, label(x)).alias("out")))
+
+    return F.aggregate(spans, begin, replace, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def _words(text: Column) -> Column:
+    """The different words of a text, as they stand there."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(_words(text), F.lower))
+
+
 def contexts(spanned: DataFrame) -> DataFrame:
-    """(row, text_hash, entity, term, start, end): terms within REACH characters of a base span, whole and outside the base spans."""
+    """(entities, terms) of each document with base spans: entities with their pools, and all terms outside base spans."""
     spans = F.concat(*[F.transform(F.col(f"_{k}"), _entity(k)) for k in KINDS])
-    near = spanned.where(F.size(spans) > 0).select("_row", F.xxhash64("_text").alias("text_hash"), "_text", spans.alias("all"), F.explode(spans).alias("s"))
-    low, size = F.greatest(F.col("s.start") - REACH, F.lit(0)), F.length("_text")
-    sides = F.array(
-        F.struct(low.alias("at"), F.expr("substring(_text, greatest(s.start - 60, 0) + 1, s.start - greatest(s.start - 60, 0))").alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(F.col("s.end").alias("at"), F.expr("substring(_text, s.end + 1, 60)").alias("part"), F.lit(False).alias("cut_left"), (F.col("s.end") + REACH < size).alias("cut_right")),
-    )
-    side = near.select("_row", "text_hash", "all", F.col("s.entity").alias("entity"), F.explode(sides).alias("side")).where(F.length("side.part") > 0)
-    found = side.withColumn("term", F.explode(_located(F.regexp_extract_all("side.part", F.lit(TERM), F.lit(0)), F.split("side.part", TERM, -1))))
-    start, end = F.col("side.at") + F.col("term.start"), F.col("side.at") + F.col("term.end")
-    whole = ~(F.col("side.cut_left") & (F.col("term.start") == 0)) & ~(F.col("side.cut_right") & (F.col("term.end") == F.length("side.part")))
-    placed = found.where(whole).select("_row", "text_hash", "all", "entity", F.lower("term.value").alias("term"), start.alias("start"), end.alias("end"))
-    return placed.where(~F.exists("all", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("all").distinct()
+    entities = F.array_distinct(F.flatten(F.transform(spans, lambda s: _pools(s["entity"]))))
+    some = spanned.where(F.size(_base()) > 0)
+    return some.select(entities.alias("entities"), _terms(_replaced(F.col("_text"), F.array_sort(_base()), lambda _: F.lit("\n"))).alias("terms"))
 
 
 def _texts(support: int) -> Column:
@@ -140,29 +153,41 @@ def _texts(support: int) -> Column:
     return F.count_distinct("text_hash") if support > 2 else F.when(F.min("text_hash") < F.max("text_hash"), 2).otherwise(1)
 
 
-def disclosing(rows: DataFrame, near: DataFrame, support: int = 2, generalise: float = 0.8, small: int = 200_000) -> DataFrame:
-    """(entity, term, share): pairs whose term tells at least `generalise` of the entity's information. rows: _row, _text of all documents."""
-    pairs = written(near.select("entity", "term", "_row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")), "pairs")
-    terms = pairs.select("term").distinct()
-    if terms.count() <= small:  # checked; else both sides are shuffled
-        terms = F.broadcast(terms)
-    said = rows.select(F.xxhash64("_text").alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
-    df_term = said.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"), _texts(support).alias("texts"))
-    df_entity = near.select("entity", "_row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
-    full = pairs.join(df_term.where(F.col("texts") >= support), "term").join(df_entity, "entity").join(F.broadcast(n))
+def disclosing(rows: DataFrame, own: DataFrame, support: int = 2, generalise: float = 0.8) -> DataFrame:
+    """(entity, term, share): pairs whose term tells at least `generalise` of the entity's information. rows: _text of all documents; own: their contexts()."""
+    df_entity = own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
+    n = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(df_entity.agg(F.max("entity_docs").alias("most")))  # one row
+    said = rows.select(F.xxhash64("_text").alias("text_hash"), F.explode(_terms(F.col("_text"))).alias("term"))
+    df_term = said.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"), _texts(support).alias("texts")).where(F.col("texts") >= support)
+    # PMI is log2(N / df(t)) at most, so terms of more documents tell too little of any entity.
+    rare = df_term.join(F.broadcast(n)).where(F.log2(F.col("n") / F.col("term_docs")) >= generalise * F.log2(F.col("n") / F.col("most")) - 1e-9)
+    pairs = own.select("entities", F.explode("terms").alias("term")).join(rare, "term").select("term", "term_docs", "n", F.explode("entities").alias("entity"))
+    full = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("term_docs").alias("term_docs"), F.first("n").alias("n")).join(df_entity, "entity")
     pmi, ic = F.log2(F.col("n") * F.col("both") / (F.col("entity_docs") * F.col("term_docs"))), F.log2(F.col("n") / F.col("entity_docs"))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     return full.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
 
 
-def term_spans(docs: DataFrame, spanned: DataFrame, remove: float = 0.95, **options) -> DataFrame:
-    """(_row, terms): per document with such terms, their spans as (start, rank, end, kind); kind is 'term' (generalised) or 'removed'."""
-    near = written(contexts(spanned).withColumn("entity", F.explode(_pools("entity"))), "contexts")
-    told = disclosing(docs, near, **options)
-    hit = near.join(told, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
-    kind = F.when(F.col("share") >= remove, "removed").otherwise("term")
-    return hit.groupBy("_row").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), kind.alias("kind"))).alias("terms"))
+def term_spans(docs: DataFrame, spanned: DataFrame, remove: float = 0.95, small: int = 200_000, **options) -> DataFrame:
+    """(_row, terms): per document with such terms, all their spans outside base spans as (start, rank, end, kind); kind is 'term' (generalised) or 'removed'."""
+    own = written(contexts(spanned), "contexts")
+    told = written(disclosing(docs, own, **options).groupBy("term").agg(F.max("share").alias("share")), "told")
+    if told.count() <= small:  # checked; else both sides are shuffled
+        told = F.broadcast(told)
+    said = docs.select("_row", F.explode(_words(F.col("_text"))).alias("word"))
+    hit = said.join(told.withColumnRenamed("term", "_term"), F.lower("word") == F.col("_term"))
+    hits = written(hit.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("word", "share"))).alias("_share")), "hits")
+    if hits.count() <= small:
+        hits = F.broadcast(hits)
+    pattern = F.concat(F.lit(rf"(?<![{_OF_TERM}])(?:"), F.array_join(F.map_keys("_share"), "|"), F.lit(rf")(?![{_OF_TERM}])"))
+    # Base spans are blanked, so that places stay; they are read once a row, not once a term.
+    blank = _replaced(F.col("_text"), F.array_sort(_base()), lambda x: F.repeat(F.lit("\n"), x["end"] - x["start"]), keep=True)
+    placed = with_spans(docs.join(hits, "_row"), "_text").select("_row", "_share", pattern.alias("_pattern"), blank.alias("_blank"))
+    spans = _located(F.regexp_extract_all("_blank", F.col("_pattern"), F.lit(0)), F.split("_blank", F.col("_pattern"), -1))
+    kind = lambda t: F.when(F.element_at("_share", t["value"]) >= remove, "removed").otherwise("term")
+    terms = F.transform(spans, lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), t["end"].alias("end"), kind(t).alias("kind")))
+    # Repeated rows have one hash and the same spans.
+    return placed.select("_row", terms.alias("terms")).groupBy("_row").agg(F.first("terms").alias("terms"))
 
 
 _NO_TERMS = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"
@@ -190,13 +215,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     own = with_spans(keyed, "_text").withColumn("_base", _base())
     full = own.join(terms.withColumnRenamed("terms", "_terms"), "_row", "left")
     spans = F.array_sort(F.concat("_base", F.coalesce("_terms", F.expr(_NO_TERMS))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def replace(s: Column, x: Column) -> Column:
-        label = F.when(x["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        between = F.substring(F.col("_text"), s["at"] + 1, x["start"] - s["at"])
-        return F.when(x["end"] <= s["at"], s).when(x["start"] < s["at"], F.struct(x["end"].alias("at"), s["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], between, label).alias("out")))
-
-    done = F.aggregate(spans, begin, replace, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.length("_text"))))
+    label = lambda x: F.when(x["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    done = _replaced(F.col("_text"), spans, label)
     clean = F.when(F.size(spans) == 0, F.col("_docs")[text_col]).otherwise(done)
     return full.select(*[(clean if c == text_col else F.col("_docs")[c]).alias(c) for c in docs.columns])
