@@ -9,6 +9,7 @@ from tests.conftest import rows
 from weirflow import streaming
 from weirflow.plans import Graph, iterate, k_means
 from weirflow.session import Session
+from weirflow.shared import shared_dir
 from weirflow.sources import foreach, generate, read_csv, register_generator, write_csv
 
 
@@ -113,6 +114,38 @@ def test_graph_rules(spark):
         Graph().add("a", lambda: 1).add("b", lambda: 1).connect("a", "b", backward=True).order()
 
 
+def test_two_loops(spark):
+    def graph():
+        g = Graph().add("s", lambda: spark.range(3)).add("a", lambda d: d, "s").add("x", lambda d: d.select((F.col("id") + 1).alias("id")), "a")
+        return g.add("b", lambda d: d, "s").add("y", lambda d: d.select((F.col("id") * 2).alias("id")), "b").connect("x", "a", backward=True)
+
+    ends = graph().connect("y", "b", backward=True).submit(rounds=4, checkpoint_every=2)
+    assert {k: sorted(r.id for r in v.collect()) for k, v in ends.items()} == {"x": [4, 5, 6], "y": [0, 16, 32]}
+    seen = []
+    graph().submit(rounds=9, until=lambda a, b, n: seen.append(n) or n == 2)
+    assert seen == [1, 2]
+    with pytest.raises(ValueError):
+        graph().connect("y", "a", backward=True).submit(rounds=2)
+
+
+def test_clusters_need_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Cluster:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster())
+
+
 def test_k_means_keeps_empty_clusters(spark):
     points = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 10.0)], "p int, x double")
     seeds = spark.createDataFrame([(0, 0.0), (1, 9.0), (2, 500.0)], "cluster int, x double")
@@ -128,6 +161,9 @@ def test_streams(spark, tmp_path):
     q = streaming.write(stream.where("v > 2").select("k", "v"), str(tmp_path / "c1"), str(tmp_path / "out"))
     q.awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("a", 3), ("a", 4)]
+    loose = streaming.keyed_state(stream, "k", "v", None, lambda s, v: s + v)
+    streaming.write(loose, str(tmp_path / "c3"), "loose", format="memory", mode="update").awaitTermination(90)
+    assert rows(spark.table("loose")) == [("a", 7), ("b", 2)]
     state = streaming.keyed_state(stream, "k", "v", "o", lambda s, v: s + v if (s + v) % 2 else None)
     q = streaming.write(state, str(tmp_path / "c2"), "kept", format="memory", mode="update")
     q.awaitTermination(90)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from weirflow.functions.lifecycle import Environment, opened
 from weirflow.schema import Keys, columns
+from weirflow.shared import checkpointed, ship
 
 
 def fold(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -45,6 +47,7 @@ def monoid(df: DataFrame, keys: Keys, fold_of: Monoid, schema: str, finish: Call
     """
     import pickle
 
+    ship(df.sparkSession)
     own = [c.alias(f"_k{i}") for i, c in enumerate(columns(keys))]
     names = [f"_k{i}" for i in range(len(own))]
     keyed = df.select(*own, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_record"))
@@ -91,18 +94,31 @@ def monoid(df: DataFrame, keys: Keys, fold_of: Monoid, schema: str, finish: Call
     return keyed.mapInArrow(partial, middle).repartition(*names).sortWithinPartitions(*names).mapInArrow(final, target)
 
 
-def fold_expr(df: DataFrame, keys: Keys, order: Keys, zero: Column, step: Callable[[Column, Column], Column], value: Column, name: str = "value") -> DataFrame:
-    """An ordered fold per key by Column expressions, for folds that depend on order. The rows of a key must fit in memory."""
-    item = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(columns(order))], value.alias("_v"))
-    grouped = df.groupBy(*columns(keys)).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return grouped.withColumn(name, F.aggregate("_items", zero, lambda a, x: step(a, x["_v"]))).drop("_items")
+def fold_ordered(df: DataFrame, keys: Keys, order: Keys, zero: object, step: Callable[[object, dict], object], schema: str, finish: Callable[[object], tuple] | None = None) -> DataFrame:
+    """An ordered fold per key: value = step(value, row) over the rows (dicts) of a key in order, for folds that no two phases can make.
+
+    One row per key: its key and the value (a tuple, by finish). Rows are streamed, so a key of any size needs the
+    memory of one batch; the steps of one key run one after another in one task, which is their nature.
+    """
+    own = columns(keys)
+    names = [f"_f{i}" for i in range(len(own))]
+
+    def folded(rows: Iterable[dict]) -> list[tuple]:
+        value, key = zero, ()
+        for row in rows:
+            key = tuple(row.pop(n) for n in names)
+            value = step(value, row)
+        return [(*key, *(finish(value) if finish else (value,)))]
+
+    return map_group(df.select("*", *[c.alias(n) for c, n in zip(own, names, strict=True)]), keys, folded, schema, order)
 
 
 def group_runs(df: DataFrame, order: Keys, keys: Keys, *aggregates: Column, partition_by: Keys | None = None) -> DataFrame:
     """A row per run of equal keys among rows in order: the keys, run (a number within partition_by) and the aggregates.
 
-    Without partition_by the whole order is global; runs are then found in two steps, so that rows are ranged over
-    all partitions and only one row per partition meets in one place.
+    Without partition_by the order is global: rows are ranged over all partitions and numbered there, and that is
+    written to the shared folder, now, as partitions and numbers must be the same wherever they are read; then one row
+    per partition meets in one place and says where its runs begin. Rows that tie in `order` keep one order, whichever.
     """
     own = columns(keys)
     key = F.struct(*own)
@@ -115,21 +131,24 @@ def group_runs(df: DataFrame, order: Keys, keys: Keys, *aggregates: Column, part
     ranged = df.repartitionByRange(*columns(order)).withColumn("_part", F.spark_partition_id())
     window = Window.partitionBy("_part").orderBy(*columns(order))
     marked = ranged.withColumn("_key", key).withColumn("_at", F.row_number().over(window)).withColumn("_same", (F.col("_at") > 1) & F.lag("_key").over(window).eqNullSafe(F.col("_key")))
-    marked = marked.withColumn("_new", F.when(F.col("_same"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = marked.withColumn("_run", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    held = checkpointed(numbered.drop("_same"))
     # One row per partition: its number of runs, first and last key.
-    ends = marked.groupBy("_part").agg(F.max("_run").alias("runs"), F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last"))
+    ends = held.groupBy("_part").agg(F.max("_run").alias("runs"), F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last"))
     line = Window.orderBy("_part")
     joined = (F.row_number().over(line) > 1) & F.lag("last").over(line).eqNullSafe(F.col("first"))
-    base = ends.withColumn("_joined", F.when(joined, 1).otherwise(0)).withColumn("_base", F.coalesce(F.sum("runs").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("_joined").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    numbered = marked.join(F.broadcast(base.select("_part", "_base")), "_part").withColumn("run", F.col("_run") + F.col("_base"))
-    return numbered.groupBy(*own, "run").agg(*aggregates)
+    before = F.coalesce(F.sum("runs").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = ends.withColumn("_joined", F.when(joined, 1).otherwise(0)).withColumn("_base", before - F.sum("_joined").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = held.join(F.broadcast(base.select("_part", "_base")), "_part").withColumn("run", F.col("_run") + F.col("_base"))
+    return placed.groupBy(*own, "run").agg(*aggregates)
 
 
-def map_group(df: DataFrame, keys: Keys, function: Callable[[Iterable[dict]], Iterable[tuple]], schema: str, order: Keys | None = None) -> DataFrame:
+def map_group(df: DataFrame, keys: Keys, function: Callable[[Iterable[dict]], Iterable[tuple]], schema: str, order: Keys | None = None, environment: Environment | None = None) -> DataFrame:
     """A Python function over the rows of each key (an iterator of dicts, in order), which yields tuples.
 
     Rows are streamed: a group of any size needs the memory of one batch, unless the function keeps its rows.
     """
+    ship(df.sparkSession)
     own = columns(keys)
     names = [f"_g{i}" for i in range(len(own))]
     target = _parse_datatype_string(schema)
@@ -141,12 +160,13 @@ def map_group(df: DataFrame, keys: Keys, function: Callable[[Iterable[dict]], It
 
         rows = (row for batch in batches for row in batch.to_pylist())
         out: list[dict] = []
-        for _, group in groupby(rows, key=lambda r: tuple(r[n] for n in names)):
-            for made in function({c: v for c, v in r.items() if c not in names} for r in group):
-                out.append(dict(zip(target.names, made, strict=True)))
-                if len(out) >= 10_000:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                    out = []
+        with opened(function, environment) as made_by:
+            for _, group in groupby(rows, key=lambda r: tuple(r[n] for n in names)):
+                for made in made_by({c: v for c, v in r.items() if c not in names} for r in group):
+                    out.append(dict(zip(target.names, made, strict=True)))
+                    if len(out) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out = []
         yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return dealt.mapInArrow(run, target)

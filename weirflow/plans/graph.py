@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from weirflow.plans.iterate import iterate
+from weirflow.shared import checkpointed
 
 #: Kinds of nodes that were never given a meaning; plans that use them are refused.
 UNDEFINED = ("loop_control",)
@@ -23,8 +23,8 @@ class _Node:
 class Graph:
     """A graph of operators. A node is a function of its inputs' frames; sinks are what submit() gives.
 
-    Nodes that feed several others are the same frame there. A backward edge makes the graph a loop: submit(rounds=n)
-    feeds the result of the edge's start (tail) into its end (head) for the next round.
+    Nodes that feed several others are the same frame there. Backward edges make the graph a loop: submit(rounds=n)
+    feeds the result of each edge's start (tail) into its end (head) for the next round, all edges at once.
     """
 
     def __init__(self, name: str = "graph"):
@@ -91,13 +91,25 @@ class Graph:
                 out[name] = df.repartition(node.parallelism) if node.parallelism else df
         return out
 
-    def submit(self, rounds: int = 1, until: Callable[[DataFrame, DataFrame, int], bool] | None = None) -> dict[str, DataFrame]:
-        """The frames of the sinks, lazily; a failed action raises. With a backward edge, after so many rounds."""
+    def submit(self, rounds: int = 1, until: Callable[[DataFrame, DataFrame, int], bool] | None = None, checkpoint_every: int = 10) -> dict[str, DataFrame]:
+        """The frames of the sinks, lazily; a failed action raises. With backward edges, those of the tails after so many rounds, or once `until` holds for every edge."""
         if not self._back:
             return {s: f for s, f in self.frames().items() if s in self.sinks()}
-        (tail, head), *more = self._back
-        if more:
-            raise NotImplementedError("more than one loop")
-        first = self.frames()[head]
-        last = iterate(first, lambda df: self.frames({head: df})[tail], rounds, until)
-        return {tail: last}
+        heads = self._loop_heads()
+        for n in range(1, rounds + 1):
+            frames = self.frames(heads)
+            fresh = {head: frames[tail] for tail, head in self._back}
+            if until is not None or (n % checkpoint_every == 0 and n < rounds):
+                fresh = {head: checkpointed(df) for head, df in fresh.items()}
+            done = until is not None and all(until(heads[h], fresh[h], n) for h in fresh)
+            heads = fresh
+            if done:
+                break
+        return {tail: heads[head] for tail, head in self._back}
+
+    def _loop_heads(self) -> dict[str, DataFrame]:
+        ends = [head for _, head in self._back]
+        if len(set(ends)) < len(ends):
+            raise ValueError("two backward edges end at one node")
+        first = self.frames()
+        return {head: first[head] for head in ends}

@@ -4,20 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share (spark.checkpoint.dir), which cuts its lineage."""
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not where:
-            import tempfile
-
-            where = "file://" + tempfile.mkdtemp(prefix="weirflow-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+from weirflow.shared import checkpointed
 
 
 def iterate(head: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, until: Callable[[DataFrame, DataFrame, int], bool] | None = None, checkpoint_every: int = 10) -> DataFrame:

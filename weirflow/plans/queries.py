@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +13,9 @@ from weirflow.plans.graph import Graph
 from weirflow.plans.iterate import iterate
 from weirflow.plans.workloads import first_rows, k_means, least_record_per_key
 from weirflow.schema import flattened
+from weirflow.functions.lifecycle import Function, environment
 from weirflow.session import Session
+from weirflow.shared import fresh_path
 from weirflow.sources import generate, read_csv, table, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _shared(spark: SparkSession) -> str:
-    """A fresh folder below the one that executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{where or 'file://' + tempfile.mkdtemp()}/weirflow-query-{uuid.uuid4().hex[:12]}"
-
-
 # -- per-record operators ---------------------------------------------------------
 @query("SELECT l_orderkey, l_linenumber, 'HELLO' AS tag, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
 def map_project(spark, sf):
@@ -83,6 +77,49 @@ def map_broadcast_var(spark, sf):
     return O.map_with_broadcast(table(spark, sf, "events", "event_id"), names, "event_id", "concat('HELLO', names) AS word")
 
 
+@query("SELECT event_id, 'HELLO' || (SELECT string_agg(r_name, '' ORDER BY r_name) FROM region) AS word FROM events")
+def map_broadcast_rows(spark, sf):
+    """A broadcast variable of many rows, as an array."""
+    word = "concat('HELLO', array_join(transform(array_sort(names), x -> x.r_name), '')) AS word"
+    return O.map_with_broadcast(table(spark, sf, "events", "event_id"), table(spark, sf, "region", "r_name"), "event_id", word, collection="names")
+
+
+class NationNames(Function):
+    """Names a customer's nation from a broadcast collection that is made into a table once per task."""
+
+    def create(self, environment):
+        self.names = {r["n_nationkey"]: r["n_name"] for r in environment.collection("nations")}
+        self.tag, self.calls = environment.property("tag"), 0
+
+    def __call__(self, row):
+        self.calls += 1
+        return (row["c_custkey"], f"{self.tag}{self.names[row['c_nationkey']]}", self.calls > 0)
+
+    def release(self):
+        self.names = None
+
+
+@query("SELECT c_custkey, 'of ' || n_name AS nation, true AS created FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def map_lifecycle(spark, sf):
+    given = environment(spark, {"tag": "of "}, nations=table(spark, sf, "nation", "n_nationkey", "n_name"))
+    return O.map_rows(table(spark, sf, "customer", "c_custkey", "c_nationkey"), function=NationNames(), schema="c_custkey long, nation string, created boolean", environment=given)
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def map_partitions_python(spark, sf):
+    """Whole partitions in Python: sums per user of each Arrow batch, which are then added up."""
+
+    def sums(batches):
+        for batch in batches:
+            import pyarrow as pa
+
+            own = pa.Table.from_batches([batch]).group_by("user_id").aggregate([("value", "count"), ("value", "sum")])
+            yield pa.RecordBatch.from_arrays([own.column(c).combine_chunks() for c in ("user_id", "value_count", "value_sum")], names=["user_id", "n", "total"])
+
+    parts = O.map_partitions(table(spark, sf, "events", "user_id", "value"), sums, "user_id long, n long, total double")
+    return O.hash_fold(parts, "user_id", F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
 @query("SELECT 'HEL' AS word, event_id AS n FROM events WHERE event_id % 10 = 0 AND event_id % 2 = 0")
 def chained_map_flat_map_filter(spark, sf):
     """Several operators as one graph; the optimizer fuses them."""
@@ -159,14 +196,19 @@ def sort_top_k(spark, sf):
     return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), F.desc("o_orderkey"))).cast("long"))
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders")
+@query("SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS position FROM orders")
 def sort_total(spark, sf):
-    return O.sort(table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey", "o_orderkey"])
+    """All orders in one order, with each one's place in it."""
+    return O.with_positions(O.sort(table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey", "o_orderkey"]))
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer")
+@query("SELECT c_custkey, c_acctbal, true AS in_order FROM customer")
 def sort_in_partitions(spark, sf):
-    return O.sort_within_partitions(O.hash_partition(table(spark, sf, "customer", "c_custkey", "c_acctbal"), "c_custkey", 8), "c_acctbal")
+    """Sorted partitions, with whether each row follows a lesser or equal one of its partition."""
+    own = O.sort_within_partitions(O.hash_partition(table(spark, sf, "customer", "c_custkey", "c_acctbal"), "c_custkey", 8), "c_acctbal")
+    placed = own.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    before = F.lag("c_acctbal").over(Window.partitionBy("part").orderBy("place"))
+    return placed.select("c_custkey", "c_acctbal", F.coalesce(before <= F.col("c_acctbal"), F.lit(True)).alias("in_order"))
 
 
 # -- folds --------------------------------------------------------------------------
@@ -220,6 +262,13 @@ def group_runs(spark, sf):
     return O.group_runs(table(spark, sf, "events", "event_id", "event_type"), "event_id", "event_type", F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id")).select("event_type", F.col("run").cast("long").alias("run"), "n", "first_id")
 
 
+@query(_RUNS.replace("min(event_id) AS first_id", "min(value) AS least, max(props) AS props, count(DISTINCT user_id) AS users"))
+def group_runs_values(spark, sf):
+    """Runs with aggregates of columns that the grouping itself doesn't read."""
+    out = O.group_runs(table(spark, sf, "events"), "event_id", "event_type", F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("props").alias("props"), F.count_distinct("user_id").alias("users"))
+    return out.select("event_type", F.col("run").cast("long").alias("run"), "n", "least", "props", "users")
+
+
 @query("""
 SELECT user_id, event_type, run::BIGINT AS run, count(*) AS n FROM (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (
@@ -251,8 +300,8 @@ FROM events GROUP BY user_id
 
 
 @query(_STEPS.format("value"))
-def fold_ordered_expr(spark, sf):
-    return O.fold_expr(table(spark, sf, "events", "event_id", "user_id"), "user_id", "event_id", F.lit(0).cast("long"), lambda a, e: F.when((a + e) % 2 == 0, a + e).otherwise(a), F.col("event_id"))
+def fold_ordered(spark, sf):
+    return O.fold_ordered(table(spark, sf, "events", "event_id", "user_id"), "user_id", "event_id", 0, lambda a, r: a + r["event_id"] if (a + r["event_id"]) % 2 == 0 else a, "user_id long, value long")
 
 
 # -- exchanges ------------------------------------------------------------------------
@@ -297,7 +346,24 @@ def dataset_update(spark, sf):
     """A keyed state, of which the keys that exist are updated: the sum is kept where it is even."""
     state = table(spark, sf, "customer", "c_custkey").withColumn("state", F.lit(0).cast("long"))
     changes = table(spark, sf, "events", "user_id", "event_id").withColumnRenamed("user_id", "c_custkey")
-    return O.update_existing(state, changes, "c_custkey", "state", "event_id", lambda s, x: F.when((s + x) % 2 == 0, s + x), "event_id")
+    return O.update_existing(state, changes, "c_custkey", "state", "event_id", lambda s, x: s + x if (s + x) % 2 == 0 else None, "event_id")
+
+
+@query("""
+WITH first AS (SELECT c_custkey AS user_id, c_acctbal AS total FROM customer WHERE c_custkey <= 100),
+added AS (SELECT user_id, value AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'signup') WHERE k = 1),
+held AS (SELECT * FROM first WHERE user_id NOT IN (SELECT user_id FROM added) UNION ALL SELECT * FROM added),
+spent AS (SELECT user_id, sum(value) AS spent FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT user_id, round(total + coalesce(spent, 0), 4) AS total FROM held LEFT JOIN spent USING (user_id)
+""")
+def dataset_mutable(spark, sf):
+    """A mutable dataset with prior state: records are put over it, then the keys that exist are updated."""
+    session, events = Session(spark), table(spark, sf, "events", "user_id", "event_id", "event_type", "value")
+    first = table(spark, sf, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), F.col("c_acctbal").alias("total"))
+    session.mutable("totals", ["user_id"], ["event_id"], first)
+    session.add("totals", events.where("event_type = 'signup'").select("user_id", "event_id", F.col("value").alias("total")))
+    session.update("totals", events.where("event_type = 'purchase'"), "total", "value", lambda old, x: old + x, "event_id")
+    return session.read("totals").select("user_id", F.round("total", 4).alias("total"))
 
 
 @query("SELECT event_id + 100 AS event_id, event_type FROM events")
@@ -313,6 +379,16 @@ def iterate_graph_loop(spark, sf):
     return g.submit(rounds=4)["tail"]
 
 
+@query("SELECT 'up' AS edge, r_regionkey::BIGINT + 9 AS n FROM region UNION ALL SELECT 'double', 8 * r_regionkey::BIGINT FROM region")
+def iterate_two_loops(spark, sf):
+    """A graph with two backward edges, which go round together."""
+    g = Graph("loops").add("source", lambda: table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("n")))
+    g.add("a", lambda d: d, "source").add("up", lambda d: d.select((F.col("n") + 3).alias("n")), "a").connect("up", "a", backward=True)
+    g.add("b", lambda d: d, "source").add("double", lambda d: d.select((F.col("n") * 2).alias("n")), "b").connect("double", "b", backward=True)
+    ends = g.submit(rounds=3, checkpoint_every=2)
+    return O.union_all(*[ends[e].select(F.lit(e).alias("edge"), "n") for e in ("up", "double")])
+
+
 _POINTS = "SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 100 AS y, (p_partkey % 17)::DOUBLE AS z FROM part"
 
 
@@ -336,14 +412,14 @@ def kmeans_4(spark, sf):
 # -- sources and sinks --------------------------------------------------------------------
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_roundtrip(spark, sf):
-    path = _shared(spark)
+    path = fresh_path(spark, "query")
     write_csv(table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey"), path, quote_strings=True)
     return read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer")
 def csv_column_subset(spark, sf):
-    path = _shared(spark)
+    path = fresh_path(spark, "query")
     write_csv(table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal"), path)
     return read_csv(spark, path, "c_custkey long, c_name string, c_nationkey int, c_acctbal double", include=[0, 2])
 
@@ -361,11 +437,19 @@ def client_broadcast(spark, sf):
     return session.broadcasted(session.broadcast(rows, "n_regionkey int, n_name string"))
 
 
-@query()
+@query("SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS total FROM lineitem")
 def sink_foreach(spark, sf):
+    """A sink that adds up what it consumes."""
     from weirflow.sources import foreach
 
-    return foreach(table(spark, sf, "region"), lambda row: None)
+    n, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def consume(row):
+        n.add(1)
+        total.add(row["l_linenumber"])
+
+    foreach(table(spark, sf, "lineitem", "l_linenumber"), consume)
+    return spark.createDataFrame([(n.value, total.value)], "n long, total long")
 
 
 # -- collections ---------------------------------------------------------------------------
@@ -407,7 +491,7 @@ def ext_stream_to_files(spark, sf):
     """The events as a stream: filtered into files by a streaming query, which are then folded."""
     from weirflow import streaming
 
-    where = _shared(spark)
+    where = fresh_path(spark, "query")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf, "events").schema)
     stream = streaming.read_files(spark, f"{sf}/events.parquet*", kinds)
     streaming.write(O.filter_rows(stream, "event_id % 2 = 0").select("event_id", "event_type"), f"{where}/checkpoint", f"{where}/out").awaitTermination()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import squared_distance
 from weirflow.operators.aggregate import min_record_by
-from weirflow.plans.iterate import checkpointed
+from weirflow.shared import checkpointed
 
 
 def least_record_per_key(df: DataFrame, key: str, value: str, *ties: str) -> DataFrame:
@@ -15,16 +15,17 @@ def least_record_per_key(df: DataFrame, key: str, value: str, *ties: str) -> Dat
     return min_record_by(df, key, value, *ties)
 
 
-def nearest(points: DataFrame, centroids: DataFrame, dimensions: list[str], cluster: str = "cluster") -> DataFrame:
-    """points with the cluster of the nearest centroid, the smaller id among equals. Centroids are collected into one broadcast row."""
+def nearest(points: DataFrame, centroids: DataFrame, dimensions: list[str], cluster: str = "cluster", most: int = 100_000) -> DataFrame:
+    """points with the cluster of the nearest centroid, the smaller id among equals. Centroids become one value, at most `most` (checked)."""
     fields = F.struct(F.col(cluster).alias("id"), *[F.col(d).alias(f"c_{d}") for d in dimensions])
-    all_centroids = centroids.agg(F.array_sort(F.collect_list(fields)).alias("_centroids"))
+    listed = centroids.limit(most + 1).agg(F.array_sort(F.collect_list(fields)).alias("_centroids"))
+    all_centroids = listed.select(F.when(F.size("_centroids") <= most, F.col("_centroids")).otherwise(F.raise_error(F.lit(f"more than {most} centroids"))))
 
     def distance(c: Column) -> Column:
         return F.struct(squared_distance([F.col(d) for d in dimensions], [c[f"c_{d}"] for d in dimensions]).alias("d"), c["id"].alias("id"))
 
     best = F.array_min(F.transform("_centroids", distance))
-    return points.drop(cluster).join(F.broadcast(all_centroids)).withColumn(cluster, best["id"]).drop("_centroids")
+    return points.drop(cluster).withColumn("_centroids", all_centroids.scalar()).withColumn(cluster, best["id"]).drop("_centroids")
 
 
 def k_means(points: DataFrame, centroids: DataFrame, dimensions: list[str], updates: int = 4, epsilon: float = 1e-4, cluster: str = "cluster") -> tuple[DataFrame, DataFrame]:

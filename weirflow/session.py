@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -119,10 +120,13 @@ class Session:
         return fresh
 
     # -- broadcast collections ----------------------------------------------
-    def broadcast(self, rows: Iterable, schema: str, name: str | None = None) -> str:
-        """A client's collection, for maps on all machines; gives its name."""
+    def broadcast(self, rows: Iterable, schema: str, name: str | None = None, most_rows: int = 1_000_000) -> str:
+        """A client's collection of at most `most_rows` rows, for maps on all machines; gives its name."""
         name = name or str(uuid.uuid4())
-        self._broadcasts[name] = F.broadcast(self.spark.createDataFrame(list(rows), schema))
+        own = list(islice(rows, most_rows + 1))
+        if len(own) > most_rows:
+            raise ValueError(f"a collection of more than {most_rows} rows; write it as a table")
+        self._broadcasts[name] = F.broadcast(self.spark.createDataFrame(own, schema))
         return name
 
     def broadcasted(self, name: str) -> DataFrame:

@@ -41,17 +41,21 @@ def sessions(df: DataFrame, time: str, gap: str, *aggregates: Column, keys: list
     return timed.groupBy(F.session_window(time, gap), *(keys or [])).agg(*aggregates)
 
 
-def keyed_state(df: DataFrame, key: str, value: str, order: str, step: Callable[[int, int], int | None], zero: int = 0) -> DataFrame:
-    """A stream of (key, state): new = step(old, value) in order within a batch, where None keeps the old state."""
+def keyed_state(df: DataFrame, key: str, value: str, order: str | None, step: Callable[[int, int], int | None], zero: int = 0) -> DataFrame:
+    """A stream of (key, state): new = step(old, value), where None keeps the old state.
+
+    With an order, the rows of one key and micro-batch are held to be sorted (bound them by files_per_trigger); with
+    None they are taken as they come, an Arrow batch at a time, whatever their number.
+    """
 
     def update(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else zero
-        rows = pd.concat(list(batches)).sort_values(order)
-        for v in rows[value].tolist():
-            fresh = step(now, v)
-            now = now if fresh is None else fresh
+        for rows in batches if order is None else [pd.concat(list(batches)).sort_values(order)]:
+            for v in rows[value].tolist():
+                fresh = step(now, v)
+                now = now if fresh is None else fresh
         state.update((int(now),))
         yield pd.DataFrame({key: [keys[0]], "state": [int(now)]})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, value, order).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, state long", "state long", "update", "NoTimeout")
+    return df.select(key, value, *([order] if order else [])).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, state long", "state long", "update", "NoTimeout")
