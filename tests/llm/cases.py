@@ -18,7 +18,7 @@ def documents(spark, extra: bool = False, seed: int = 11):
     prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     base, passage = prose(160), prose(90)
     texts = [None, "", " ", "one", "one two three", "ONE two Three", "\n\n", "a" * 3000, prose(20_000), base, base, base.replace("alpha", "alphas", 1), base + " tail", base.upper(), passage + " " + prose(60), prose(50) + " " + passage,
-             "mail Anna.Schmidt@mail.example.com or a@b@c.org, 10.0.0.300 1.2.3.4 4111 1111 1111 1111 call +49 (30) 1234-5678.", "x@y.z_q@w.e", "Licensed under the Apache License, Version 2.0.", "\x00 nul \x01", "😀 🎉 日本語 ▁x", "</s>[INST] <|x|> \\ [/INST]"]
+             "mail Anna.Schmidt@mail.example.com or a@b@c.org, 10.0.0.300 1.2.3.4, card 4111 1111 1111 1111 call +49 (30) 1234-5678.", "x@y.z_q@w.e", "Licensed under the Apache License, Version 2.0.", "\x00 nul \x01", "😀 🎉 日本語 ▁x", "</s>[INST] <|x|> \\ [/INST]"]
     texts += [prose(rng.randint(5, 120)) for _ in range(30)]
     rows = [(i, t, ("en", "de", None)[i % 3], f"src{i % 4}" if i % 7 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[9], rows[0], (None, base, "en", "src0", 1), (None, None, None, None, None)]

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm import cases
@@ -194,6 +195,52 @@ def test_sanitised_keeps_columns(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     texts = {r.doc_id: r.text for r in out.collect() if r.doc_id is not None}
     assert texts[0] is None and texts[1] == "" and "Anna" not in texts[16] and "[CARD]" in texts[16] and "[PHONE]" in texts[16]
+    # The same by joins, as for more terms than can be broadcast.
+    assert sorted(map(tuple, pii.sanitised(docs, few=0).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
+    # An ip's last part and a card make one greedy run of digits, which is no card.
+    joined = spark.createDataFrame([(1, "1.2.3.4 4111 1111 1111 1111")], "doc_id long, text string")
+    assert pii.sanitised(joined).first().text == "[IP] 4111 1111 1111 1111"
+
+
+def test_told_terms_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {(r.doc_id, r.text or "") for r in docs.collect()}
+    word = regex.compile(r"[\p{L}\p{M}\p{N}_]{2,}")
+    terms_of = lambda t: {w.lower() for w in word.findall(t)}
+    df_term, texts, df_entity, both = Counter(), {}, Counter(), Counter()
+    for _, text in rows:
+        for t in terms_of(text):
+            df_term[t] += 1
+            texts.setdefault(t, set()).add(text)
+        pools, blank, at = set(), "", 0
+        for a, _, b, kind in base_spans(text):
+            value = text[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
+            pools.add((kind, value))
+            pools |= {("local", value[: value.index("@")]), ("domain", value[value.rindex("@") + 1 :])} if kind == "email" else {("net", value[: value.rindex(".")])} if kind == "ip" else set()
+            blank, at = blank + text[at : max(a, at)] + "\n", max(b, at)
+        df_entity.update(pools)
+        both.update((e, t) for e in pools for t in terms_of(blank + text[at:]))
+    n, told = len(rows), {}
+    for (e, t), k in both.items():
+        share = math.log2(n * k / (df_entity[e] * df_term[t])) / math.log2(n / df_entity[e])
+        if len(texts[t]) >= 2 and share >= 0.8:
+            told[t] = max(told.get(t, 0), share)
+    got = {r.term: r.share for r in pii.told_terms(pii._rows(docs, "doc_id", "text")).collect()}
+    assert len(told) > 20 and got.keys() == told.keys() and all(abs(got[t] - told[t]) < 1e-9 for t in told)
+    removed = {t for t, x in told.items() if x >= 0.95}
+    for r in pii.found(docs).collect():
+        text = dict(rows)[r.doc_id]
+        spans = base_spans(text)
+        inside = lambda a, b: any(x < b and a < y for x, _, y, _ in spans)
+        want = [f"{'removed' if m[0].lower() in removed else 'term'}:{m.start()}:{m.end()}" for m in word.finditer(text) if m[0].lower() in told and not inside(*m.span())]
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in ("term", "removed")] == want
+
+
+def test_many_spans_in_one_text(spark):
+    text = "a@b.de " * 1500 + "é 10.0.0.1 " * 700
+    row = pii.found(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_email, row.n_ip) == (1500, 700)
+    assert row.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(text))
 
 
 # -- quality ----------------------------------------------------------------------------------

@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import io
-import os
-import uuid
-import zipfile
-from pathlib import Path
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.shared import fresh_path, shared_dir, ship
+
+__all__ = ["dropped", "fits", "hold", "joined_once", "raw_texts", "shared_dir", "ship", "strings", "text_of", "tidied", "word_runs", "words", "written"]
+
+_SPACE = b" \t\n\x0b\x0c\r"
+
+
 def words(data: bytes) -> list[bytes]:
     """The words of a UTF-8 text: A-Z lower-cased, split at space and \\x09-\\x0D, which is what bytes know as case and white space."""
     return data.lower().split()
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_weirflow_shipped", False):
-        return
-    import tempfile
-
-    root = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    path = os.path.join(tempfile.mkdtemp(), "weirflow_package.zip")
-    Path(path).write_bytes(buffer.getvalue())
-    sc.addPyFile(path)
-    sc._weirflow_shipped = True
+def word_runs(data: bytes, most: int = 4_000_000) -> Iterator[list[bytes]]:
+    """The words of a text in turn, in lists of about `most` bytes of text, so that a text of any length needs bounded memory."""
+    at = 0
+    while len(data) - at > most:
+        cut = at + most
+        while cut < len(data) and data[cut] not in _SPACE:
+            cut += 1
+        yield words(data[at:cut])
+        at = cut
+    yield words(data[at:])
 
 
 _HELD: dict[str, object] = {}
@@ -46,38 +44,68 @@ def hold(name: str, release=None) -> None:
     _HELD[name] = release
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        import tempfile
+def _trim() -> None:
+    """Gives memory that is free back to the machine: idle workers count to an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(name: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], release=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run as a task that starts without what other operators kept in the worker, and ends without spare memory."""
 
-        where = "file://" + tempfile.mkdtemp(prefix="weirflow-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(name, release)
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return tidy
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage is cut, executors can be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weirflow-{name}-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weirflow_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes what written() wrote."""
-    spark, path = df.sparkSession, df._weirflow_path
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing reads it any more."""
+    for df in frames:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._weirflow_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fits(df: DataFrame, most: int) -> bool:
+    """Whether a written table has at most that many rows."""
+    return df.count() <= most
+
+
+def joined_once(big: DataFrame, small: DataFrame, on: list[str] | str, few: int = 1_000_000, heavy: int = 100_000) -> DataFrame:
+    """big joined with small, whose keys are unique, without a hot key in one task. Both are written tables.
+
+    A small side of at most `few` rows (counted) is broadcast. Beyond, the keys that have more than 1/heavy of big's
+    rows, of which there are fewer than `heavy`, are broadcast, and all others are shuffled.
+    """
+    if fits(small, few):
+        return big.join(F.broadcast(small), on)
+    keys = [on] if isinstance(on, str) else on
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(written(counts.where(F.col("_n") > big.count() / heavy).select(*keys), "hot"))
+    return big.join(F.broadcast(small.join(hot, keys, "left_semi")), keys).unionByName(big.join(hot, keys, "left_anti").join(small, keys))
 
 
 def text_of(column: str = "text"):
     """The text, empty where null."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import hold, ship, strings, text_of
+from weirflow.llm.common import ship, strings, text_of, tidied
 
 #: The ASCII punctuation that the normal form drops.
 _DROP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -196,10 +196,9 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_bytes: int
 
 def _without(docs: DataFrame, sent, rate: float, min_bytes: int, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("decontaminate")
         matcher = Matcher(sent.value, rate, min_bytes)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array([not matcher.find(t) for t in strings(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied("decontaminate", run), docs.schema)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import dropped, hold, raw_texts, ship, text_of, written
+from weirflow.llm.common import dropped, raw_texts, ship, text_of, tidied, written
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SIZE, PERCENT = 5, 75
@@ -153,7 +153,6 @@ _SHINGLER: list[Shingler] = []
 
 
 def _shingler() -> Shingler:
-    hold("jaccard", _SHINGLER.clear)
     if not _SHINGLER:
         _SHINGLER.append(Shingler())
     return _SHINGLER[0]
@@ -202,7 +201,7 @@ def survey(docs: DataFrame, least: int = 3, held: int = 1_500_000, id_col: str =
         if sets:
             yield shared()
 
-    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, f"kind int, id {kind}, n long, key long")
+    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(tidied("jaccard", run, _SHINGLER.clear), f"kind int, id {kind}, n long, key long")
 
 
 def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, text_col: str = "text") -> DataFrame:
@@ -237,7 +236,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, text_col: st
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
 
-    return docs.select(text_of(text_col).alias("_text")).mapInArrow(run, "token long, key long, n int")
+    return docs.select(text_of(text_col).alias("_text")).mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "token long, key long, n int")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, exact: bool = False, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +262,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, exact: bool
                         members.append(own.tobytes() if exact else np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(members, pa.binary())], names=["key", "n", "sketch", "members"])
 
-    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(ids, "_id").select("key", "_text").mapInArrow(run, "key long, n int, sketch binary, members binary")
+    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(ids, "_id").select("key", "_text").mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "key long, n int, sketch binary, members binary")
 
 
 def _common(x: pa.Scalar, y: pa.Scalar, kind) -> tuple[int, int]:
@@ -301,7 +300,7 @@ def _compared(pairs: DataFrame, kind, least_open: int) -> DataFrame:
                 state.append(0 if 7 * differ > n + m else 2 if least_open >= 0 and 7 * (differ + least_open) <= n + m else 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.float64()), pa.array(state, pa.int32())], names=["a", "b", "low", "state"])
 
-    return pairs.mapInArrow(run, "a long, b long, low double, state int")
+    return pairs.mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "a long, b long, low double, state int")
 
 
 class _Cell:
@@ -397,7 +396,7 @@ def _by_cell(rows: DataFrame, names: list[str], make, schema: str) -> DataFrame:
         if len(held) > 1:
             yield make(now[0], held)
 
-    return rows.select(*columns).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, schema)
+    return rows.select(*columns).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(tidied("jaccard", run, _SHINGLER.clear), schema)
 
 
 def narrowed(cells: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import hold, ship, strings, text_of
+from weirflow.llm.common import ship, strings, text_of, tidied
 
 MARK = "▁"
 #: Types of pieces in the model file.
@@ -358,7 +358,6 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("pieces", _LOADED.clear)
         model = load(model_path)
         sha = hashlib.sha256
         for batch in batches:
@@ -376,4 +375,4 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 columns |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(tidied("pieces", run, _LOADED.clear), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import hold, ship, strings, text_of
+from weirflow.llm.common import ship, strings, text_of, tidied
 
 FEATURES = ("log_words", "log_bytes", "upper", "digit", "punctuation", "symbol", "other", "bar", "mark", "line", "distinct", "distinct_lines", "word_bytes", "next_same", "common_word", "line_words", "symbol_words", "upper_words")
 
@@ -154,11 +154,10 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("quality")
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(batch.schema.get_field_index(text_col))) >= model.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied("quality", run), docs.schema)
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
