@@ -8,6 +8,10 @@ but the last return the columns of documents. run() applies them in order:
 3. decontamination: documents in which a benchmark item is found go.
 4. PII: personal data in texts is replaced, and so are terms that disclose it.
 5. pieces: what is left is encoded and decoded.
+
+Nulls in any column are kept as they are; a null text counts as empty, and is judged as one. Rows without an id take part
+in all stages; of rows that are equal in text one stays, whatever their ids. Texts of any length are taken whole. An empty
+table gives no rows. Further columns of any name pass through all stages but the last, which returns ids, counts and digests.
 """
 
 from __future__ import annotations
@@ -16,18 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import decontaminate, jaccard, pieces, pii, quality
-from weirflow.llm.common import written
+from weirflow.llm.common import dropped, written
 from weirflow.llm.queries import piece_model_path, table
 
 
 #: Rows of an Arrow batch. Batches of whole texts, on both sides of a Python worker, are what an executor's memory beyond
 #: its heap is spent on.
 BATCH_ROWS = "1000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches of the stages; stays set, for stages are executed after they return."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bounds the batches of a stage. Stages are executed after they return, so it stays set; run() restores it."""
+    spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +69,17 @@ STAGES = [("quality", quality_stage), ("near copies", near_copies_stage), ("deco
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(_BATCH_SETTING)
+    last = None
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+            if last is not None:
+                dropped(last)
+            last = docs
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+    return docs
 
 
 #: No SQL: the classifier, the edit distances and the merges aren't expressible; tests hold run() against brute force.
