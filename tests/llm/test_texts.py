@@ -152,7 +152,7 @@ def test_matches_against_brute_force(spark):
     for doc_id, text in docs:
         for item_id, own in {i: t for i, t in enumerate(items)}.values():
             n = decontaminate.normal(own or "")
-            budget = int(0.08 * len(n)) if len(n) >= 60 else 0
+            budget = int(0.08 * len(n))
             if n and (best := cases.edit_distance(n, decontaminate.normal(text or ""))) <= budget:
                 want.append((doc_id, item_id, best))
     got = sorted(map(tuple, decontaminate.matches(d, b).collect()))
@@ -162,3 +162,13 @@ def test_matches_against_brute_force(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == sorted(i for i, _ in docs if i not in gone)
     assert {r.doc_id for r in decontaminate.contaminated(d, b).collect()} == gone
     assert decontaminate.matches(d, b.where("item_id > 99")).collect() == [] == decontaminate.matches(d.where("doc_id < 0"), b).collect()
+
+
+def test_short_items_long_texts_and_null_ids(spark):
+    b = spark.createDataFrame([(1, "what color is the sky above us today"), (2, "tiny one"), (None, "an item without an id of its own")], "item_id long, text string")
+    rows = [(1, "Asked: what colour is the sky above us todey?"), (2, "what is the colour of this sky above all of us"), (3, "a tiny onf"), (4, "a tiny one"), (None, "What color is the sky above us today"), (6, "x " * 1_500_000 + "what color iss the sky above us today" + " y" * 1_500_000), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(d, b).collect()}
+    assert got == {(1, 1, 2), (4, 2, 0), (None, 1, 0), (6, 1, 1)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(d, b, exact_below=60).collect()} == {(4, 2), (None, 1)}
+    assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [2, 3, 7]

@@ -9,8 +9,9 @@ best edit distance over all stretches that end in the window).
 
 Items and documents are compared in a normal form: lower case, ASCII punctuation
 dropped, runs of white space as one space, UTF-8 bytes. Null or empty texts hold
-nothing; items that are null or empty in the normal form match nothing; items
-shorter than `min_bytes` must match exactly. Repeated items and ties are each
+nothing; items that are null or empty in the normal form match nothing; an item so short
+that rate * m is below 1 must match exactly, and so must one of less than
+`exact_below` bytes where a caller sets that. Repeated items and ties are each
 reported by their own id. Items form the query set: they come to the workers in
 blocks of at most `block` bytes, one pass over the documents for each block.
 """
@@ -82,7 +83,7 @@ def pieces(text: bytes, budget: int) -> list[tuple[int, bytes]]:
 class Matcher:
     """Finds items in documents."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float, min_bytes: int):
+    def __init__(self, items: list[tuple[int, str | None]], rate: float, exact_below: int = 0):
         import ahocorasick
 
         self.items: list[Item] = []
@@ -91,7 +92,7 @@ class Matcher:
             own = normal(text or "")
             if not own:
                 continue
-            budget = int(rate * len(own)) if len(own) >= min_bytes else 0
+            budget = int(rate * len(own)) if len(own) >= exact_below else 0
             for at, piece in pieces(own, budget):
                 where.setdefault(piece, []).append((len(self.items), at))
             self.items.append(Item(item_id, own, budget))
@@ -148,7 +149,7 @@ def blocks(items: DataFrame, block: int, id_col: str, text_col: str) -> Iterator
     yield own
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_bytes: int = 60, block: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, exact_below: int = 0, block: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs: the document's id, item_id and distance, for every item within its budget anywhere in a document."""
     spark = docs.sparkSession
     ship(spark)
@@ -160,7 +161,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_bytes: in
         made: list[Matcher] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made.append(Matcher(sent.value, rate, min_bytes))
+            made.append(Matcher(sent.value, rate, exact_below))
             for batch in batches:
                 take, ids, distances = [], [], []
                 for i, text in enumerate(strings(batch.column(1))):
@@ -184,19 +185,19 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return matches(docs, items, **options).groupBy(id_col).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.min("distance").alias("nearest"))
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_bytes: int = 60, block: int = 8_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, rate: float = 0.08, exact_below: int = 0, block: int = 8_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the rows in which an item is found, all columns as they are; nothing is shuffled. A pass for each block of items."""
     spark = docs.sparkSession
     ship(spark)
     out = docs
     for part in blocks(items, block, item_col, item_text_col):
-        out = _without(out, spark.sparkContext.broadcast(part), rate, min_bytes, text_col)
+        out = _without(out, spark.sparkContext.broadcast(part), rate, exact_below, text_col)
     return out
 
 
-def _without(docs: DataFrame, sent, rate: float, min_bytes: int, text_col: str) -> DataFrame:
+def _without(docs: DataFrame, sent, rate: float, exact_below: int, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, rate, min_bytes)
+        matcher = Matcher(sent.value, rate, exact_below)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array([not matcher.find(t) for t in strings(batch.column(at))], pa.bool_()))

@@ -208,16 +208,14 @@ def told_terms(rows: DataFrame, **options) -> DataFrame:
 def with_terms(rows: DataFrame, told: DataFrame, few: int = 200_000) -> DataFrame:
     """rows (_row, _text and others) with the base spans by kind and _spans, those of told terms outside them, by value.
 
-    Words are joined with the terms, and each row with what its words found: by broadcast where these are few (counted),
-    so that no text is shuffled; else each text crosses one exchange, once.
+    Words are joined with the terms (a broadcast up to `few` of these, which are counted), and each row with what its
+    words found, for which each text crosses one exchange.
     """
     said = rows.select("_row", F.explode(_words(F.col("_text"))).alias("word"))
     terms = told.withColumnRenamed("term", "_term")
     hit = said.join(F.broadcast(terms) if fits(told, few) else terms, F.lower("word") == F.col("_term"))
     # Repeated rows have one hash and the same words.
     by_row = written(hit.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("word", "share"))).alias("_share")), "hits")
-    size = by_row.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("_share")), F.lit(0)).alias("words")).first()
-    by_row = F.broadcast(by_row) if size["rows"] <= few and size["words"] <= 5 * few else by_row
     found = rows.join(by_row, "_row", "left").withColumn("_share", F.coalesce("_share", F.expr("cast(map() as map<string,double>)")))
     # Base spans are blanked, so that places stay.
     blank = _replaced(F.col("_text"), F.array_sort(_base()), lambda x: F.repeat(F.lit("\n"), x["end"] - x["start"]), keep=True)

@@ -33,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import ship, strings, text_of, written
+from weirflow.llm.common import dropped, joined_once, ship, strings, text_of, written
 
 LENGTH = 400
 #: Bytes of an anchor, a power of two.
@@ -256,23 +256,27 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.select("row", "_text").mapInArrow(run, "row long, start long, count long, gram long, digest long, times long")
 
 
-def marks(rows: DataFrame, group_bytes: int = GROUP_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(row, digests or spans): what repeats. rows: row, _text. Columns: row, start, end, digest (whole segment repeats, at all its places in the row; else null)."""
-    by_digest = Window.partitionBy("gram", "digest")
-    by_gram = Window.partitionBy("gram")
-    found = _occurrences(rows)
-    seen = (
-        found.withColumn("low", F.min("digest").over(by_gram)).withColumn("high", F.max("digest").over(by_gram))
-        .withColumn("all", F.sum("times").over(by_digest)).withColumn("first", F.row_number().over(by_digest.orderBy("row", "start")))
-        .where((F.col("all") > 1) | (F.col("low") != F.col("high")))
-    )
-    seen = written(seen.select("row", "start", "count", "gram", "digest", "all", (F.col("low") != F.col("high")).alias("mixed"), (F.col("first") == 1).alias("first")), "segments")
-    whole = seen.where("all > 1").select("row", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "digest")
+def marks(rows: DataFrame, group_bytes: int = GROUP_BYTES, index_bytes: int = INDEX_BYTES, few: int = 1_000_000) -> DataFrame:
+    """(row, digests or spans): what repeats. rows: row, _text. Columns: row, start, end, digest (whole segment repeats, at all its places in the row; else null).
+
+    Segments are summed up by content before they meet by gram, so a gram or a segment that a large part of all
+    documents share is a few rows from each partition; only the segments' own rows are read again for what repeats.
+    """
+    found = written(_occurrences(rows), "occurrences")
+    first = F.min(F.struct("row", "start", "count"))
+    by_digest = written(found.groupBy("gram", "digest").agg(F.sum("times").alias("all"), first.alias("first")), "segments")
+    by_gram = by_digest.groupBy("gram").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("gram")
+    mixed = written(by_gram, "mixed")
+    again = written(by_digest.where("all > 1").select("gram", "digest"), "again")
+    whole = joined_once(found, again, ["gram", "digest"], few).select("row", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "digest")
+    whole = written(whole, "whole")
 
     # One copy of each different segment of mixed grams, with its text.
-    wanted = seen.where("mixed AND first").groupBy("row").agg(F.collect_list(F.struct("start", "count", "gram", "digest", (F.col("all") == 1).alias("open"))).alias("parts"))
+    wanted = joined_once(by_digest, mixed, "gram", few).select("gram", "digest", "all", "first.*")
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "count", "gram", "digest", (F.col("all") == 1).alias("open"))).alias("parts"))
     cut = _cut(rows.join(wanted, "row").select("row", "_text", "parts").dropDuplicates(["row"]))
     parts = written(cut, "parts")
+    dropped(found, by_digest, mixed, again)
     out = whole
     while True:
         # Sums per gram, made before the shuffle as far as they go; the grams beyond the size are few.
@@ -280,14 +284,13 @@ def marks(rows: DataFrame, group_bytes: int = GROUP_BYTES, index_bytes: int = IN
         if over.isEmpty():
             return out.unionByName(_indexed(parts, index_bytes))
         out = out.unionByName(_indexed(parts.join(over, "gram", "left_anti"), index_bytes))
-        large = parts.join(over, "gram", "left_semi")
-        halves = _halved(large)
-        same = Window.partitionBy("gram", "digest")
-        halves = halves.withColumn("times", F.count(F.lit(1)).over(same)).withColumn("at", F.row_number().over(same.orderBy("row", "start")))
-        halves = written(halves, "halves")
-        repeated = halves.where("times > 1 AND open").select("row", F.col("start"), (F.col("start") + F.length("data")).alias("end"), F.lit(None).cast("long").alias("digest"))
-        out = out.unionByName(repeated)
-        parts = written(halves.where("at = 1").withColumn("open", F.col("open") & (F.col("times") == 1)).select(*parts.columns), "parts")
+        halves = written(_halved(parts.join(over, "gram", "left_semi")), "halves")
+        # A group's range of offsets is the same in all its parts, and "low", "high" and "anchor" follow from the segment.
+        kinds = written(halves.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "start")).alias("one")), "kinds")
+        repeated = joined_once(halves, written(kinds.where("times > 1").select("gram", "digest"), "again"), ["gram", "digest"], few).where("open")
+        out = out.unionByName(repeated.select("row", F.col("start"), (F.col("start") + F.length("data")).alias("end"), F.lit(None).cast("long").alias("digest")))
+        kept = halves.join(kinds.select("gram", "digest", "times", F.col("one.row").alias("row"), F.col("one.start").alias("start")), ["gram", "digest", "row", "start"])
+        parts = written(kept.withColumn("open", F.col("open") & (F.col("times") == 1)).dropDuplicates(["gram", "digest"]).select(*parts.columns), "parts")
 
 
 #: A part: its row and first start there, the anchor's place in data, and the group's range of offsets (anchor less start) from low to high.
