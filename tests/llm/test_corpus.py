@@ -69,7 +69,7 @@ def test_hot_anchor_is_split(spark):
 
 
 # -- near copies -------------------------------------------------------------------------
-@pytest.mark.parametrize("options", [{}, {"cell": 900, "heavy": 3}])
+@pytest.mark.parametrize("options", [{}, {"cell": 900, "heavy": 300, "hot": 3}])
 def test_components_of_documents(spark, options):
     docs = cases.documents(spark, extra=bool(options)).where("doc_id is not null")
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
@@ -97,7 +97,7 @@ def test_dense_families(spark):
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = dict(enumerate(cases.components(texts)))
-    for options in ({}, {"cell": 3000, "heavy": 5}):
+    for options in ({}, {"cell": 3000, "heavy": 5}, {"cell": 6000, "hot": 3}):
         assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs, **options).collect()} == want
 
 
@@ -106,10 +106,51 @@ def test_kept_documents(spark):
     kept = jaccard.kept(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(9) == 1 and 10 not in ids and 11 not in ids and 0 in ids and ids.count(None) == 2
+    assert ids.count(9) == 1 and 10 not in ids and 11 not in ids and 0 in ids and ids.count(None) == 1 and ids.count(8) == 1
     assert jaccard.near_copies(cases.empty(spark)).collect() == []
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    chain = words("c").split()
+    a, b, c = " ".join(chain), " ".join(chain[8:]), " ".join([*chain[8:], *[f"t{i}" for i in range(9)]])
+    rows = [(1, a), (None, b), (2, c), (7, words("x")), (7, words("y")), (7, words("y")), (None, words("z")), (None, None), (9, words("y"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.near_copies(docs).collect() if r.doc_id is not None)
+    sets = [cases.shingles(t) for t in (a, b, c)]
+    assert [100 * len(x & y) >= 75 * len(x | y) for x, y in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))] == [True, True, False]
+    assert got == [(1, 1), (2, 1), (7, 7), (7, 7), (7, 7), (9, 7)]
+    stay = sorted(((r.doc_id, r.text) for r in jaccard.kept(docs).collect()), key=repr)
+    assert stay == sorted([(1, a), (7, words("x")), (7, words("y")), (None, words("z")), (None, None)], key=repr)
+
+
+def test_voronoi_regions_lose_no_link(spark):
+    """A hot group of near copies around one text, with outliers that link to some of them only, in regions much larger than a task's."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(70)]
+    texts = []
+    for _ in range(160):
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(70)] = f"r{rng.randrange(10_000)}"
+        texts.append(" ".join(own))
+    for k in range(60):
+        texts.append(" ".join([f"q{k}w{i}" for i in range(rng.randint(20, 50))] + base[:25]))
+    want = dict(enumerate(cases.components(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({"cell": 8000, "hot": 20}, {"cell": 2500, "hot": 1000}):
+        assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs, **options).collect()} == want
+    assert 5 < len(set(want.values())) < 200
+
+
+def test_spare_of_collisions():
+    rng = np.random.default_rng(3)
+    for k in (200, 20_000, 400_000):
+        x = rng.integers(0, 1 << 63, k, np.uint64)
+        hidden = k - len(np.unique(x >> np.uint64(32) & np.uint64(0x7FFFFFFF)))
+        assert 2 * hidden <= jaccard.spare(k * 2**0.5)
+
+
 # -- PII ------------------------------------------------------------------------------------
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -1,58 +1,70 @@
 """N-gram Jaccard join: an exact metric-space join on sets of word shingles.
 
 The distance 1 - |A n B| / |A u B| is a metric. Unrelated documents all lie at
-distance 1 from each other, so that cells around pivots alone could not part
-them; the first level of regions therefore comes from shared shingles, and pivots,
-cells and windows work inside:
+distance 1 from each other, where no pivot can part them; so the first regions come
+from shared shingles, and pivots, Voronoi regions, windows and recursion work inside:
 
 1. Documents with equal sets form a class; the join runs between classes.
 2. Two sets that link share one shingle at least among the first
    n - ceil(0.75 n) + 1 shingles of each, in any fixed order of all shingles.
-   Each of these spans a region. The order puts shingles that many documents
-   share last (a hint from counts over all documents; any order is exact).
-3. Each region takes its smallest class as pivot, and regions of one pivot make its
-   cell. A class is replicated to the cell of each of its regions, so every pair that
-   may link meets in a cell.
-4. Members without a partner of a like size leave a cell, and so do those whose sketch,
-   a quarter of the set, differs too much from all others'. The rest of a cell is
-   joined by one task: distances to the pivot first; members that link to
-   it are connected, and of the others only pairs are compared that lie within the
-   window |d(x, p) - d(y, p)| <= 0.25 of the triangle inequality, have sizes that can
-   link, and aren't connected yet. A cell that is too large for one task first finds
-   who links to its pivot, and is then joined in blocks: others with others, and
-   others with the linked ones, never the linked ones with each other.
+   Each of these spans a region, whose pivot is its smallest class; regions of one pivot
+   make its cell, and a class is in the cell of each of its regions. The order puts
+   shingles that many documents share last (a hint from counts over all documents; any
+   order is exact). Of shingles that are counted often the pivots are found first, so
+   their members name the cell without meeting by shingle.
+3. A cell that one task can't hold is cut by Voronoi: up to PIVOTS of its members are
+   drawn by hash, every member is placed in the region of its nearest pivot, and the
+   members of a region that are known to be connected alike have a box of least and
+   greatest distances to all pivots. A member is replicated to each region that comes
+   after its own and has a box, of members that it isn't connected with, within the
+   window of the triangle inequality: |d(x, p) - d(y, p)| <= 0.25 for all pivots p.
+   A member in no box's window leaves. Regions recurse with pivots of their own until
+   a task can hold them; one that pivots don't part is joined in blocks.
+4. Of a cell or region in one task, members without a partner of a like size leave, and
+   so do those (of cells) whose sketch, a quarter of the set, differs too much from all
+   others'. The others are compared by the sizes, by the window of one pivot, and only
+   if they aren't connected yet.
 5. Links make components; each document gets the smallest id of its component.
 
 Pairs of a group are never emitted, only links that connect its parts. Null texts count as empty; documents without words link with nothing.
 Repeated rows are equal sets; null ids take part, and a component of null ids only
-has a null component_id. Shingles and sets are compared by 64-bit hashes.
+has a null component_id. Rows are told apart by a 64-bit hash of id and text,
+shingles and sets by 64-bit hashes of their own. Members travel as 32 bits of these: what may
+collide is bounded by spare(), and a pair that this leaves open is compared by all 64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import dropped, raw_texts, ship, text_of, tidied, written
+from weirflow.llm.common import dropped, fits, joined_once, raw_texts, ship, text_of, tidied, written
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SIZE, PERCENT = 5, 75
-#: Differences that collisions of 32 bits may hide before a pair is compared by 64.
-SPARE = 8
-#: What collisions can take from a distance that windows compare.
-COLLISIONS = 0.01
 #: Shingles counted as frequent (an ordering hint), at most.
 HEAVY = 200_000
+#: Different sets of slices that make a shingle hot; those of less, or not among HEAVY, have few rows of any task.
+HOT = 1_000
+#: Pivots of a region that is cut, at most, and levels of the recursion.
+PIVOTS, LEVELS = 8, 12
 #: Shingles of the sets of a cell (and members, by 256 each) that one task joins, at most; also the size of blocks, doubled.
 CELL = 2_000_000
 #: Links of which components are made by one task (16 MB); more are dealt over the cluster.
 FEW_LINKS = 1_000_000
 
 
+def spare(k):
+    """Differences between sets of k members in all that collisions of 32 bits may hide: with about k^2 / 2^33 of them expected, six deviations and one more, two members each."""
+    expected = np.asarray(k, float) ** 2 / 2.0**33
+    return 2 * np.ceil(expected + 6 * np.sqrt(expected) + 1).astype(np.int64)
+
+
 #: An odd multiplier, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -164,13 +176,13 @@ def _slices(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]
 
 
 def survey(docs: DataFrame, least: int = 3, held: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """First pass. kind 0: id, n (size of the set), key (of the set, null if empty). kind 1: key (a shingle), n (different sets of a slice that share it).
+    """First pass. kind 0: id, row (a hash of id and text), n (size of the set), key (of the set, null if empty). kind 1: key (a shingle), n (different sets of a slice that share it).
 
     A slice has about `held` shingles, which bounds memory.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["kind", "id", "n", "key"]
+    names = ["kind", "id", "row", "n", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _shingler()
@@ -181,73 +193,94 @@ def survey(docs: DataFrame, least: int = 3, held: int = 1_500_000, id_col: str =
             found, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
             some = counts >= least
             m = int(some.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind_of_id), pa.array(counts[some]), pa.array(found[some].view(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind_of_id), pa.nulls(m, pa.int64()), pa.array(counts[some]), pa.array(found[some].view(np.int64))], names=names)
 
         for batch in batches:
             kind_of_id = batch.schema.field(0).type
             for part in _slices(batch):
                 sizes, keys = [], []
-                for own in s.many(raw_texts(part.column(1))):
+                for own in s.many(raw_texts(part.column(2))):
                     k = s.key(own) if len(own) else None
                     sizes.append(len(own))
                     keys.append(k)
                     if k is not None and k not in sets:
                         sets[k] = own
                         size += len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=names)
                 if size > held:
                     yield shared()
                     sets, size = {}, 0
         if sets:
             yield shared()
 
-    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(tidied("jaccard", run, _SHINGLER.clear), f"kind int, id {kind}, n long, key long")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), _row(id_col, text_col).alias("_row"), text_of(text_col).alias("_text"))
+    return rows.mapInArrow(tidied("jaccard", run, _SHINGLER.clear), f"kind int, id {kind}, row long, n long, key long")
+
 
+def _row(id_col: str, text_col: str):
+    return F.xxhash64(F.col(f"`{id_col}`"), text_of(text_col))
 
-def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Second pass: (token, key, n) for the leading shingles of each set; equal sets of a slice give them once.
 
-    heavy, ranks: frequent shingles, ascending, and the rank of their counts; at most HEAVY, so they are broadcast.
+def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, hot: np.ndarray | None = None, cells: tuple[np.ndarray, np.ndarray] | None = None, text_col: str = "text") -> DataFrame:
+    """(token, cell, key, n) for the leading shingles of each set; equal sets of a slice give them once.
+
+    heavy, ranks: frequent shingles, ascending, and the rank of their counts; at most HEAVY, so they are broadcast. With
+    hot (shingles), only those are given. With hot and cells (hot shingles, ascending, and the cell of each), a set names
+    each cell of its hot shingles once, under a token of its own; hot shingles without a cell are left out.
     """
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast((heavy, ranks))
+    sent = spark.sparkContext.broadcast((heavy, ranks, hot if hot is not None else np.zeros(0, np.uint64), cells))
+
+    def found(common: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(common):
+            return np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        at = np.searchsorted(common, own)
+        at[at == len(common)] = 0
+        return at, common[at] == own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, (common, rank) = _shingler(), sent.value
+        s, (common, rank, often, celled) = _shingler(), sent.value
         for batch in batches:
             for part in _slices(batch):
-                seen, tokens, keys, sizes = set(), [], [], []
+                seen, tokens, named, keys, sizes = set(), [], [], [], []
                 for own in s.many(raw_texts(part.column(0))):
                     n = len(own)
                     if not n or (k := s.key(own)) in seen:
                         continue
                     seen.add(k)
                     lead = n - -(-PERCENT * n // 100) + 1
-                    if len(common):
-                        at = np.searchsorted(common, own)
-                        at[at == len(common)] = 0
-                        hit = common[at] == own
-                        if hit.any():
-                            own = own[np.argsort(np.where(hit, rank[at], 0), kind="stable")]
-                    tokens.append(own[:lead])
-                    keys.append(np.full(lead, k, np.int64))
-                    sizes.append(np.full(lead, n, np.int32))
+                    at, hit = found(common, own)
+                    if hit.any():
+                        own = own[np.argsort(np.where(hit, rank[at], 0), kind="stable")]
+                    own = own[:lead]
+                    _, is_hot = found(often, own)
+                    direct = np.zeros(0, np.int64)
+                    if celled is None:
+                        own = own[is_hot] if len(often) else own
+                    else:
+                        at, known = found(celled[0], own[is_hot])
+                        direct, own = np.unique(celled[1][at[known]]), own[~is_hot]
+                    with np.errstate(over="ignore"):
+                        alone = (direct ^ np.int64(k)) * np.int64(0x2545F4914F6CDD1D) + 1
+                    tokens += [own.view(np.int64), alone]
+                    named += [pa.nulls(len(own), pa.int64()), pa.array(direct, pa.int64())]
+                    keys.append(np.full(len(own) + len(direct), k, np.int64))
+                    sizes.append(np.full(len(own) + len(direct), n, np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.concat_arrays(named), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "cell", "key", "n"])
 
-    return docs.select(text_of(text_col).alias("_text")).mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "token long, key long, n int")
+    return docs.select(text_of(text_col).alias("_text")).mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "token long, cell long, key long, n int")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, exact: bool = False, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, n, sketch, members) of the wanted keys, from one document of each class.
+    """(key, n, sketch, members) of the wanted keys, written, from one document of each class (key, doc: its row's hash).
 
     members: the upper 32 bits of each member's hash, or all 64 if `exact`; sketch: 16 bits of those whose hash is divisible by 4.
     """
     ship(docs.sparkSession)
-    ids = classes.join(wanted, "key", "left_semi").select(F.col("doc").alias("_id"), "key")
-    if wanted.count() <= small:  # checked, so 16 MB at most; else both sides are shuffled
-        ids = F.broadcast(ids)
+    ids = written(classes.join(wanted, "key", "left_semi").select(F.col("doc").alias("_row"), "key"), "wanted")
+    number = ids.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _shingler()
@@ -255,14 +288,19 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, exact: bool
             for part in _slices(batch):
                 keys, sizes, sketches, members = [], [], [], []
                 for key, own in zip(part.column(0).to_pylist(), s.many(raw_texts(part.column(1))), strict=True):
-                    if s.key(own) == key:  # ids may repeat
-                        keys.append(key)
-                        sizes.append(len(own))
-                        sketches.append(np.unique((own[own & np.uint64(3) == 0] >> np.uint64(48)).astype(np.uint16)).tobytes())
-                        members.append(own.tobytes() if exact else np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
+                    keys.append(key)
+                    sizes.append(len(own))
+                    sketches.append(np.unique((own[own & np.uint64(3) == 0] >> np.uint64(48)).astype(np.uint16)).tobytes())
+                    members.append(own.tobytes() if exact else np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(members, pa.binary())], names=["key", "n", "sketch", "members"])
 
-    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(ids, "_id").select("key", "_text").mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "key long, n int, sketch binary, members binary")
+    rows = docs.select(_row(id_col, text_col).alias("_row"), text_of(text_col).alias("_text"))
+    # Broadcast up to 16 MB, which is checked; else both sides are shuffled.
+    own = rows.join(F.broadcast(ids) if number <= small else ids, "_row").select("key", "_text")
+    sets = written(own.mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "key long, n int, sketch binary, members binary"), "sets")
+    dropped(ids)
+    # A row may be there several times.
+    return sets if sets.count() == number else written(sets.dropDuplicates(["key"]), "sets")
 
 
 def _common(x: pa.Scalar, y: pa.Scalar, kind) -> tuple[int, int]:
@@ -283,24 +321,24 @@ def _two_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return own.join(sets.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col(column).alias("other")), "b").select("a", "b", "n", "m", "own", "other")
 
 
-def _compared(pairs: DataFrame, kind, least_open: int) -> DataFrame:
-    """(a, b, low, state) of pairs with two sets: a lower bound of the distance; state 0 can't link, 1 undecided, 2 links.
-
-    Sets of n and m members link if they differ in at most (n + m) / 7. What they are compared by differs in no more.
-    It shows a link only if so many more differences than were seen would still be few enough (least_open < 0: never).
-    """
+def _links_of(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs with two sets, by all 64 bits, that link: sets of n and m members that differ in at most (n + m) / 7."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, state = [], []
+            keep = []
             for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                both, union = _common(x, y, kind)
-                differ = union - both
-                low.append(2 * differ / (n + m + differ))
-                state.append(0 if 7 * differ > n + m else 2 if least_open >= 0 and 7 * (differ + least_open) <= n + m else 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.float64()), pa.array(state, pa.int32())], names=["a", "b", "low", "state"])
+                both, union = _common(x, y, np.uint64)
+                keep.append(7 * (union - both) <= n + m)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "a long, b long")
 
-    return pairs.mapInArrow(tidied("jaccard", run, _SHINGLER.clear), "a long, b long, low double, state int")
+
+def bounds(differ, k) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest distance of sets of k members in all that were seen to differ in so many."""
+    most = differ + spare(k)
+    return 2 * differ / (k + differ), 2 * most / (k + most)
 
 
 class _Cell:
@@ -339,41 +377,47 @@ class _Cell:
                     out[i + 1 :] |= near
         return out
 
-    def links(self, pivot: int | None, linked: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def links(self, pivot: int, labels: list[int | None], guests: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(a, b, state): links (2), and undecided pairs (1), that connect what is not connected yet.
 
-        pivot: its place, if it is here. linked: who is known to link to the pivot. Members of a block are compared with
-        each other only if all are of one block.
+        pivot: whose distances make the window. labels: members of one label are connected. Guests aren't compared with
+        each other, and members of a block only if all are of one block.
         """
         m = len(self.keys)
-        root = np.arange(m)
-        known = np.flatnonzero(linked)
-        if len(known):
-            root[known] = known[0]
-        far = np.zeros(m)
-        if pivot is not None:
-            both = self.shared_with(pivot)
-            far = 1 - both / (self.length + self.length[pivot] - both)
+        root, groups = np.arange(m), {}
+        for i, label in enumerate(labels):
+            if label is not None:
+                groups.setdefault(label, []).append(i)
+        for own in groups.values():
+            root[own] = own[0]
+        settled = np.zeros(m, bool)
+        if groups:
+            settled[max(groups.values(), key=len)] = True  # the others are compared with these, which is enough
+        low, high = bounds(self.length + self.length[pivot] - 2 * self.shared_with(pivot), self.size + self.size[pivot])
+        reach = 1 - PERCENT / 100 + 1e-9
         whole = len(np.unique(blocks)) == 1
         done = np.zeros(m, bool)
         # The pivot first: who links to it is connected before others are compared.
-        for i in ([pivot] if pivot is not None else []) + [i for i in range(m) if i != pivot and not linked[i]]:
+        for i in [pivot] + [i for i in range(m) if i != pivot and not settled[i]]:
             done[i] = True
             open_to = ~done & (root != root[i]) & (100 * np.minimum(self.size, self.size[i]) >= PERCENT * np.maximum(self.size, self.size[i]))
-            if pivot is not None and i != pivot:
-                open_to &= np.abs(far - far[i]) <= 1 - PERCENT / 100 + COLLISIONS
+            if i != pivot:
+                open_to &= (low - high[i] <= reach) & (low[i] - high <= reach)
+            if guests[i]:
+                open_to &= ~guests
             if not whole:
-                open_to &= (blocks != blocks[i]) | linked[i]
+                open_to &= blocks != blocks[i]
             if not open_to.any():
                 continue
             some = np.flatnonzero(open_to)
             differ = self.length[some] + self.length[i] - 2 * self.shared_with(i)[some]
             limit = self.size[some] + self.size[i]
-            for j in some[7 * (differ + SPARE) <= limit].tolist():
+            sure = 7 * (differ + spare(limit)) <= limit
+            for j in some[sure].tolist():
                 if root[j] != root[i]:
                     root[root == root[j]] = root[i]
                     yield self.keys[i], self.keys[j], 2
-            for j in some[(7 * (differ + SPARE) > limit) & (7 * differ <= limit)].tolist():
+            for j in some[~sure & (7 * differ <= limit)].tolist():
                 if root[j] != root[i]:
                     yield self.keys[i], self.keys[j], 1
 
@@ -410,16 +454,126 @@ def narrowed(cells: DataFrame) -> DataFrame:
 
 
 def joined(cells: DataFrame) -> DataFrame:
-    """(a, b, state) of cells: rows (cell, i, j, key, n, members, linked, block)."""
+    """(a, b, state) of cells, regions and pairs of blocks: rows (cell, i, j, key, n, members, label, guest, block)."""
 
     def make(cell: int, held: list[tuple]) -> pa.RecordBatch:
-        pivot = next((k for k, h in enumerate(held) if h[0] == cell), None)
+        guests = np.array([h[4] for h in held], bool)
+        pivot = next((k for k, h in enumerate(held) if h[0] == cell), int(np.argmin(guests)))
         own = _Cell([h[0] for h in held], [h[1] for h in held], [np.frombuffer(h[2], np.uint32) for h in held])
-        found = list(own.links(pivot, np.array([h[3] for h in held], bool), np.array([h[4] for h in held])))
+        found = list(own.links(pivot, [h[3] for h in held], guests, np.array([h[5] for h in held])))
         columns = zip(*found, strict=True) if found else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "state"])
 
-    return _by_cell(cells, ["key", "n", "members", "linked", "block"], make, "a long, b long, state int")
+    return _by_cell(cells, ["key", "n", "members", "label", "guest", "block"], make, "a long, b long, state int")
+
+
+# -- Voronoi regions ------------------------------------------------------------------
+_PLACED = "region long, salt int, key long, n int, guest boolean, label long, home int, low array<double>, high array<double>, pivots array<long>, states array<int>"
+_REGION = "region long, key long, n int, guest boolean, label long"
+
+
+def _place(members: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Distances of the members of a region (or a part of them) to its pivots: _PLACED. A label says what a member is connected with."""
+    own = [np.frombuffer(x.as_buffer(), np.uint32) for x in pivots.column("members").combine_chunks()] if pivots.num_rows else []
+    keys, sizes = pivots.column("key").to_pylist(), np.array(pivots.column("n").to_pylist(), np.int64)
+    lengths = np.array([len(x) for x in own], np.int64)
+
+    def compared(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.array([int(np.isin(x, p, assume_unique=True).sum()) if len(x) < len(p) else int(np.isin(p, x, assume_unique=True).sum()) for p in own], np.int64)
+        differ, k = len(x) + lengths - 2 * both, n + sizes
+        return differ, np.where(7 * differ > k, 0, np.where(7 * (differ + spare(k)) <= k, 2, 1))
+
+    # Pivots that link to each other share a label: every part of the region finds the same.
+    names = list(keys)
+    for i, x in enumerate(own):
+        for j in np.flatnonzero(compared(x, int(sizes[i]))[1] == 2).tolist():
+            a, b = sorted((names[i], names[j]))
+            names = [a if y == b else y for y in names]
+    rows: dict[str, list] = {c.split()[0]: [] for c in _PLACED.split(", ")}
+    for region, salt, key, n, guest, label, x in zip(*(members.column(c).to_pylist() if c != "members" else members.column(c).combine_chunks() for c in ("region", "salt", "key", "n", "guest", "label", "members")), strict=True):
+        differ, state = compared(np.frombuffer(x.as_buffer(), np.uint32), n)
+        low, high = bounds(differ, n + sizes)
+        home = int(np.argmin(low))
+        linked = np.flatnonzero(state == 2)
+        if label is None and len(linked):
+            label = names[linked[np.argmin(low[linked])]]
+        some = [i for i in np.flatnonzero(state > 0).tolist() if keys[i] != key]
+        for c, v in zip(rows, (region, salt, key, n, guest, label, home, low, high, [keys[i] for i in some], [int(state[i]) for i in some]), strict=True):
+            rows[c].append(v)
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)})
+
+
+def _replicate(members: pa.Table, boxes: pa.Table) -> pa.Table:
+    """Members of a region (or a part of them) in the regions inside it that they belong to, by the boxes of these: (child, key, n, guest, label)."""
+    m, reach = members.num_rows, 1 - PERCENT / 100 + 1e-9
+    low, high = (np.array(members.column(c).to_pylist(), float).reshape(m, -1) for c in ("low", "high"))
+    n, home, guest = (members.column(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "guest"))
+    labels = members.column("label").to_pylist()
+    open_to = np.zeros((m, int(max(boxes.column("home").to_pylist())) + 1), bool)
+    for child, label, least, most, small, large in zip(*(boxes.column(c).to_pylist() for c in ("home", "label", "least", "most", "n_least", "n_most")), strict=True):
+        near = ((low - np.array(most) <= reach) & (np.array(least) - high <= reach)).all(axis=1)
+        near &= (100 * n >= PERCENT * small) & (PERCENT * n <= 100 * large)
+        if label is not None:
+            near &= np.array([x != label for x in labels], bool)
+        open_to[:, child] |= near
+    # At home if any box is near; elsewhere as a guest, where the region comes later (pairs need to meet once only).
+    at = np.arange(open_to.shape[1])
+    place = open_to & (guest[:, None] | (at > home[:, None]))
+    rows, children = np.nonzero(place)
+    stay = np.flatnonzero(open_to.any(axis=1) & ~guest)
+    take = np.concatenate([stay, rows])
+    return pa.table({
+        "child": pa.array(np.concatenate([home[stay], children]), pa.int32()), "key": members.column("key").take(take), "n": members.column("n").take(take),
+        "guest": pa.array(np.concatenate([np.zeros(len(stay), bool), np.ones(len(rows), bool)])), "label": members.column("label").take(take), "region": members.column("region").take(take),
+    })
+
+
+def _weights(regions: DataFrame) -> DataFrame:
+    return regions.groupBy("region").agg(F.sum(F.col("n") + 256).alias("weight"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("guest"), 0).otherwise(1)).alias("homes"))
+
+
+def voronoi(regions: DataFrame, sets: DataFrame, cell: int = CELL, pivots: int = PIVOTS, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Cuts regions (_REGION) that are over `cell` until tasks can hold them: (small regions, regions that pivots don't part, links found on the way)."""
+    pick = lambda df, keys: df.join(F.broadcast(keys) if fits(keys, 1_000_000) else keys, "region")
+    small, stuck, links = [], [], []
+    for level in range(levels):
+        weights = written(_weights(regions).withColumn("parts", F.ceil(F.col("weight") / cell).cast("int")).select("region", "weight", "parts"), "weights")
+        salted = pick(regions, weights.select("region", "parts")).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(level)), F.col("parts")).cast("int"))
+        own = sets.select("key", "members").join(salted, "key").select("region", "salt", "key", "n", "guest", "label", "members")
+        # One pivot of each of so many hashes, of those at home; every part of a region gets them all.
+        drawn = regions.where("NOT guest").groupBy("region", F.pmod(F.xxhash64("key", F.lit(level + 100)), F.lit(pivots)).alias("b")).agg(F.min_by(F.struct("key", "n"), F.xxhash64("key", F.lit(level))).alias("p"))
+        drawn = written(sets.select("key", "members").join(drawn.select("region", "p.key", "p.n"), "key"), "pivots")
+        dealt = pick(drawn, weights.select("region", "parts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        in_order = lambda left, right: _place(left, right.sort_by("key"))
+        placed = written(own.groupBy("region", "salt").cogroup(dealt.select("region", "salt", "key", "n", "members").groupBy("region", "salt")).applyInArrow(in_order, _PLACED), "placed")
+        links.append(placed.where(F.size("pivots") > 0).select(F.col("key").alias("a"), F.explode(F.arrays_zip("pivots", "states")).alias("p")).select("a", F.col("p.pivots").alias("b"), F.col("p.states").alias("state")))
+        sides = [f(F.get(F.col(c), F.lit(q))).alias(f"{c}_{q}") for c, f in (("low", F.min), ("high", F.max)) for q in range(pivots)]
+        boxes = placed.where("NOT guest").groupBy("region", "home", "label").agg(*sides, F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+        listed = lambda c: F.filter(F.array(*[F.col(f"{c}_{q}") for q in range(pivots)]), lambda x: x.isNotNull())
+        boxes = written(boxes.select("region", "home", "label", listed("low").alias("least"), listed("high").alias("most"), "n_least", "n_most"), "boxes")
+        dealt = pick(boxes, weights.select("region", "parts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        inside = placed.select("region", "salt", "key", "n", "guest", "label", "home", "low", "high").groupBy("region", "salt").cogroup(dealt.groupBy("region", "salt")).applyInArrow(_replicate, "child int, key long, n int, guest boolean, label long, region long")
+        inside = written(inside.withColumn("parent", F.col("region")).withColumn("region", F.xxhash64("region", "child", F.lit(level))), "regions")
+        told = _weights(inside).join(inside.groupBy("region").agg(F.first("parent").alias("parent")), "region").where("rows > 1 AND homes > 0")
+        told = told.join(weights.select(F.col("region").alias("parent"), F.col("weight").alias("above")), "parent")
+        told = written(told.select("region", F.when(F.col("weight") <= cell, "small").when(F.col("weight") > 0.7 * F.col("above"), "stuck").otherwise("large").alias("what")), "told")
+        with_what = pick(inside, told).select("region", "key", "n", "guest", "label", "what")
+        small.append(with_what.where("what = 'small'").drop("what"))
+        stuck.append(with_what.where("what = 'stuck'").drop("what"))
+        regions = written(with_what.where("what = 'large'").drop("what"), "regions")
+        if regions.isEmpty():
+            break
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    return union(small), union([*stuck, regions]), links
+
+
+def in_blocks(regions: DataFrame, cell: int) -> DataFrame:
+    """Regions that are too large for a task as pairs of blocks, each a task: (cell, i, j, key, n, label, guest, block)."""
+    parts = _weights(regions).select("region", F.ceil(2 * F.col("weight") / cell).cast("int").alias("parts"))
+    placed = written(regions.join(parts, "region").withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int") + 1), "blocks")
+    # A block meets each block of its region: as i those from it on, as j those before it.
+    others = F.explode(F.sequence(F.lit(1), F.col("parts")))
+    return placed.withColumn("other", others).select(F.col("region").alias("cell"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "n", "label", "guest", "block")
 
 
 def _with_sets(members: DataFrame, sets: DataFrame, column: str, small: int = 1_000_000) -> DataFrame:
@@ -474,54 +628,51 @@ def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW_LINK
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root"))).groupBy("key").agg(F.min("root").alias("root"))
 
 
-def class_links(docs: DataFrame, surveyed: DataFrame, heavy: int = HEAVY, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def class_links(docs: DataFrame, surveyed: DataFrame, heavy: int = HEAVY, cell: int = CELL, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(links, roots): links (a, b) that connect classes, and the component of every linked class."""
-    classes = surveyed.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("doc"))
+    classes = surveyed.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg(F.min("row").alias("doc"))
     top = surveyed.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(heavy).toArrow()
     tokens = np.array(top.column("key").to_pylist(), np.int64).view(np.uint64)
     counts = np.array(top.column("n").to_pylist(), np.float64)
     order = np.argsort(tokens)
-    ranks = (4 * np.log2(np.maximum(counts[order], 2))).astype(np.int16)
-
+    tokens, counts = tokens[order], counts[order]
+    ranks = (4 * np.log2(np.maximum(counts, 2))).astype(np.int16)
+    often, cells = tokens[counts >= hot], None
+    if len(often):
+        # The pivots of hot shingles, at most `heavy`: least keys, made in each partition first.
+        least = prefixes(docs, tokens, ranks, often, text_col=text_col).groupBy("token").agg(F.min("key").alias("cell"), F.max("key").alias("last")).where("cell != last").toArrow()
+        named = np.array(least.column("token").to_pylist(), np.int64).view(np.uint64)
+        by = np.argsort(named)
+        cells = named[by], np.array(least.column("cell").to_pylist(), np.int64)[by]
+
+    # Shingles that aren't hot have at most `hot` rows, two of each slice, or one of `heavy` of all, so a window takes them.
     token = Window.partitionBy("token")
-    led = prefixes(docs, tokens[order], ranks, text_col).withColumn("pivot", F.min(F.struct("key", "n")).over(token)).withColumn("last", F.max("key").over(token)).where("pivot.key != last")
+    led = prefixes(docs, tokens, ranks, often, cells, text_col) if cells is not None else prefixes(docs, tokens, ranks, text_col=text_col)
+    led = led.withColumn("pivot", F.min("key").over(token)).withColumn("last", F.max("key").over(token)).where("cell IS NOT NULL OR pivot != last")
     # Each class once in each of its cells.
-    pairs = led.groupBy(F.col("pivot.key").alias("cell"), "key").agg(F.first("n").alias("n"))
-    cell_size = Window.partitionBy("cell")
-    members = written(pairs.withColumn("total", F.count(F.lit(1)).over(cell_size)).withColumn("weight", F.sum(F.col("n") + 256).over(cell_size)), "cells")
-    sets = written(sets_of(docs, classes, members.select("key").distinct(), id_col=id_col, text_col=text_col), "sets")
+    members = written(led.groupBy(F.coalesce("cell", "pivot").alias("cell"), "key").agg(F.first("n").alias("n")), "cells")
+    sets = sets_of(docs, classes, members.select("key").distinct(), id_col=id_col, text_col=text_col)
+    large = written(members.groupBy("cell").agg(F.sum(F.col("n") + 256).alias("weight")).where(F.col("weight") > cell).select("cell"), "large")
 
-    # Members that have someone of a like size in their cell, by the nearest sizes; then those whose sketches come near another's.
-    zero, weight = F.lit(0), F.sum(F.col("n") + 256)
+    # Of cells for one task, members that have someone of a like size, by the nearest sizes; then those whose sketches come near another's.
+    zero, nothing = F.lit(0), F.lit(None).cast("long")
     sizes = Window.partitionBy("cell").orderBy("n")
     near = lambda m: F.coalesce(100 * F.least("n", m) >= PERCENT * F.greatest("n", m), F.lit(False))
-    alike = members.where("total > 1").withColumn("before", F.lag("n").over(sizes)).withColumn("after", F.lead("n").over(sizes)).where(near(F.col("before")) | near(F.col("after")))
-    small_cells = written(alike.where(F.col("weight") <= 8 * cell).select("cell", zero.alias("i"), zero.alias("j"), "key", "n"), "alike")
-    sketched = narrowed(_with_sets(small_cells, sets, "sketch"))
-    members = written(sketched.unionByName(alike.where(F.col("weight") > 8 * cell).select("cell", "key", "n")), "narrowed")
-
-    large = written(members.groupBy("cell").agg(weight.alias("weight")).where(F.col("weight") > cell).select("cell", F.ceil(2 * F.col("weight") / cell).cast("int").alias("parts")), "large")
-    plain = members.join(large, "cell", "left_anti").select("cell", zero.alias("i"), zero.alias("j"), "key", F.lit(False).alias("linked"), zero.alias("block"))
-    links = None
+    alike = members.join(large, "cell", "left_anti").withColumn("before", F.lag("n").over(sizes)).withColumn("after", F.lead("n").over(sizes)).where(near(F.col("before")) | near(F.col("after")))
+    small_cells = written(alike.select("cell", zero.alias("i"), zero.alias("j"), "key", "n"), "alike")
+    plain = narrowed(_with_sets(small_cells, sets, "sketch")).select("cell", zero.alias("i"), zero.alias("j"), "key", "n", nothing.alias("label"), F.lit(False).alias("guest"), zero.alias("block"))
+    links = []
     if not large.isEmpty():
-        # Who links to the pivot of a large cell, pair by pair.
-        inside = members.join(large, "cell").where("key != cell")
-        star = written(_compared(_two_sets(inside.select(F.col("key").alias("a"), F.col("cell").alias("b")), sets, "members"), np.uint32, SPARE), "star")
-        links = star.where("state > 0").select("a", "b", "state")
-        told = inside.join(star.select(F.col("a").alias("key"), F.col("b").alias("cell"), "state"), ["key", "cell"])
-        # Blocks of the linked ones are negative, of the others positive; a pair of blocks is a task.
-        block = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int") + 1
-        placed = told.select("cell", "key", "parts", (F.col("state") == 2).alias("linked"), F.when(F.col("state") == 2, -block).otherwise(block).alias("block"))
-        others = placed.where("NOT linked").select("cell", "block").distinct()
-        # At most twice `parts` blocks of a cell, so this join is of blocks, not of members.
-        all_blocks = placed.select("cell", "block").distinct()
-        tasks = all_blocks.withColumnRenamed("block", "i").join(others.withColumnRenamed("block", "j"), "cell").where("i <= j")
-        ends = tasks.select("cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        plain = plain.unionByName(placed.join(ends, ["cell", "block"]).select("cell", "i", "j", "key", "linked", "block"))
-    plain = written(plain.join(members.select("cell", "key", "n"), ["cell", "key"]), "tasks")
+        regions = written(members.join(large, "cell", "left_semi").select(F.col("cell").alias("region"), "key", "n", F.lit(False).alias("guest"), nothing.alias("label")), "regions")
+        small, stuck, links = voronoi(regions, sets, cell)
+        plain = plain.unionByName(small.select(F.col("region").alias("cell"), zero.alias("i"), zero.alias("j"), "key", "n", "label", "guest", zero.alias("block")))
+        stuck = written(stuck, "stuck")
+        if not stuck.isEmpty():
+            plain = plain.unionByName(in_blocks(stuck, cell))
+    plain = written(plain, "tasks")
     found = written(joined(_with_sets(plain, sets, "members")), "links")
-    links = found if links is None else links.unionByName(found)
-    undecided, links = links.where("state = 1").select("a", "b"), links.where("state = 2").select("a", "b")
+    found = written(reduce(DataFrame.unionByName, [found, *links]), "links") if links else found
+    undecided, links = found.where("state = 1").select("a", "b"), found.where("state = 2").select("a", "b")
     roots = written(components(links), "roots")
     # What is undecided, and would join components, by all 64 bits of each member.
     sides = undecided
@@ -530,27 +681,50 @@ def class_links(docs: DataFrame, surveyed: DataFrame, heavy: int = HEAVY, cell:
     open_pairs = written(sides.where("_a != _b").select("a", "b").distinct(), "undecided")
     if not open_pairs.isEmpty():
         exact = sets_of(docs, classes, open_pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), exact=True, id_col=id_col, text_col=text_col)
-        links = links.unionByName(written(_compared(_two_sets(open_pairs, exact, "members"), np.uint64, 0), "exact").where("state = 2").select("a", "b"))
+        links = links.unionByName(written(_links_of(_two_sets(open_pairs, exact, "members")), "exact"))
         roots = written(components(links), "roots")
+    dropped(members, sets, large, small_cells, plain, open_pairs)
     return links, roots
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per document: id, n_shingles, component_id (the smallest id that links reach)."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): id, row, n, key of every document, and key, root of every class."""
     surveyed = written(survey(docs, id_col=id_col, text_col=text_col), "survey")
     _, roots = class_links(docs, surveyed, id_col=id_col, text_col=text_col, **options)
-    rows = surveyed.where("kind = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "key")
-    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(id_col).alias("least"))
-    rooted = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = surveyed.where("kind = 0").select("id", "row", "n", "key")
+    return rows, rows.where("key IS NOT NULL").select("key").distinct().join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: id, n_shingles, component_id (the smallest id that links reach)."""
+    rows, classes = _rooted(docs, id_col, text_col, options)
+    least = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
+    rooted = classes.join(least, "key")
     # One row per class, of two longs and an id.
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    full = rows.where("key IS NOT NULL").join(named, "key").select(id_col, "n_shingles", "component_id")
-    empty = rows.where("key IS NULL").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
+    named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id"), "named")
+    full = joined_once(rows.where("key IS NOT NULL"), named, "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.where("key IS NULL").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(empty)
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one of the smallest id, with all columns of docs. Rows without an id stay."""
-    names = near_copies(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(names, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """One document of each component, of the smallest id (one without an id only where none has one), with all columns of docs.
+
+    Documents that share an id but don't link all stay, and so do those without words, which link with nothing.
+    """
+    rows, classes = _rooted(docs, id_col, text_col, {})
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    best = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("times"))
+    rooted = classes.join(best, "key").groupBy("root").agg(F.min("best").alias("best"), F.sum("times").alias("times"))
+    stay = rooted.select(F.col("best.row").alias("_row"), (F.col("times") > 1).alias("_several")).unionByName(rows.where("key IS NULL").select(F.col("row").alias("_row"), F.lit(False).alias("_several")).distinct())
+    stay = written(stay, "stay")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docs"), _row(id_col, text_col).alias("_row"))
+    own = keyed.join(stay, "_row")
+    # The row that stays may itself be there several times, equal in id and text.
+    again = rows.where("key IS NOT NULL").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row").alias("_row"))
+    again = written(again.join(stay, "_row", "left_semi"), "again")
+    if not again.isEmpty():
+        often = F.broadcast(again) if fits(again, 1_000_000) else again
+        once = own.join(often, "_row", "left_semi").groupBy("_row").agg(F.first("_docs").alias("_docs")).select("_docs")
+        return own.join(often, "_row", "left_anti").select("_docs").unionByName(once).select("_docs.*")
+    return own.select("_docs.*")
