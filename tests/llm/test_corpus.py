@@ -305,6 +305,50 @@ def test_quality_of_hard_rows(spark):
     assert quality.score(cases.empty(spark), model).collect() == []
 
 
+def plain_features(text: str) -> list[float]:
+    """quality.features() character by character."""
+    data = text.encode()
+    if not data:
+        return [0.0] * (len(quality.SURFACE) + quality.GRAMS)
+    n, tokens, lines = len(data), text.split(), text.split("\n")
+    m = max(1, len(tokens))
+    of = lambda f: sum(1 for b in data if f(chr(b)) and b < 128)
+    upper, lower, digit, prose = of(str.isupper), of(str.islower), of(str.isdigit), of(lambda c: c in ".,;:'\"-()?!")
+    symbol = of(lambda c: 32 < ord(c) < 127 and not c.isalnum() and c not in ".,;:'\"-()?!")
+    other = of(lambda c: (ord(c) < 32 and c not in "\t\n") or ord(c) == 127)
+    letters, counts = max(1, upper + lower), Counter(tokens)
+    out = [math.log1p(len(tokens)), math.log1p(n), upper / letters, digit / n, prose / n, symbol / n, other / n, data.count(b"\n") / m, len(counts) / m, len(set(lines)) / len(lines), n / m / 10]
+    out += [sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / m, max(counts.values(), default=0) / m, math.log1p(m / len(lines)), sum(not t[-1].isalnum() and t[-1] not in ".,;:?!'\")" for t in tokens) / m, sum(t.isupper() for t in tokens) / m]
+    small, bins = data.lower(), [0] * quality.GRAMS
+    for i in range(n - 2):
+        bins[((small[i] << 16 | small[i + 1] << 8 | small[i + 2]) * 2_654_435_761 % 2**32) >> 24] += 1
+    return out + [math.sqrt(b / max(1, n - 2)) for b in bins]
+
+
+def test_quality_against_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert np.allclose(quality.features("A|b! \x00\n\t ß 12"), plain_features("A|b! \x00\n\t ß 12")) and not quality.features("").any()
+    # The drawn pairs, one by one: at the minimum of the logistic loss its slope is nought in every direction.
+    fitted = sorted((r.quality, plain_features(texts[r.doc_id])) for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    better, worse = [x for q, x in fitted if q == 1], [x for q, x in fitted if q == 0]
+    every = np.array([x for _, x in fitted])
+    scale = [s if s >= 1e-9 else 1.0 for s in every.std(axis=0)]
+    wins, pairs = np.zeros(every.shape[1]), 4000
+    rng = random.Random(5)
+    for _ in range(pairs):
+        d = (np.array(rng.choice(better)) - np.array(rng.choice(worse))) / scale
+        wins += d / (1 + math.exp(min(30, float(d @ model.weights))))
+    ridge = np.where(np.arange(len(scale)) < len(quality.SURFACE), quality.RIDGE, quality.GRAM_RIDGE)
+    assert np.abs(wins / pairs - ridge * model.weights).max() < 0.02  # other pairs of the same documents were drawn
+    assert np.allclose(model.scale, scale, rtol=1e-3)
+    for r in quality.score(docs, model).collect():
+        z = sum(float(x) / float(s) * float(w) for x, s, w in zip(plain_features(texts[r.doc_id]), model.scale, model.weights, strict=True))
+        want = 1 / (1 + math.exp(-max(-30, min(30, (z - model.threshold) / model.spread + math.log(0.7 / 0.3)))))
+        assert abs(r.score - want) < 1e-6
+
+
 def test_pairs_rank_by_strength():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))

@@ -12,8 +12,10 @@ and has the features of an empty text. Labels that are null, or other than 0 and
 empty table gives no rows. Without labels of both kinds, every score is `cut`.
 Columns other than the id and the text are ignored.
 
-The labelled rows that are fitted are bounded by `max_rows`: those of the smallest
-hash of the id, which spreads over all labels. All else covers all documents.
+Two bounds hold for what is fitted, not for what is scored: the labelled rows are at
+most `max_rows`, those of the smallest hash of the id, which spreads over all labels;
+and of their better-worse pairs `pairs` are drawn (fit_pairs). Features are shares of kinds of bytes,
+words and lines, and hashed trigrams of bytes, so that the ranking learns from contents.
 """
 
 from __future__ import annotations
@@ -27,15 +29,20 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import ship, strings, text_of, tidied
 
-FEATURES = ("log_words", "log_bytes", "upper", "digit", "punctuation", "symbol", "other", "bar", "mark", "line", "distinct", "distinct_lines", "word_bytes", "next_same", "common_word", "line_words", "symbol_words", "upper_words")
+#: Features of the surface, and the number of hashed byte trigrams that make up the rest.
+SURFACE = ("log_words", "log_bytes", "upper", "digit", "punctuation", "symbol", "other", "line", "distinct", "distinct_lines", "word_bytes", "next_same", "common_word", "line_words", "symbol_words", "upper_words")
+GRAMS = 256
+RIDGE, GRAM_RIDGE = 1e-2, 1.0
+#: Fixed value: a multiplier that spreads trigrams over the hashes (2**32 by the golden ratio).
+_SPREAD = 2_654_435_761
 
 
 def _classes() -> np.ndarray:
-    """Of each byte: 0 other ASCII, 1 upper, 2 digit, 3 prose punctuation, 4 symbol, 5 space, 6 line end, 7 not ASCII, 8 bar, 9 '!', 10 lower."""
+    """Of each byte: 0 other ASCII, 1 upper, 2 digit, 3 prose punctuation, 4 symbol, 5 space, 6 line end, 7 not ASCII, 8 lower."""
     out = np.zeros(256, np.int64)
     for b in range(33, 127):
         out[b] = 4
-    for chars, kind in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), ("0123456789", 2), (".,;:'\"-()?", 3), ("|", 8), ("!", 9), ("abcdefghijklmnopqrstuvwxyz", 10), (" \t", 5), ("\n", 6)):
+    for chars, kind in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), ("0123456789", 2), (".,;:'\"-()?!", 3), ("abcdefghijklmnopqrstuvwxyz", 8), (" \t", 5), ("\n", 6)):
         for c in chars:
             out[ord(c)] = kind
     out[128:] = 7
@@ -45,19 +52,29 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def features(text: str) -> list[float]:
-    """The features of one text, in the order of FEATURES."""
-    raw = text.encode()
-    n = len(raw)
+def grams(raw: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Counts of the trigrams of a text's bytes (A-Z as a-z) by hash, some of them at a time."""
+    out = np.zeros(GRAMS, np.int64)
+    for at in range(0, max(0, len(raw) - 2), step):
+        own = raw[at : at + step + 2].astype(np.uint32)
+        own[(own >= 65) & (own <= 90)] += 32
+        g = own[:-2] << np.uint32(16) | own[1:-1] << np.uint32(8) | own[2:]
+        out += np.bincount((g * np.uint32(_SPREAD) >> np.uint32(24)).astype(np.int64), minlength=GRAMS)
+    return out
+
+
+def features(text: str) -> np.ndarray:
+    """The features of one text: those of SURFACE, then root shares of its trigrams."""
+    data = text.encode()
+    n = len(data)
     if not n:
-        return [0.0] * len(FEATURES)
-    by_byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    k = np.bincount(_CLASS, weights=by_byte, minlength=11)
+        return np.zeros(len(SURFACE) + GRAMS)
+    raw = np.frombuffer(data, np.uint8)
+    k = np.bincount(_CLASS, weights=np.bincount(raw, minlength=256), minlength=9)
     tokens = text.split()
     m = max(1, len(tokens))
     lines = text.split("\n")
-    distinct = set(tokens)
-    letters = max(1.0, k[1] + k[10])
+    letters = max(1.0, k[1] + k[8])
     counts: dict[str, int] = {}
     get = counts.get
     for t in tokens:
@@ -65,24 +82,25 @@ def features(text: str) -> list[float]:
     symbols = sum(c for t, c in counts.items() if not t[-1].isalnum() and t[-1] not in ".,;:?!'\")")
     upper = sum(c for t, c in counts.items() if t.isupper())
     same = sum(map(str.__eq__, tokens, tokens[1:]))
-    return [
-        np.log1p(len(tokens)), np.log1p(n), k[1] / letters, k[2] / n, k[3] / n, k[4] / n, k[0] / n, k[8] / m, k[9] / m, k[6] / m, len(distinct) / m, len(set(lines)) / len(lines), n / m / 10, same / m,
+    surface = [
+        np.log1p(len(tokens)), np.log1p(n), k[1] / letters, k[2] / n, k[3] / n, k[4] / n, k[0] / n, k[6] / m, len(counts) / m, len(set(lines)) / len(lines), n / m / 10, same / m,
         max(counts.values(), default=0) / m, np.log1p(m / len(lines)), symbols / m, upper / m,
     ]
+    return np.concatenate([surface, np.sqrt(grams(raw) / max(1, n - 2))])
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs: int = 20_000, ridge: float = 1e-3, steps: int = 60, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and scales of a Bradley-Terry model, by Newton steps on the logistic loss of feature differences."""
+def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs: int = 20_000, ridge: float | np.ndarray = 1e-2, steps: int = 60, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and scales of a Bradley-Terry model, by Newton steps on the logistic loss of the feature differences of `pairs` drawn pairs."""
     both = np.concatenate([better, worse])
     scale = both.std(axis=0)
     scale[scale < 1e-9] = 1.0
     rng = np.random.default_rng(seed)
     d = (better[rng.integers(len(better), size=pairs)] - worse[rng.integers(len(worse), size=pairs)]) / scale
-    w = np.zeros(d.shape[1])
+    w, ridge = np.zeros(d.shape[1]), np.broadcast_to(ridge, d.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # the chance that the worse one wins
         gradient = -(d * p[:, None]).mean(axis=0) + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + np.diag(ridge)
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -107,7 +125,9 @@ def fit(x: np.ndarray, y: np.ndarray, cut: float = 0.7) -> Model:
     """A model from labelled features; the threshold is the score quantile that separates the labels best."""
     if len(y) == 0 or y.min() == y.max():
         return Model(None, None, 0.0, 1.0, cut)
-    w, scale = fit_pairs(x[y == 1], x[y == 0])
+    # Trigrams are many and each says little, so their weights are held closer to 0.
+    ridge = np.where(np.arange(x.shape[1]) < len(SURFACE), RIDGE, GRAM_RIDGE)
+    w, scale = fit_pairs(x[y == 1], x[y == 0], ridge=ridge)
     z = (x / scale) @ w
     low, high = z[y == 0], z[y == 1]
     levels = np.linspace(0, 1, 1001)
@@ -128,10 +148,10 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in strings(batch.column(1))], pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).astype(np.float32).tobytes() for t in strings(batch.column(1))], pa.binary())], names=["label", "x"])
 
-    found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(some, "_id").select("_label", "_text").mapInArrow(run, "label int, x array<double>").toArrow()
-    x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
+    found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(some, "_id").select("_label", "_text").mapInArrow(run, "label int, x binary").toArrow()
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).astype(float).reshape(-1, len(SURFACE) + GRAMS)
     y = np.array(found.column("label").to_pylist(), int)
     order = np.lexsort((*x.T, y))  # the same model whatever the order of arrival
     return x[order], y[order]
@@ -161,7 +181,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
-    return model.scores(np.array([features(t) for t in strings(texts)], float).reshape(-1, len(FEATURES)))
+    return model.scores(np.array([features(t) for t in strings(texts)], float).reshape(-1, len(SURFACE) + GRAMS))
 
 
 def remainder(id_col: str = "doc_id", n: int = 4):
