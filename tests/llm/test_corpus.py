@@ -366,9 +366,9 @@ def test_gradient_of_the_network():
     net = language_model.Network(v)
     net.flat = np.random.default_rng(0).normal(0, 0.4, len(net.flat)).astype(np.float32)
     net = language_model.Network(v, net.flat)
-    grid = language_model.Grid.of(v, texts)
+    lanes = language_model.Lanes.of(*v.encode(texts), 3)
     read = lambda: net.window_gradient(v.kind_of[x], *language_model._read(v, y), fresh, y >= 0, np.zeros((on, 4), np.float32))
-    _, on, x, y, fresh = next(grid.windows(9))
+    _, on, x, y, fresh = next(lanes.windows(9))
     gradient, _, _ = read()
     for k in np.flatnonzero(np.abs(gradient) > 5e-3)[::7]:
         kept = net.flat[k]
@@ -403,6 +403,68 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert abs((10**logs).sum() - 1) < 1e-4
 
 
+def scalar_log10(net, words: list[bytes]) -> float:
+    """The score of one text, token by token in plain Python: unit by unit, class by class."""
+    v, p, h, out = net.v, {k: x.astype(float).tolist() for k, x in net.p.items()}, net.h, 0.0
+    state, before = [0.0] * h, None
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for w in [*words, language_model.END]:
+        read = [0.0] * h
+        if before is not None:
+            c = int(v.class_of[before])
+            read = [p["E"][c][i] + (p["E"][v.classes + before][i] if before < v.frequent else 0.0) for i in range(h)]
+        g = [sum(read[i] * p["W"][i][j] for i in range(h)) + p["b"][j] for j in range(3 * h)]
+        if before is None:
+            g = p["b"]
+        z, r = ([sigmoid(g[o + j] + sum(state[i] * p["U"][i][o + j] for i in range(h))) for j in range(h)] for o in (0, h))
+        fresh = [math.tanh(g[2 * h + j] + sum(r[i] * state[i] * p["Un"][i][j] for i in range(h))) for j in range(h)]
+        state = [(1 - z[j]) * fresh[j] + z[j] * state[j] for j in range(h)]
+        at = v.index.get(w, len(v.index))
+        c = int(v.class_of[at])
+        logits = [sum(state[i] * p["C"][i][k] for i in range(h)) + p["cb"][k] for k in range(v.classes)]
+        out += (logits[c] - math.log(sum(map(math.exp, logits)))) / math.log(10)
+        if at < v.frequent:
+            own = range(int(v.starts[c]), int(v.starts[c] + v.members[c]))
+            logits = {k: sum(state[i] * p["O"][k][i] for i in range(h)) + p["ob"][k] for k in own}
+            out += (logits[at] - math.log(sum(map(math.exp, logits.values())))) / math.log(10)
+        else:
+            out += float(v.within[at]) - (v.rest_log10 if at == len(v.index) else 0)
+        before = at
+    return out
+
+
+def test_scores_against_a_scalar_network(monkeypatch):
+    shape = language_model.Shape(hidden=4, frequent=3, fine=2, coarse=3, lanes=3)
+    v = language_model.Vocabulary([b"a", b"b", language_model.END, b"c", b"d"], [9, 8, 6, 3, 2], 30, 7, shape)
+    net = language_model.Network(v, np.random.default_rng(4).normal(0, 0.5, len(language_model.Network(v).flat)).astype(np.float32))
+    rng = random.Random(3)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"D", b"other"]) for _ in range(n)) for n in (0, 1, 40, 3, 200, 7, 1)]
+    want = [scalar_log10(net, t.lower().split()) for t in texts]
+    for long in (1 << 30, 50, 5):  # whole, or in pieces with the state carried
+        monkeypatch.setattr(language_model, "LONG", long)
+        got = language_model.log10_of(net, texts)
+        assert np.allclose(got[0], want, rtol=1e-4) and got[1].tolist() == [len(t.split()) + 1 for t in texts]
+    # A long text beside short ones needs memory for its tokens, not for a grid.
+    monkeypatch.undo()
+    import tracemalloc
+
+    many = [b"a b " * 200_000, *[b"a"] * 511]
+    tracemalloc.start()
+    language_model.log10_of(net, many)
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
+    trainer = language_model.Trainer(language_model.Network.fresh(v))
+    monkeypatch.setattr(language_model, "LONG", 100)
+    loss, tokens = language_model.train_on(trainer.net, trainer, [b"a b " * 100, b"c d"])
+    assert tokens == 204 and math.isfinite(loss)
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = [{r.doc_id: r.score for r in language_model.scored(d, quality.remainder(n=10) != 0).collect()} for d in (docs, docs.repartition(7), docs.orderBy("text").coalesce(1))]
+    assert all(abs(scores[0][k] - x[k]) <= 1e-4 * abs(x[k]) for x in scores[1:] for k in x)
+
+
 def test_modelled_vocabulary_grows_with_the_counts(spark):
     sizes = []
     for top in (2_000, 100_000):
@@ -456,8 +518,9 @@ def test_base_scores(spark, extra):
 def test_network_beats_counts_and_takes_empty_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = quality.remainder(n=10) == 0
-    r = language_model.scored(docs, ~out).where(out).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r.s > r.b
+    by = language_model.scored(docs, ~out).groupBy(out.alias("out")).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).collect()
+    print([(r.out, r.s / r.n, r.b / r.n) for r in by])
+    assert len(by) == 2 and all(r.s > r.b for r in by)  # held out, and trained on
     assert language_model.scored(cases.empty(spark), F.lit(True)).collect() == []
     lone = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert language_model.scored(lone, F.lit(False)).first().train_tokens == 0

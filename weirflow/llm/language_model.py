@@ -13,9 +13,11 @@ tokens seen plus one unseen.
 State. A gated recurrent unit reads the class of the last token, and the word
 itself where it is frequent. It is trained by truncated backpropagation: windows of
 WINDOW steps, the state carried from one window to the next and reset only where a
-document begins. Every partition trains on all its training documents, from common
+document begins. Training documents are dealt by a hash of id and text to shards of about SHARD tokens and sorted by it, so that
+weights don't depend on the layout of the table; every shard trains on all its documents, from common
 weights; the results are averaged, weighted by tokens. Scoring carries the state
-through the whole document, so the sum is the log probability of the complete text.
+through the whole document, so the sum is the log probability of the complete text. Texts side by side need memory for
+their tokens only, whatever their lengths, and a text of more than LONG bytes is read in pieces, with the state carried.
 
 Base scores need the count of every word. Counts are summed within a partition
 first, then by word, and come back in two ways: the most frequent `head` words by
@@ -38,14 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import raw_texts, ship, text_of, words, written
+from weirflow.llm.common import raw_texts, ship, text_of, tidied, word_runs, words, written
 
 #: The token that ends a document; words have no white space.
 END = b"\n"
 WINDOW = 24
 ALPHA = 0.1
-#: Weights of a row, where the weights of partitions are averaged.
-BLOCK = 16_384
+#: Weights of a row, where the weights of shards are averaged, and shards averaged at a time.
+BLOCK, FAN = 16_384, 64
+#: Training tokens of a shard, about; bytes of texts that are read side by side; and those from which a text is read in pieces.
+SHARD, SIDE, LONG = 1_000_000, 16_000_000, 4_000_000
 
 
 @dataclass
@@ -88,11 +92,12 @@ def token_counts(docs: DataFrame, training, text_col: str = "text", held: int =
 
         for batch in batches:
             for text in raw_texts(batch.column(0)):
-                counts.update(words(text))
+                for own in word_runs(text):
+                    counts.update(own)
+                    if len(counts) > held:
+                        yield out()
+                        counts.clear()
                 counts[END] += 1
-                if len(counts) > held:
-                    yield out()
-                    counts.clear()
         if counts:
             yield out()
 
@@ -146,6 +151,15 @@ class Vocabulary:
                 tokens = []
         return np.concatenate(parts), sizes
 
+    def encode_long(self, text: bytes) -> Iterator[np.ndarray]:
+        """The same for one text, in pieces, the end in the last one."""
+        last = np.zeros(0, np.int32)
+        for own in word_runs(text, LONG):
+            if len(last):
+                yield last
+            last = np.fromiter(map(self.index.get, own, repeat(len(self.index))), np.int32, len(own))
+        yield np.append(last, np.int32(self.index.get(END, len(self.index))))
+
 
 # -- the network -----------------------------------------------------------------
 class Network:
@@ -352,35 +366,46 @@ def in_lanes(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, n
 
 # -- training and scoring -------------------------------------------------------------
 @dataclass
-class Grid:
-    """Texts laid out in lanes: token places [steps, lanes] (-1: padding, at the ends of lanes only), where documents begin, the tokens' cells, sizes, ends of lanes."""
+class Lanes:
+    """Texts laid out in lanes, one lane after the other: token places, where documents begin, lanes' starts and ends (longest first), and the place of each token in turn."""
 
-    tokens: np.ndarray
+    flat: np.ndarray
     fresh: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
     cells: np.ndarray
     sizes: np.ndarray
-    ends: np.ndarray
 
     @classmethod
-    def of(cls, v: Vocabulary, texts: list[bytes]) -> Grid:
-        tokens, sizes = v.encode(texts)
-        lane, first, ends = in_lanes(sizes, v.shape.lanes)
-        steps, lanes = int(ends[0]), len(ends)
-        offsets = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        cells = (np.repeat(first, sizes) + offsets) * lanes + np.repeat(lane, sizes)
-        grid = np.full(steps * lanes, -1, np.int32)
-        grid[cells] = tokens
-        fresh = np.zeros(steps * lanes, bool)
+    def of(cls, tokens: np.ndarray, sizes: np.ndarray, lanes: int) -> Lanes:
+        lane, first, ends = in_lanes(sizes, lanes)
+        starts = np.cumsum(ends) - ends
+        cells = np.arange(len(tokens)) + np.repeat(starts[lane] + first - (np.cumsum(sizes) - sizes), sizes)
+        flat = np.empty(len(tokens), np.int32)
+        flat[cells] = tokens
+        fresh = np.zeros(len(tokens), bool)
         fresh[cells[np.cumsum(sizes) - sizes]] = True
-        return cls(grid.reshape(steps, lanes), fresh.reshape(steps, lanes), cells, sizes, ends)
+        return cls(flat, fresh, starts, ends, cells, sizes)
 
-    def windows(self, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first step, lanes that go on, tokens read, tokens to predict, fresh) of each window."""
-        for a in range(0, len(self.tokens), width):
+    @classmethod
+    def piece(cls, tokens: np.ndarray, begins: bool) -> Lanes:
+        """A part of one text in one lane."""
+        n = len(tokens)
+        fresh = np.zeros(n, bool)
+        fresh[:1] = begins
+        return cls(tokens, fresh, np.zeros(1, np.int64), np.array([n]), np.arange(n), np.array([n]))
+
+    def windows(self, width: int, before: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, which are -1 beyond a lane's end, tokens read, tokens to predict, -1 beyond, fresh) of each window [steps, lanes that go on]; before: the token before a piece."""
+        for a in range(0, int(self.ends[0]), width):
             on = int((self.ends > a).sum())
-            own = self.tokens[a : a + width, :on]
-            before = self.tokens[max(0, a - 1) : max(0, a - 1) + 1, :on]
-            yield a, on, np.concatenate([before, own[:-1]]), own, self.fresh[a : a + width, :on]
+            t = np.arange(a, min(a + width, int(self.ends[0])))[:, None]
+            within = t < self.ends[:on]
+            at = np.where(within, self.starts[:on] + t, 0)
+            read = self.flat[np.maximum(at - 1, 0)]
+            if a == 0:
+                read[0] = before  # a document begins in each lane, or a piece goes on
+            yield np.where(within, at, -1), on, read, np.where(within, self.flat[at], -1), self.fresh[at] & within
 
 
 def _read(v: Vocabulary, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,28 +413,36 @@ def _read(v: Vocabulary, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v.class_of[grid], np.where(grid < v.frequent, grid, -1)
 
 
-def train_on(net: Network, trainer: Trainer, texts: list[bytes]) -> tuple[float, int]:
-    """One pass of truncated backpropagation over whole documents: (loss in nats, tokens)."""
-    grid = Grid.of(net.v, texts)
-    state = np.zeros((len(grid.ends), net.h), np.float32)
+def _train(net: Network, trainer: Trainer, lanes: Lanes, state: np.ndarray, before: int, full: int) -> tuple[float, np.ndarray]:
     loss = 0.0
-    for _, on, x, y, fresh in grid.windows(WINDOW):
+    for _, on, x, y, fresh in lanes.windows(WINDOW, before):
         gradient, own, state = net.window_gradient(net.v.kind_of[x], *_read(net.v, y), fresh, y >= 0, state[:on])
-        trainer.step(gradient, float((y >= 0).sum()) / (WINDOW * len(grid.ends)))
+        trainer.step(gradient, float((y >= 0).sum()) / (WINDOW * full))
         loss += own
-    return loss, int(grid.sizes.sum())
+    return loss, state
 
 
-def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: log10 by the network without the counts of words that are not broadcast; tokens; broadcast tokens seen in training; sum of their log10(c + ALPHA)."""
-    v, h = net.v, net.h
-    grid = Grid.of(v, texts)
-    table, bias = net.table(), net.p["b"]
-    lanes = len(grid.ends)
-    state = np.zeros((lanes, h), np.float32)
-    out = np.zeros(grid.tokens.shape, np.float32)
-    for a, on, x, y, fresh in grid.windows(32):
-        gates = table[v.kind_of[x]]
+def train_on(net: Network, trainer: Trainer, texts: list[bytes]) -> tuple[float, int]:
+    """One pass of truncated backpropagation over whole documents: (loss in nats, tokens)."""
+    loss, tokens, short = 0.0, 0, [t for t in texts if len(t) <= LONG]
+    if short:
+        lanes = Lanes.of(*net.v.encode(short), net.v.shape.lanes)
+        loss, _ = _train(net, trainer, lanes, np.zeros((len(lanes.ends), net.h), np.float32), 0, len(lanes.ends))
+        tokens = len(lanes.flat)
+    for text in (t for t in texts if len(t) > LONG):
+        state, before = np.zeros((1, net.h), np.float32), -1
+        for own in net.v.encode_long(text):
+            more, state = _train(net, trainer, Lanes.piece(own, before < 0), state, max(before, 0), net.v.shape.lanes)
+            loss, tokens, before = loss + more, tokens + len(own), int(own[-1])
+    return loss, tokens
+
+
+def _logs(net: Network, table: np.ndarray, lanes: Lanes, state: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(natural logs of the network's part of each token's probability, by place, and the state after)."""
+    h, bias = net.h, net.p["b"]
+    out = np.zeros(len(lanes.flat), np.float32)
+    for at, on, x, y, fresh in lanes.windows(32, before):
+        gates = table[net.v.kind_of[x]]
         gates[fresh] = bias
         some_fresh = fresh.any(axis=1)
         states = np.empty((len(y), on, h), np.float32)
@@ -419,20 +452,38 @@ def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
                 state = np.where(fresh[t][:, None], np.float32(0), state)
             state, _ = net.step(gates[t], state)
             states[t] = state
-        yc, yi = _read(v, y)
+        yc, yi = _read(net.v, y)
         some = np.flatnonzero(y.ravel() >= 0)
-        own = np.zeros(y.size, np.float32)
-        own[some] = net.outputs(states.reshape(-1, h)[some], yc.ravel()[some], yi.ravel()[some])
-        out[a : a + len(y), :on] = own.reshape(y.shape)
-    places = grid.tokens.ravel()[grid.cells]
-    logs = out.ravel()[grid.cells] * np.log10(np.e) + v.within[places]
-    firsts = np.cumsum(grid.sizes) - grid.sizes
-    known = places < len(v.index)
-    logs[~known] -= v.rest_log10
-    return np.add.reduceat(logs, firsts), grid.sizes, np.add.reduceat(v.seen[places], firsts), np.add.reduceat(v.smooth_log10[places], firsts)
-
-
-def _groups(batch: pa.RecordBatch, column: int, most: int = 40_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        out[at.ravel()[some]] = net.outputs(states.reshape(-1, h)[some], yc.ravel()[some], yi.ravel()[some])
+    return out, state
+
+
+def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: log10 by the network without the counts of words that are not broadcast; tokens; broadcast tokens seen in training; sum of their log10(c + ALPHA)."""
+    v, table = net.v, net.table()
+    out = np.zeros((4, len(texts)))
+
+    def summed(logs: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        own = logs * np.log10(np.e) + v.within[places]
+        own[places >= len(v.index)] -= v.rest_log10
+        firsts = np.cumsum(sizes) - sizes
+        return np.array([np.add.reduceat(own, firsts), sizes, np.add.reduceat(v.seen[places], firsts), np.add.reduceat(v.smooth_log10[places], firsts)])
+
+    short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+    if short:
+        lanes = Lanes.of(*v.encode([texts[i] for i in short]), v.shape.lanes)
+        logs, _ = _logs(net, table, lanes, np.zeros((len(lanes.ends), net.h), np.float32))
+        out[:, short] = summed(logs[lanes.cells], lanes.flat[lanes.cells], lanes.sizes)
+    for i in (i for i, t in enumerate(texts) if len(t) > LONG):
+        state, before = np.zeros((1, net.h), np.float32), -1
+        for own in v.encode_long(texts[i]):
+            logs, state = _logs(net, table, Lanes.piece(own, before < 0), state, max(before, 0))
+            out[:, i] += summed(logs, own, np.array([len(own)]))[:, 0]
+            before = int(own[-1])
+    return out[0], out[1].astype(np.int64), out[2], out[3]
+
+
+def _groups(batch: pa.RecordBatch, column: int, most: int = SIDE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch of about `most` bytes of text (a longer text stands alone)."""
     texts = raw_texts(batch.column(column))
     start = size = 0
@@ -460,36 +511,56 @@ def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     return Vocabulary([tokens[i] for i in order], [own[i] for i in order], total, distinct, shape)
 
 
-def train(docs: DataFrame, training, v: Vocabulary, warm_rows: int = 400, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Averaged weights: a bounded sample warms the network up, then every partition goes over all its training documents."""
+def train(docs: DataFrame, training, v: Vocabulary, warm_rows: int = 400, warm_bytes: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Averaged weights: a bounded sample (the texts of at most warm_bytes with the least hashes) warms the network up, then every shard goes over all its training documents."""
     spark = docs.sparkSession
-    rows = docs.where(training).select(text_of(text_col).alias("_text"))
+    rows = docs.where(training).select(F.xxhash64(F.col(f"`{id_col}`"), text_of(text_col)).alias("_row"), text_of(text_col).alias("_text"))
     net = Network.fresh(v)
-    first = sorted(r[0] for r in rows.limit(warm_rows).collect())
-    if not first:
+    first = [r[0].encode() for r in rows.where(F.octet_length("_text") <= warm_bytes).orderBy("_row").limit(warm_rows).select("_text").collect()]
+    if first:
+        warm = Trainer(net, 0.02)
+        for _ in range(2):
+            train_on(net, warm, first)
+    if not v.total:
         return net.flat
-    warm = Trainer(net, 0.02)
-    for _ in range(2):
-        train_on(net, warm, first)
     sent = spark.sparkContext.broadcast((v, net.flat))
+    shards = -(-v.total // SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_v, flat = sent.value
         own = Network(own_v, flat.copy())
-        trainer, tokens = Trainer(own, 0.005), 0
+        trainer, tokens, held, size, shard = Trainer(own, 0.005), 0, [], 0, 0
         for batch in batches:
-            for _, texts in _groups(batch, 0):
-                tokens += train_on(own, trainer, texts)[1]
+            # Steps follow the texts' sizes, not those of batches.
+            for text in raw_texts(batch.column(1)):
+                held.append(text)
+                size += len(text) + 1
+                if size >= SIDE // 4:
+                    tokens += train_on(own, trainer, held)[1]
+                    held, size = [], 0
+            if batch.num_rows:
+                shard = batch.column(0)[0].as_py()
+        if held:
+            tokens += train_on(own, trainer, held)[1]
         if tokens:
             starts = range(0, len(own.flat), BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([own.flat[k : k + BLOCK].tobytes() for k in starts], pa.binary()), pa.array([tokens] * len(starts), pa.int64())], names=["k", "x", "w"])
+            columns = [pa.array(starts, pa.int64()), pa.array([shard] * len(starts), pa.int64()), pa.array([own.flat[k : k + BLOCK].tobytes() for k in starts], pa.binary()), pa.array([tokens] * len(starts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "x", "w"])
 
     def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("s")
         w = np.array(group.column("w").to_pylist(), float)
         x = sum(np.frombuffer(b, np.float32) * k for b, k in zip(group.column("x").to_pylist(), w / w.sum(), strict=True))
-        return pa.table({"k": group.column("k")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
-
-    means = rows.mapInArrow(run, "k long, x binary, w long").groupBy("k").applyInArrow(mean, "k long, x binary").toArrow()
+        return pa.table({"k": group.column("k")[:1], "s": group.column("s")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary()), "w": pa.array([int(w.sum())], pa.int64())})
+
+    schema = "k long, s long, x binary, w long"
+    dealt = rows.withColumn("s", F.pmod("_row", F.lit(shards))).repartition(shards, "s").sortWithinPartitions("s", "_row", "_text").select("s", "_text")
+    parts = written(dealt.mapInArrow(tidied("language model", run), schema), "weights")
+    # Some shards at a time, so that no task holds more than FAN blocks, however many shards there are.
+    while shards > FAN:
+        shards = -(-shards // FAN)
+        parts = written(parts.withColumn("s", F.floor(F.col("s") / FAN)).groupBy("k", "s").applyInArrow(mean, schema), "weights")
+    means = parts.groupBy("k").applyInArrow(mean, schema).select("k", "x").toArrow()
     out = np.array(net.flat)
     for k, x in zip(means.column("k").to_pylist(), means.column("x").to_pylist(), strict=True):
         out[k : k + BLOCK] = np.frombuffer(x, np.float32)
@@ -523,15 +594,16 @@ def scored(docs: DataFrame, training, shape: Shape | None = None, id_col: str =
                 tokens, times, at = [], [], []
                 for i, text in enumerate(texts):
                     own: dict[bytes, int] = {}
-                    for w in [w for w in words(text) if w not in index]:
-                        own[w] = own.get(w, 0) + 1
+                    for run_of_words in word_runs(text):
+                        for w in [w for w in run_of_words if w not in index]:
+                            own[w] = own.get(w, 0) + 1
                     tokens += own
                     times += own.values()
                     at += [i] * len(own)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], names=["row", "token", "times"])
 
-    summary = rows.mapInArrow(head, f"row long, `{id_col}` {kind}, n_tokens long, head_known long, head_base double, head_score double")
-    tail = rows.select("row", "_text").mapInArrow(rest, "row long, token string, times int")
+    summary = rows.mapInArrow(tidied("language model", head), f"row long, `{id_col}` {kind}, n_tokens long, head_known long, head_base double, head_score double")
+    tail = rows.select("row", "_text").mapInArrow(tidied("language model", rest), "row long, token string, times int")
     joined = tail.join(counts, "token", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     per_row = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + ALPHA)).alias("rest_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known"))
     # Repeated rows have one hash, and their words were counted together.
