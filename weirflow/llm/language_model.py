@@ -235,11 +235,11 @@ class Network:
         return out
 
     def window_gradient(self, x_kinds, y_classes, y_ids, fresh, weight, state) -> tuple[np.ndarray, float, np.ndarray]:
-        """(gradient, loss, state after) of a window [steps, lanes]; fresh marks where a document begins, weight is 0 for padding."""
+        """(gradient, loss, state after) of windows of WINDOW steps, one after another, [steps, lanes]; fresh marks where a document begins, weight is 0 for padding."""
         p, h, v = self.p, self.h, self.v
         steps, lanes = x_kinds.shape
         embedded = self.embedded()
-        gates = (embedded @ p["W"] + p["b"])[x_kinds]
+        gates = embedded[x_kinds] @ p["W"] + p["b"] if x_kinds.size < len(embedded) else (embedded @ p["W"] + p["b"])[x_kinds]
         gates[fresh] = p["b"]
         some_fresh = fresh.any(axis=1)
         befores, kept, states = [], [], np.empty((steps, lanes, h), np.float32)
@@ -296,7 +296,9 @@ class Network:
             g["Un"] += rs.T @ dn
             g["U"] += before.T @ d_gates[t, :, : 2 * h]
             later = d * z + drs * r + d_gates[t, :, : 2 * h] @ p["U"].T
-            if some_fresh[t]:
+            if t % WINDOW == 0:
+                later[:] = 0  # truncated: a window's gradient stays in it
+            elif some_fresh[t]:
                 later[fresh[t]] = 0
         all_gates = d_gates.reshape(-1, 3 * h)
         g["b"][:] = all_gates.sum(axis=0)
@@ -395,17 +397,23 @@ class Lanes:
         fresh[:1] = begins
         return cls(tokens, fresh, np.zeros(1, np.int64), np.array([n]), np.arange(n), np.array([n]))
 
-    def windows(self, width: int, before: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(places, which are -1 beyond a lane's end, tokens read, tokens to predict, -1 beyond, fresh) of each window [steps, lanes that go on]; before: the token before a piece."""
-        for a in range(0, int(self.ends[0]), width):
+    def windows(self, width: int, before: int = 0, full: int = 1, most: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, which are -1 beyond a lane's end, tokens read, tokens to predict, -1 beyond, fresh) of each window [steps, lanes that go on]; before: the token before a piece.
+
+        Where fewer than `full` lanes go on, up to `most` windows come together, one after another, as many as make up for it.
+        """
+        a = 0
+        while a < int(self.ends[0]):
             on = int((self.ends > a).sum())
-            t = np.arange(a, min(a + width, int(self.ends[0])))[:, None]
+            stop = min(a + width * max(1, min(most, full // on)), int(self.ends[0]))
+            t = np.arange(a, stop)[:, None]
             within = t < self.ends[:on]
             at = np.where(within, self.starts[:on] + t, 0)
             read = self.flat[np.maximum(at - 1, 0)]
             if a == 0:
                 read[0] = before  # a document begins in each lane, or a piece goes on
             yield np.where(within, at, -1), on, read, np.where(within, self.flat[at], -1), self.fresh[at] & within
+            a = stop
 
 
 def _read(v: Vocabulary, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -415,7 +423,7 @@ def _read(v: Vocabulary, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _train(net: Network, trainer: Trainer, lanes: Lanes, state: np.ndarray, before: int, full: int) -> tuple[float, np.ndarray]:
     loss = 0.0
-    for _, on, x, y, fresh in lanes.windows(WINDOW, before):
+    for _, on, x, y, fresh in lanes.windows(WINDOW, before, full):
         gradient, own, state = net.window_gradient(net.v.kind_of[x], *_read(net.v, y), fresh, y >= 0, state[:on])
         trainer.step(gradient, float((y >= 0).sum()) / (WINDOW * full))
         loss += own
@@ -441,7 +449,7 @@ def _logs(net: Network, table: np.ndarray, lanes: Lanes, state: np.ndarray, befo
     """(natural logs of the network's part of each token's probability, by place, and the state after)."""
     h, bias = net.h, net.p["b"]
     out = np.zeros(len(lanes.flat), np.float32)
-    for at, on, x, y, fresh in lanes.windows(32, before):
+    for at, on, x, y, fresh in lanes.windows(WINDOW, before, net.v.shape.lanes):
         gates = table[net.v.kind_of[x]]
         gates[fresh] = bias
         some_fresh = fresh.any(axis=1)
@@ -535,7 +543,7 @@ def train(docs: DataFrame, training, v: Vocabulary, warm_rows: int = 400, warm_b
             for text in raw_texts(batch.column(1)):
                 held.append(text)
                 size += len(text) + 1
-                if size >= SIDE // 4:
+                if size >= SIDE:
                     tokens += train_on(own, trainer, held)[1]
                     held, size = [], 0
             if batch.num_rows:
