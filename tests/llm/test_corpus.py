@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -538,36 +539,46 @@ def test_network_beats_counts_and_takes_empty_tables(spark):
 
 # -- licenses ----------------------------------------------------------------------------------
 def test_licenses_and_inheritance(spark):
-    mit = "Released under the MIT License."
-    rows = [("/a/LICENSE", mit), ("/a/b/c/x.txt", "prose only"), ("/a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), ("/a/d/y.txt", "words\n" + mit + " And a longer tail of other words follows here."), ("/z.txt", None), ("/q/w.txt", ""), ("/a/e/f.txt", "license plates"), (None, "x"), ("/a/b/c/x.txt", "prose only")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "path string, text string, license int").withColumnRenamed("license", "tf")
-    got = {r.path: r for r in licenses.scan(df, "path", "text").collect()}
-    assert got["/a/LICENSE"].own_license == "MIT" and got["/a/LICENSE"].is_license_file and got["/a/LICENSE"].own_score == 1.0
+    mit = "MIT License\n\nCopyright (c) 2021 Somebody Else\n\n" + textwrap.fill(licenses._MIT, 70, replace_whitespace=False)
+    gnu = "".join(f" * {line}\n" for line in textwrap.wrap(licenses._GNU.format(licenses._GPL, "either version 3"), 60))
+    prose = "stone river cloud mountain " * 30
+    rows = [("/a/LICENSE", mit), ("/a/b/c/x.txt", "prose only"), ("/a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), ("/a/d/y.c", f"/*\n{gnu} */\n\n{prose}"), ("/z.txt", None), ("/q/w.txt", ""), ("/a/e/f.txt", "license plates"),
+            (None, "x"), ("/a/b/c/x.txt", "prose only"), ("/a/g.py", f"# SPDX-License-Identifier: Apache-2.0\n{prose}"), ("/a/h.txt", f"{prose}\nReleased under the MIT License.\n{prose}"), ("/a/long.txt", prose * 3000 + "\nLicensed under CC BY-NC 4.0.")]
+    inside = ["license", "own_license", "near", "is_file", "n_statements", "_path", "_dir", "_hash", "file", "kind", "at", "term", "input_license", "_own", "_in", "hash"]
+    df = spark.createDataFrame([(*r, *[f"{c}!" for c in inside]) for r in rows], "path string, text string, " + ", ".join(f"`{c}` string" for c in inside))
+    out = licenses.scan(df, "path", "text")
+    assert sorted(out.columns) == sorted(["path", "near", "is_file", *inside[5:], "input_input_license", "input_own_license", "input_n_statements", *licenses.RESULTS])
+    found = out.collect()
+    assert len(found) == len(rows) and all(r[c] == f"{c}!" for r in found for c in inside[5:]) and all(r.input_n_statements == "n_statements!" for r in found)
+    got = {r.path: r for r in found}
+    assert got["/a/LICENSE"].own_license == "MIT" and got["/a/LICENSE"].is_license_file and got["/a/LICENSE"].own_score > 0.95
     assert (got["/a/b/c/x.txt"].license, got["/a/b/c/x.txt"].inherited_from) == ("Apache-2.0", "/a/b")
-    assert (got["/a/d/y.txt"].license, got["/a/d/y.txt"].own_license, got["/a/d/y.txt"].is_license_file) == ("MIT", "MIT", False)
+    assert (got["/a/d/y.c"].own_license, got["/a/d/y.c"].is_license_file) == ("GPL-3.0", False)
+    assert got["/a/g.py"].own_license == "Apache-2.0" and got["/a/h.txt"].own_license == "MIT" and got["/a/long.txt"].own_license == "CC-BY-NC-4.0"
     assert (got["/a/e/f.txt"].license, got["/a/e/f.txt"].inherited_from) == ("MIT", "/a")
-    assert got["/z.txt"].license is None and got["/q/w.txt"].license is None
-    assert licenses.scan(df, "path", "text").count() == len(rows)
-    assert licenses.scan(df.where("tf > 5"), "path", "text").collect() == []
+    assert got["/z.txt"].license is None and got["/q/w.txt"].license is None and got[None].license is None
+    assert licenses.scan(df.where("path = 'none'"), "path", "text").collect() == []
 
 
 def test_cosine_against_brute_force(spark):
-    texts = ["Licensed under the MIT License", "This is the GNU General Public License, version 3", "You may not use the Apache License here, license license", "copyright holders of nothing", "Licensed under CC BY-NC 4.0."]
-    weights, idf, other = licenses.template_weights()
+    texts = ["Licensed under the MIT License", "This is the GNU General Public License, version 3", "You may not use the Apache License here, license license", "copyright holders of nothing", "Licensed under CC BY-NC 4.0.", "Licensed under\nthe MIT\n*\nLicense. MIT License? License"]
+    given = licenses.templates()
+    df = {t: sum(t in licenses.terms_of(x) for x in texts) for _, y in given for t in licenses.terms_of(y)}
+    idf = lambda t: math.log((1 + len(texts)) / (1 + df.get(t, 1))) + 1
+    vector = lambda x: {t: k * idf(t) for t, k in Counter(licenses.terms_of(x)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     want = {}
-    for i, t in enumerate(texts):
-        tf = Counter(licenses.terms_of(t))
-        w = {k: n * idf.get(k, other) for k, n in tf.items()}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        cosine: dict[tuple, float] = {}
-        for template, name, term, weight in weights:
-            cosine[template, name] = cosine.get((template, name), 0) + w.get(term, 0) * weight / norm
-        (_, name), best = max(cosine.items(), key=lambda x: (round(x[1], 6), [-ord(c) for c in x[0][1]]))
-        if best >= 0.3:
-            want[i] = (name, round(best, 6))
-    df = spark.createDataFrame([(f"/{i}", t) for i, t in enumerate(texts)], "path string, text string")
-    got = {int(r.path[1:]): (r.own_license, r.own_score) for r in licenses.scan(df, "path", "text", least=0.3).where("own_license is not null").collect()}
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    for i, text in enumerate(texts):
+        units = [p for line in text.split("\n") for p in re.split(r"(?<=[.!?])\s+", line)] + re.split(r"\n[^a-zA-Z0-9\n]*\n", text) + [text]
+        for u in (vector(u) for u in units):
+            for name, y in given:
+                v = vector(y)
+                cosine = round(sum(x * v.get(t, 0) for t, x in u.items()) / norm(u) / norm(v), 6) if u else 0
+                if cosine >= 0.3:
+                    want[i] = min(want.get(i, (0, "")), (-cosine, name))
+    rows = spark.createDataFrame([(f"/{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    got = {int(r.path[1:]): (-r.own_score, r.own_license) for r in licenses.scan(rows, "path", "text", least=0.3).where("own_license is not null").collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()} and all(abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
 
 
 def test_components_by_either_way(spark):

@@ -59,34 +59,38 @@ FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) r ON
 """
 
 
-def licenses_sql(least: float, file_share: float) -> str:
-    """SQL for licenses.scan() over the documents as files /source/lang/doc_id."""
-    from weirflow.llm import licenses
-
-    weights, idf, other = licenses.template_weights()
-    values = ", ".join(f"({i}, {_quoted(name)}, {_quoted(term)}, {w!r}::DOUBLE)" for i, name, term, w in weights)
-    idfs = ", ".join(f"({_quoted(t)}, {x!r}::DOUBLE)" for t, x in sorted(idf.items()))
-    cue = _quoted(licenses._CUE)
+def licenses_sql(least: float, given: list[tuple[str, str]]) -> str:
+    """SQL for licenses.scan() over the documents as files /source/lang/doc_id: from the templates' texts on, every unit against every template."""
+    values = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(given))
+    terms = "list_filter(list_transform(regexp_split_to_array(lower({0}), '[^a-z0-9.+-]+'), lambda x: trim(x, '.+-')), lambda x: x <> '')"
     return f"""
-WITH templates(template, licence, term, weight) AS (VALUES {values}),
-idfs(term, idf) AS (VALUES {idfs}),
+WITH templates(template, licence, text) AS (VALUES {values}),
+template_terms AS (SELECT template, licence, unnest({terms.format("text")}) AS term FROM templates),
 files AS (SELECT doc_id, '/' || coalesce(source, '-') || '/' || coalesce(lang, '-') AS dir, coalesce(text, '') AS text FROM documents),
-parts AS (
-  SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS part
-  FROM files WHERE regexp_matches(text, {cue})),
-cued AS (SELECT *, row_number() OVER () AS place FROM parts WHERE regexp_matches(part, {cue})),
-terms AS (
-  SELECT doc_id, place, words, len(list_filter(regexp_split_to_array(part, '\\s+'), lambda x: x <> '')) AS own_words, trim(unnest(regexp_split_to_array(lower(part), '[^a-z0-9.+-]+')), '.+-') AS term FROM cued),
-tf AS (SELECT t.*, n * coalesce(idf, {other!r}) AS w FROM (SELECT doc_id, place, words, own_words, term, count(*) AS n FROM terms WHERE term <> '' GROUP BY ALL) t LEFT JOIN idfs USING (term)),
+said AS (SELECT DISTINCT doc_id, unnest({terms.format("text")}) AS term FROM files),
+n AS (SELECT count(*) AS n FROM files),
+idfs AS (
+  SELECT term, ln((1 + any_value(n.n)) / (1 + count(said.doc_id))::DOUBLE) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM template_terms) t LEFT JOIN said USING (term) CROSS JOIN n GROUP BY term),
+weights AS (
+  SELECT template, licence, term, count(*) * any_value(idf) AS w, sqrt(sum(count(*) * any_value(idf) * count(*) * any_value(idf)) OVER (PARTITION BY template)) AS norm
+  FROM template_terms JOIN idfs USING (term) GROUP BY template, licence, term),
+units AS (
+  SELECT doc_id, 0 AS kind, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS part FROM files
+  UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(text, '\\n[^a-zA-Z0-9\\n]*\\n')) FROM files
+  UNION ALL SELECT doc_id, 2, text FROM files),
+placed AS (SELECT *, row_number() OVER () AS place FROM units),
+tf AS (
+  SELECT t.*, k * coalesce(idf, ln((1 + n.n) / 2::DOUBLE) + 1) AS w
+  FROM (SELECT doc_id, kind, place, term, count(*) AS k FROM (SELECT doc_id, kind, place, unnest({terms.format("part")}) AS term FROM placed) GROUP BY ALL) t LEFT JOIN idfs USING (term) CROSS JOIN n),
 norms AS (SELECT place, sqrt(sum(w * w)) AS norm FROM tf GROUP BY place),
 scored AS (
-  SELECT doc_id, place, words, own_words, template, licence, round(sum(w * weight) / any_value(norm), 6) AS score
-  FROM tf JOIN templates USING (term) JOIN norms USING (place) GROUP BY doc_id, place, words, own_words, template, licence HAVING round(sum(w * weight) / any_value(norm), 6) >= {least}),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, licence) = 1),
+  SELECT tf.doc_id, kind, place, licence, round(sum(tf.w * weights.w / weights.norm) / any_value(norms.norm), 6) AS score
+  FROM tf JOIN weights USING (term) JOIN norms USING (place) GROUP BY tf.doc_id, kind, place, template, licence),
+best AS (SELECT * FROM scored WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, licence) = 1),
 own AS (
-  SELECT doc_id, first(licence ORDER BY score DESC, licence) AS own_license, max(score) AS own_score, count(*) AS n_statements, sum(own_words) >= {file_share} * max(words) AS is_file FROM best GROUP BY doc_id),
-speaking AS (
-  SELECT dir AS ancestor, first(own_license ORDER BY own_score DESC, dir || '/' || doc_id) AS given FROM own JOIN files USING (doc_id) WHERE is_file GROUP BY dir),
+  SELECT doc_id, first(licence ORDER BY score DESC, licence) AS own_license, max(score) AS own_score, count(*) FILTER (kind = 0) AS n_statements, bool_or(kind = 2) AS is_file FROM best GROUP BY doc_id),
+speaking AS (SELECT dir AS ancestor, first(own_license ORDER BY own_score DESC, dir || '/' || doc_id) AS given FROM own JOIN files USING (doc_id) WHERE is_file GROUP BY dir),
 above AS (SELECT d.dir, s.ancestor, s.given FROM (SELECT DISTINCT dir FROM files) d JOIN speaking s ON starts_with(d.dir || '/', s.ancestor || '/')),
 nearest AS (SELECT * FROM above QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(ancestor) DESC) = 1)
 SELECT f.doc_id, f.dir || '/' || f.doc_id AS path, own_license, own_score, coalesce(n_statements, 0)::BIGINT AS n_statements, coalesce(is_file, false) AS is_license_file,

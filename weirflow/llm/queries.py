@@ -25,8 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: A conversation whose texts hold control strings.
 HARD_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
-#: Of a licence file among the documents, which are longer than licence files, so much at least is licence statements.
-FILE_SHARE = 0.15
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +77,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document, its own or the nearest directory's."""
-    return licenses.scan(licenses.path_of_documents(table(spark, sf_dir, "documents")), "path", "text", file_share=FILE_SHARE)
+    return licenses.scan(licenses.path_of_documents(table(spark, sf_dir, "documents")), "path", "text")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": oracles.chat_sql(chat.CHAT, HARD_CONVERSATION),
     "op8_jaccard_join": oracles.NEAR_COPIES_SQL,
-    "op9_license_scan": oracles.licenses_sql(0.8, FILE_SHARE),
+    "op9_license_scan": oracles.licenses_sql(0.8, licenses.templates()),
 }
