@@ -44,3 +44,16 @@ def test_stages_against_brute_force(spark):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
+
+
+def test_stages_on_hard_rows_and_empty_tables(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns: every stage keeps its columns, and loses no row but by its rule."""
+    for docs in (cases.documents(spark, extra=True), cases.empty(spark)):
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, docs, SF)
+            if name != "pieces":
+                assert out.columns == docs.columns
+            assert out.count() <= docs.count()
+            if name in ("pii", "pieces"):
+                assert out.count() == docs.count()
+    assert stage is corpus_pipeline.pieces_stage and corpus_pipeline.quality_stage(spark, cases.documents(spark, extra=True), SF).columns == cases.documents(spark, extra=True).columns
