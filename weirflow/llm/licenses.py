@@ -90,14 +90,15 @@ def terms_of(text: str) -> list[str]:
     return [t for t in (x.strip(_TRIMMED) for x in re.split(_TERM_SPLIT, text.lower())) if t]
 
 
-def _terms(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(text), _TERM_SPLIT), lambda t: F.btrim(t, F.lit(_TRIMMED))), lambda t: t != "")
+def _terms(text: Column, once: bool = False) -> Column:
+    raw = F.split(F.lower(text), _TERM_SPLIT)
+    return F.filter(F.transform(F.array_distinct(raw) if once else raw, lambda t: F.btrim(t, F.lit(_TRIMMED))), lambda t: t != "")
 
 
 def document_counts(files: DataFrame, given: list[tuple[str, str]]) -> tuple[int, dict[str, int]]:
     """The number of files (_text), and of those with each term of the templates."""
     vocabulary = sorted({t for _, text in given for t in terms_of(text)})
-    known = F.array_intersect(_terms(F.col("_text")), F.lit(vocabulary))
+    known = F.array_intersect(_terms(F.col("_text"), once=True), F.lit(vocabulary))
     n = files.count()
     return n, {r["term"]: r["df"] for r in files.select(F.explode(known).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
 
