@@ -37,10 +37,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import raw_texts, ship, text_of, tidied, word_runs, words, written
+from weirflow.llm.common import raw_texts, ship, text_of, tidied, word_runs, written
 
 #: The token that ends a document; words have no white space.
 END = b"\n"
@@ -112,7 +113,7 @@ class Vocabulary:
         self.shape = s = shape.fitted(self.counts, total)
         n = s.frequent
         self.frequent = n
-        self.index = {t: i for i, t in enumerate(tokens)}
+        self.index, self.tokens = {t: i for i, t in enumerate(tokens)}, pa.array(tokens, pa.binary())
         # Fine classes: stretches of the frequent words with about equal sums of root counts.
         weight = np.sqrt(np.maximum(self.counts[:n], 1)).cumsum()
         fine = np.minimum((weight - 1e-9) / (weight[-1] if n else 1) * s.fine, s.fine - 1).astype(np.int64)
@@ -137,19 +138,16 @@ class Vocabulary:
         self.norm_log10 = float(np.log10(total + ALPHA * (distinct + 1)))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all tokens in turn (the last place: not broadcast), and the number of tokens of each text."""
-        get, rest = self.index.get, repeat(len(self.index))
-        parts, sizes = [], np.zeros(len(texts), np.int64)
-        tokens: list[bytes] = []  # of some texts at a time
-        for i, text in enumerate(texts):
-            own = words(text)
-            tokens += own
-            tokens.append(END)
-            sizes[i] = len(own) + 1
-            if len(tokens) > 50_000 or i == len(texts) - 1:
-                parts.append(np.fromiter(map(get, tokens, rest), np.int32, len(tokens)))
-                tokens = []
-        return np.concatenate(parts), sizes
+        """Places of all tokens in turn (the last place: not broadcast), and the number of tokens of each text; words as words() gives them."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+        own = pc.binary_length(lists.values).to_numpy() > 0  # white space at either end leaves empty strings
+        sizes = np.diff(np.concatenate([[0], np.cumsum(own)])[lists.offsets.to_numpy()]) + 1
+        places = pc.fill_null(pc.index_in(lists.values, self.tokens.view(pa.string())), len(self.index)).to_numpy()
+        out, ends = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - 1
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside], out[ends] = places[own], self.index.get(END, len(self.index))
+        return out, sizes
 
     def encode_long(self, text: bytes) -> Iterator[np.ndarray]:
         """The same for one text, in pieces, the end in the last one."""
@@ -162,6 +160,17 @@ class Vocabulary:
 
 
 # -- the network -----------------------------------------------------------------
+@dataclass
+class Passed:
+    """What the unit went through, [steps, values, lanes]: the states before and after each step, both sigmoid gates, the reset states and the proposed ones."""
+
+    befores: np.ndarray
+    states: np.ndarray
+    zr: np.ndarray
+    rs: np.ndarray
+    n: np.ndarray
+
+
 class Network:
     """Parameters by name in one flat vector, so that they can be averaged."""
 
@@ -190,48 +199,77 @@ class Network:
         net.p["b"][: v.shape.hidden] = 1.0  # the state is kept at first
         return net
 
-    def step(self, inputs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """One step of the unit: inputs are rows of E already multiplied by W, plus b."""
-        h, p = self.h, self.p
-        g = inputs[:, : 2 * h] + state @ p["U"]
-        np.multiply(g, 0.5, out=g)
-        np.tanh(g, out=g)
-        g += 1
-        g *= 0.5
-        z, r = g[:, :h], g[:, h:]
-        rs = r * state
-        n = np.tanh(inputs[:, 2 * h :] + rs @ p["Un"])
-        fresh = n + z * (state - n)
-        return fresh, (z, r, rs, n)
+    def step(self, inputs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, Passed]:
+        """One step of the unit: inputs are rows of E already multiplied by W, plus b; a state a row."""
+        gates = inputs.T[None].astype(np.float32)
+        gates[:, : 2 * self.h] *= 0.5
+        passed = self.passed(gates, np.zeros((1, len(inputs)), bool), state)
+        return passed.states[0].T, passed
 
     def embedded(self) -> np.ndarray:
         """What each kind of input reads: a frequent word its class's row and its own, the others their class's row."""
         v, e = self.v, self.p["E"]
         return np.concatenate([e[v.class_of[: v.frequent]] + e[v.classes :], e[v.shape.fine : v.classes]])
 
-    def table(self) -> np.ndarray:
-        """What each kind of input puts into the gates."""
-        return self.embedded() @ self.p["W"] + self.p["b"]
+    def table(self, embedded: np.ndarray | None = None) -> np.ndarray:
+        """What each kind of input puts into the gates, and in the last row a document's begin: sigmoids are taken as (1 + tanh(x / 2)) / 2, so theirs is halved."""
+        rows = np.concatenate([(self.embedded() if embedded is None else embedded) @ self.p["W"] + self.p["b"], self.p["b"][None]])
+        rows[:, : 2 * self.h] *= 0.5
+        return rows
+
+    def passed(self, gates: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> Passed:
+        """The unit over all steps; gates are [steps, 3 * hidden, lanes], which keeps lanes together for arithmetic by element."""
+        steps, h, lanes = len(gates), self.h, gates.shape[2]
+        out = Passed(*(np.empty((steps, k, lanes), np.float32) for k in (h, h, 2 * h, h, h)))
+        u, un = np.ascontiguousarray(0.5 * self.p["U"].T), np.ascontiguousarray(self.p["Un"].T)
+        state, some_fresh = np.ascontiguousarray(state.T, np.float32), fresh.any(axis=1).tolist()
+        for t in range(steps):
+            before, zr, rs, n, after = out.befores[t], out.zr[t], out.rs[t], out.n[t], out.states[t]
+            before[:] = state
+            if some_fresh[t]:
+                before[:, fresh[t]] = 0
+            np.matmul(u, before, out=zr)
+            zr += gates[t, : 2 * h]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            np.multiply(zr[h:], before, out=rs)
+            np.matmul(un, rs, out=n)
+            n += gates[t, 2 * h :]
+            np.tanh(n, out=n)
+            np.subtract(before, n, out=after)
+            after *= zr[:h]
+            after += n
+            state = after
+        return out
 
-    @staticmethod
-    def bounded(logits: np.ndarray) -> np.ndarray:
-        """Logits whose exponentials can't overflow: shifted by row only where some are large, as rows are short."""
-        if np.abs(logits).max(initial=0) > 60:
-            logits -= logits.max(axis=1, keepdims=True)
-        return logits
+    def weights(self) -> tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]]:
+        """Of the classes and of the frequent words: weights [hidden + 1, members], the biases in the last row, and whether logits may be too large for exponentials (states lie in -1 to 1)."""
+        found = (np.concatenate([self.p["C"], self.p["cb"][None]]), np.concatenate([self.p["O"].T, self.p["ob"][None]]))
+        return tuple((w, float(np.abs(w).sum(axis=0).max(initial=0)) > 60) for w in found)
 
-    def outputs(self, states: np.ndarray, classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the class, and of the word within a fine class, given the states."""
-        logits = self.bounded(states @ self.p["C"] + self.p["cb"])
-        out = logits[np.arange(len(classes)), classes] - np.log(_row_sums(np.exp(logits)))
-        some = np.flatnonzero(ids >= 0)
+    def by_class(self, classes: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """Rows `some` by class, and (first row, end, first word, words) of each class among them that has more than one word: a lone word is certain."""
         order = some[np.argsort(classes[some].astype(np.uint16), kind="stable")]
         cuts = np.searchsorted(classes[order], np.arange(self.v.shape.fine + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            rows = order[cuts[c] : cuts[c + 1]]
-            a, m = self.v.starts[c], self.v.members[c]
-            own = self.bounded(states[rows] @ self.p["O"][a : a + m].T + self.p["ob"][a : a + m])
-            out[rows] += own[np.arange(len(rows)), ids[rows] - a] - np.log(_row_sums(np.exp(own)))
+        own = np.flatnonzero((np.diff(cuts) > 0) & (self.v.members > 1))
+        return order, np.stack([cuts[own], cuts[own + 1], self.v.starts[own], self.v.members[own]], axis=1).tolist()
+
+    def outputs(self, states: np.ndarray, classes: np.ndarray, ids: np.ndarray, weights=None) -> np.ndarray:
+        """Natural log probabilities of the class, and of the word within a fine class, given the states."""
+        (c, c_large), (o, o_large) = weights or self.weights()
+        flat = _with_ones(states)
+        out = np.empty(len(flat), np.float32)
+        for a, b in _blocks(len(flat), c.shape[1]):
+            own, sums, picked = _softmax(flat[a:b] @ c, classes[a:b], c_large)
+            out[a:b] = np.log(picked) - np.log(sums)
+        order, groups = self.by_class(classes, np.flatnonzero(ids >= 0))
+        flat, at = flat.take(order, axis=0), ids[order] - self.v.starts[classes[order]]
+        sums, picked = np.ones(len(order), np.float32), np.ones(len(order), np.float32)
+        for first, end, a, m in groups:
+            for i, j in _blocks(end - first, m, first):
+                _, sums[i:j], picked[i:j] = _softmax(flat[i:j] @ o[:, a : a + m], at[i:j], o_large)
+        out[order] += np.log(picked) - np.log(sums)
         return out
 
     def window_gradient(self, x_kinds, y_classes, y_ids, fresh, weight, state) -> tuple[np.ndarray, float, np.ndarray]:
@@ -239,82 +277,102 @@ class Network:
         p, h, v = self.p, self.h, self.v
         steps, lanes = x_kinds.shape
         embedded = self.embedded()
-        gates = embedded[x_kinds] @ p["W"] + p["b"] if x_kinds.size < len(embedded) else (embedded @ p["W"] + p["b"])[x_kinds]
-        gates[fresh] = p["b"]
-        some_fresh = fresh.any(axis=1)
-        befores, kept, states = [], [], np.empty((steps, lanes, h), np.float32)
-        for t in range(steps):
-            if some_fresh[t]:
-                state = np.where(fresh[t][:, None], np.float32(0), state)
-            befores.append(state)
-            state, own = self.step(gates[t], state)
-            kept.append(own)
-            states[t] = state
-        flat, grad = states.reshape(-1, h), np.zeros_like(self.flat)
+        kinds = np.where(fresh, len(embedded), x_kinds)
+        unit = self.passed(_turned(self.table(embedded).take(kinds, axis=0)), fresh, state)
+        flat, grad = _with_ones(_turned(unit.states).reshape(-1, h)), np.zeros_like(self.flat)
         g = Network(v, grad).p
         yc, yi, w = y_classes.ravel(), y_ids.ravel(), weight.ravel().astype(np.float32)
-        scale = 1 / max(float(w.sum()), 1.0)
-        logits = self.bounded(flat @ p["C"] + p["cb"])
-        np.exp(logits, out=logits)
-        logits /= _row_sums(logits)[:, None]
-        rows = np.arange(len(yc))
-        loss = -float((np.log(logits[rows, yc] + 1e-20) * w).sum())
-        logits[rows, yc] -= 1
-        logits *= (w * scale)[:, None]
-        g["C"][:] = flat.T @ logits
-        g["cb"][:] = logits.sum(axis=0)
-        d_states = logits @ p["C"].T
-        some = np.flatnonzero((yi >= 0) & (w > 0))
-        order = some[np.argsort(yc[some].astype(np.uint16), kind="stable")]
-        cuts = np.searchsorted(yc[order], np.arange(v.shape.fine + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own_rows = order[cuts[c] : cuts[c + 1]]
-            a, m = v.starts[c], v.members[c]
-            s = flat[own_rows]
-            q = self.bounded(s @ p["O"][a : a + m].T + p["ob"][a : a + m])
-            np.exp(q, out=q)
-            q /= _row_sums(q)[:, None]
-            at = np.arange(len(own_rows))
-            loss -= float(np.log(q[at, yi[own_rows] - a] + 1e-20).sum())
-            q[at, yi[own_rows] - a] -= 1
-            q *= scale
-            g["O"][a : a + m] = q.T @ s
-            g["ob"][a : a + m] = q.sum(axis=0)
-            d_states[own_rows] += q @ p["O"][a : a + m]
-        d_states = d_states.reshape(steps, lanes, h)
-        d_gates = np.empty_like(gates)
-        later = np.zeros((lanes, h), np.float32)
+        scale = np.float32(1 / max(float(w.sum()), 1.0))
+        (c, c_large), (o, o_large) = self.weights()
+        d_states, g_c, chances = np.empty((len(flat), h), np.float32), np.zeros_like(c), np.empty(len(flat), np.float32)
+        for a, b in _blocks(len(flat), c.shape[1]):
+            own, sums, picked = _softmax(flat[a:b] @ c, yc[a:b], c_large)
+            chances[a:b] = picked / sums
+            own *= (w[a:b] * scale / sums)[:, None]
+            own[np.arange(b - a), yc[a:b]] -= w[a:b] * scale
+            g_c += flat[a:b].T @ own
+            d_states[a:b] = own @ p["C"].T
+        g["C"][:], g["cb"][:] = g_c[:h], g_c[h]
+        loss = -float((np.log(chances + 1e-20) * w).sum())
+        order, groups = self.by_class(yc, np.flatnonzero((yi >= 0) & (w > 0)))
+        flat, at = flat.take(order, axis=0), yi[order] - v.starts[yc[order]]
+        d_own, chances = np.zeros((len(order), h), np.float32), np.ones(len(order), np.float32)
+        rows = np.arange(max((j - i for i, j, _, _ in groups), default=0))
+        for first, end, a, m in groups:
+            for i, j in _blocks(end - first, m, first):
+                own, sums, picked = _softmax(flat[i:j] @ o[:, a : a + m], at[i:j], o_large)
+                chances[i:j] = picked / sums
+                own *= (scale / sums)[:, None]
+                own[rows[: j - i], at[i:j]] -= scale
+                back = own.T @ flat[i:j]
+                g["O"][a : a + m] += back[:, :h]
+                g["ob"][a : a + m] += back[:, h]
+                np.matmul(own, p["O"][a : a + m], out=d_own[i:j])
+        loss -= float(np.log(chances + 1e-20).sum())
+        d_states[order] += d_own
+        # Back through the unit; what doesn't depend on later steps is taken for all steps at once.
+        d_states = _turned(d_states.reshape(steps, lanes, h))
+        z, r, by_n = unit.zr[:, :h], unit.zr[:, h:], 1 - unit.n * unit.n
+        by_n *= 1 - z
+        by_z, by_r = (unit.befores - unit.n) * z * (1 - z), unit.rs * (1 - r)
+        d_gates = np.empty((steps, 3 * h, lanes), np.float32)
+        later, some_fresh = np.zeros((h, lanes), np.float32), fresh.any(axis=1).tolist()
         for t in reversed(range(steps)):
-            z, r, rs, n = kept[t]
-            before = befores[t]
-            d = d_states[t] + later
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            drs = dn @ p["Un"].T
-            dr = drs * before * r * (1 - r)
-            d_gates[t, :, :h], d_gates[t, :, h : 2 * h], d_gates[t, :, 2 * h :] = dz, dr, dn
-            g["Un"] += rs.T @ dn
-            g["U"] += before.T @ d_gates[t, :, : 2 * h]
-            later = d * z + drs * r + d_gates[t, :, : 2 * h] @ p["U"].T
+            d = d_states[t]
+            d += later
+            own = d_gates[t]
+            np.multiply(d, by_n[t], out=own[2 * h :])
+            drs = p["Un"] @ own[2 * h :]
+            np.multiply(d, by_z[t], out=own[:h])
+            np.multiply(drs, by_r[t], out=own[h : 2 * h])
             if t % WINDOW == 0:
                 later[:] = 0  # truncated: a window's gradient stays in it
-            elif some_fresh[t]:
-                later[fresh[t]] = 0
-        all_gates = d_gates.reshape(-1, 3 * h)
-        g["b"][:] = all_gates.sum(axis=0)
-        read = np.flatnonzero(~fresh.ravel())
-        by = np.zeros((len(embedded), 3 * h), np.float32)
-        _add_rows(by, x_kinds.ravel()[read], all_gates[read])
-        g["W"][:] = embedded.T @ by
-        back = by @ p["W"].T
+                continue
+            np.matmul(p["U"], own[: 2 * h], out=later)
+            d *= z[t]
+            drs *= r[t]
+            later += d
+            later += drs
+            if some_fresh[t]:
+                later[:, fresh[t]] = 0
+        all_gates = _turned(d_gates)
+        g["Un"][:] = _turned(unit.rs).reshape(-1, h).T @ all_gates[..., 2 * h :].reshape(-1, h)
+        g["U"][:] = _turned(unit.befores).reshape(-1, h).T @ all_gates[..., : 2 * h].reshape(-1, 2 * h)
+        by = np.zeros((len(embedded) + 1, 3 * h), np.float32)
+        _add_rows(by, kinds.ravel(), all_gates.reshape(-1, 3 * h))
+        g["b"][:] = by.sum(axis=0)
+        g["W"][:] = embedded.T @ by[:-1]
+        back = by[:-1] @ p["W"].T
         g["E"][v.classes :] = back[: v.frequent]
         g["E"][v.shape.fine : v.classes] = back[v.frequent :]
         _add_rows(g["E"], v.class_of[: v.frequent], back[: v.frequent])
-        return grad, loss, state
+        return grad, loss, unit.states[-1].T
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """[steps, lanes, values] as [steps, values, lanes], and back."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
 
+def _with_ones(states: np.ndarray) -> np.ndarray:
+    """Rows with a last value of 1, which biases are multiplied by."""
+    out = np.ones((len(states), states.shape[1] + 1), np.float32)
+    out[:, :-1] = states
+    return out
+
+
+def _blocks(rows: int, columns: int, first: int = 0, values: int = 1 << 18) -> list[tuple[int, int]]:
+    """(start, end) of stretches of rows from `first` on with about so many values, which a core's cache holds."""
+    most = max(64, values // max(columns, 1))
+    return [(a, min(a + most, first + rows)) for a in range(first, first + rows, most)]
 
-def _row_sums(x: np.ndarray) -> np.ndarray:
-    return x @ np.ones(x.shape[1], x.dtype)
+
+def _softmax(logits: np.ndarray, at: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials in place of the logits, their sums by row, those at `at`); shifted by row only where they may be large, as rows are short."""
+    if large:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], np.float32), logits[np.arange(len(at)), at]
 
 
 def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -324,7 +382,7 @@ def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     order = np.argsort(at.astype(np.uint16) if len(out) <= 1 << 16 else at, kind="stable")
     own = at[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    out[own[first]] += np.add.reduceat(rows[order], first, axis=0)
+    out[own[first]] += np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 class Trainer:
@@ -445,30 +503,22 @@ def train_on(net: Network, trainer: Trainer, texts: list[bytes]) -> tuple[float,
     return loss, tokens
 
 
-def _logs(net: Network, table: np.ndarray, lanes: Lanes, state: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(natural logs of the network's part of each token's probability, by place, and the state after)."""
-    h, bias = net.h, net.p["b"]
+def _logs(net: Network, ready: tuple, lanes: Lanes, state: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(natural logs of the network's part of each token's probability, by place, and the state after); ready: the network's table and weights."""
+    table, weights = ready
     out = np.zeros(len(lanes.flat), np.float32)
     for at, on, x, y, fresh in lanes.windows(WINDOW, before, net.v.shape.lanes):
-        gates = table[net.v.kind_of[x]]
-        gates[fresh] = bias
-        some_fresh = fresh.any(axis=1)
-        states = np.empty((len(y), on, h), np.float32)
-        state = state[:on]
-        for t in range(len(y)):
-            if some_fresh[t]:
-                state = np.where(fresh[t][:, None], np.float32(0), state)
-            state, _ = net.step(gates[t], state)
-            states[t] = state
+        unit = net.passed(_turned(table.take(np.where(fresh, len(table) - 1, net.v.kind_of[x]), axis=0)), fresh, state[:on])
+        state = unit.states[-1].T
         yc, yi = _read(net.v, y)
         some = np.flatnonzero(y.ravel() >= 0)
-        out[at.ravel()[some]] = net.outputs(states.reshape(-1, h)[some], yc.ravel()[some], yi.ravel()[some])
+        out[at.ravel()[some]] = net.outputs(_turned(unit.states).reshape(-1, net.h)[some], yc.ravel()[some], yi.ravel()[some], weights)
     return out, state
 
 
 def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: log10 by the network without the counts of words that are not broadcast; tokens; broadcast tokens seen in training; sum of their log10(c + ALPHA)."""
-    v, table = net.v, net.table()
+    v, ready = net.v, (net.table(), net.weights())
     out = np.zeros((4, len(texts)))
 
     def summed(logs: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -480,12 +530,12 @@ def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     short = [i for i, t in enumerate(texts) if len(t) <= LONG]
     if short:
         lanes = Lanes.of(*v.encode([texts[i] for i in short]), v.shape.lanes)
-        logs, _ = _logs(net, table, lanes, np.zeros((len(lanes.ends), net.h), np.float32))
+        logs, _ = _logs(net, ready, lanes, np.zeros((len(lanes.ends), net.h), np.float32))
         out[:, short] = summed(logs[lanes.cells], lanes.flat[lanes.cells], lanes.sizes)
     for i in (i for i, t in enumerate(texts) if len(t) > LONG):
         state, before = np.zeros((1, net.h), np.float32), -1
         for own in v.encode_long(texts[i]):
-            logs, state = _logs(net, table, Lanes.piece(own, before < 0), state, max(before, 0))
+            logs, state = _logs(net, ready, Lanes.piece(own, before < 0), state, max(before, 0))
             out[:, i] += summed(logs, own, np.array([len(own)]))[:, 0]
             before = int(own[-1])
     return out[0], out[1].astype(np.int64), out[2], out[3]
