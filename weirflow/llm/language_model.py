@@ -50,7 +50,7 @@ ALPHA = 0.1
 #: Weights of a row, where the weights of shards are averaged, and shards averaged at a time.
 BLOCK, FAN = 16_384, 64
 #: Training tokens of a shard, about; bytes of texts that are read side by side; and those from which a text is read in pieces.
-SHARD, SIDE, LONG = 1_000_000, 16_000_000, 4_000_000
+SHARD, SIDE, LONG = 4_000_000, 16_000_000, 4_000_000
 
 
 @dataclass
@@ -612,7 +612,7 @@ def train(docs: DataFrame, training, v: Vocabulary, warm_rows: int = 400, warm_b
         return pa.table({"k": group.column("k")[:1], "s": group.column("s")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary()), "w": pa.array([int(w.sum())], pa.int64())})
 
     schema = "k long, s long, x binary, w long"
-    dealt = rows.withColumn("s", F.pmod("_row", F.lit(shards))).repartition(shards, "s").sortWithinPartitions("s", "_row", "_text").select("s", "_text")
+    dealt = rows.withColumn("s", F.pmod("_row", F.lit(shards))).repartitionById(shards, F.col("s").cast("int")).sortWithinPartitions("_row", "_text").select("s", "_text")
     parts = written(dealt.mapInArrow(tidied("language model", run), schema), "weights")
     # Some shards at a time, so that no task holds more than FAN blocks, however many shards there are.
     while shards > FAN:
