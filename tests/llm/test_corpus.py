@@ -587,3 +587,17 @@ def test_components_by_either_way(spark):
     links = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
     assert sorted(map(tuple, jaccard.components(links).collect())) == sorted(map(tuple, jaccard.components(links, few=0).collect()))
     assert jaccard.components(links.where("a < 0")).collect() == [] == jaccard.components(links.where("a < 0"), few=0).collect()
+
+
+def test_long_texts_are_split_in_pieces(monkeypatch):
+    texts = [b"", b"  a  B a\x0b", "É é b\x85c".encode(), b"one two " * 50 + b"end", b"x" * 300, b"\n"]
+    for long in (1 << 30, 20, 1):
+        monkeypatch.setattr(language_model, "LONG", long)
+        got = Counter()
+        for which, own in language_model._portions(texts):
+            values, firsts = language_model._split(own)
+            for i, n in zip(which.tolist(), np.diff(firsts).tolist(), strict=True):
+                got.update((i, w.as_buffer().to_pybytes()) for w in values[:n])
+                values = values[n:]
+        got = Counter({k: n for k, n in got.items() if k[1]})
+        assert got == Counter((i, w) for i, t in enumerate(texts) for w in t.lower().split())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weirflow.shared import fresh_path, shared_dir, ship
 
-__all__ = ["dropped", "fits", "hold", "joined_once", "raw_texts", "shared_dir", "ship", "strings", "text_of", "tidied", "word_runs", "words", "written"]
+__all__ = ["dropped", "fits", "hold", "joined_once", "raw_texts", "shared_dir", "ship", "strings", "text_of", "text_runs", "tidied", "word_runs", "words", "written"]
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -21,16 +21,21 @@ def words(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def word_runs(data: bytes, most: int = 4_000_000) -> Iterator[list[bytes]]:
-    """The words of a text in turn, in lists of about `most` bytes of text, so that a text of any length needs bounded memory."""
+def text_runs(data: bytes, most: int = 4_000_000) -> Iterator[bytes]:
+    """A text in turn in pieces of about `most` bytes that end where words do, so that a text of any length needs bounded memory."""
     at = 0
     while len(data) - at > most:
         cut = at + most
         while cut < len(data) and data[cut] not in _SPACE:
             cut += 1
-        yield words(data[at:cut])
+        yield data[at:cut]
         at = cut
-    yield words(data[at:])
+    yield data[at:]
+
+
+def word_runs(data: bytes, most: int = 4_000_000) -> Iterator[list[bytes]]:
+    """The words of a text in turn, in lists of about `most` bytes of text."""
+    return map(words, text_runs(data, most))
 
 
 _HELD: dict[str, object] = {}

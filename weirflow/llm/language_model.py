@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import raw_texts, ship, text_of, tidied, word_runs, written
+from weirflow.llm.common import raw_texts, ship, text_of, text_runs, tidied, word_runs, written
 
 #: The token that ends a document; words have no white space.
 END = b"\n"
@@ -79,28 +79,37 @@ class Shape:
 
 
 # -- counts ----------------------------------------------------------------------
-def token_counts(docs: DataFrame, training, text_col: str = "text", held: int = 300_000) -> DataFrame:
-    """(token, n) of the documents for which `training` holds; a partition keeps at most `held` tokens before it passes sums on."""
-    ship(docs.sparkSession)
+def _split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in turn, as words() gives them, with empty strings where white space stands at either end; and where each text's begin."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    return lists.values, lists.offsets.to_numpy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
 
-        counts: Counter[bytes] = Counter()
+def _portions(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(which texts, their bytes): all texts of at most LONG bytes at once, then the longer ones in pieces."""
+    short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+    if short:
+        yield np.array(short), [texts[i] for i in short]
+    for i, text in enumerate(texts):
+        if len(text) > LONG:
+            yield from ((np.array([i]), [piece]) for piece in text_runs(text, LONG))
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
+def token_counts(docs: DataFrame, training, text_col: str = "text") -> DataFrame:
+    """(token, n) of the documents for which `training` holds; about SIDE bytes of text are counted before sums are passed on."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ends = ["token", "n"], 0
         for batch in batches:
-            for text in raw_texts(batch.column(0)):
-                for own in word_runs(text):
-                    counts.update(own)
-                    if len(counts) > held:
-                        yield out()
-                        counts.clear()
-                counts[END] += 1
-        if counts:
-            yield out()
+            ends += batch.num_rows
+            for _, texts in _groups(batch, 0):
+                for _, own in _portions(texts):
+                    counts = pc.value_counts(_split(own)[0])
+                    found = pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=names)
+                    yield found.filter(pc.greater(pc.binary_length(counts.field(0)), 0))
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END.decode()]), pa.array([ends], pa.int64())], names=names)
 
     return docs.where(training).select(text_of(text_col).alias("_text")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -139,10 +148,10 @@ class Vocabulary:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all tokens in turn (the last place: not broadcast), and the number of tokens of each text; words as words() gives them."""
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
-        own = pc.binary_length(lists.values).to_numpy() > 0  # white space at either end leaves empty strings
-        sizes = np.diff(np.concatenate([[0], np.cumsum(own)])[lists.offsets.to_numpy()]) + 1
-        places = pc.fill_null(pc.index_in(lists.values, self.tokens.view(pa.string())), len(self.index)).to_numpy()
+        values, firsts = _split(texts)
+        own = pc.binary_length(values).to_numpy() > 0
+        sizes = np.diff(np.concatenate([[0], np.cumsum(own)])[firsts]) + 1
+        places = pc.fill_null(pc.index_in(values, self.tokens.view(pa.string())), len(self.index)).to_numpy()
         out, ends = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - 1
         inside = np.ones(len(out), bool)
         inside[ends] = False
@@ -646,19 +655,17 @@ def scored(docs: DataFrame, training, shape: Shape | None = None, id_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))], names=["row", id_col, "n_tokens", "head_known", "head_base", "head_score"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value[0].index
+        known = sent.value[0].tokens.view(pa.string())
         for batch in batches:
             for part, texts in _groups(batch, 1):
-                tokens, times, at = [], [], []
-                for i, text in enumerate(texts):
-                    own: dict[bytes, int] = {}
-                    for run_of_words in word_runs(text):
-                        for w in [w for w in run_of_words if w not in index]:
-                            own[w] = own.get(w, 0) + 1
-                    tokens += own
-                    times += own.values()
-                    at += [i] * len(own)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], names=["row", "token", "times"])
+                for which, own in _portions(texts):
+                    values, firsts = _split(own)
+                    other = pc.and_(pc.is_null(pc.index_in(values, known)), pc.greater(pc.binary_length(values), 0))
+                    coded = values.filter(other).dictionary_encode()
+                    at = np.repeat(which, np.diff(firsts))[other.to_numpy(zero_copy_only=False)]
+                    pairs, times = np.unique(at * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+                    at, code = np.divmod(pairs, max(len(coded.dictionary), 1))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), coded.dictionary.take(pa.array(code)), pa.array(times.astype(np.int32))], names=["row", "token", "times"])
 
     summary = rows.mapInArrow(tidied("language model", head), f"row long, `{id_col}` {kind}, n_tokens long, head_known long, head_base double, head_score double")
     tail = rows.select("row", "_text").mapInArrow(tidied("language model", rest), "row long, token string, times int")
