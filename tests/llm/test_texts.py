@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 import zlib
 
 import pytest
@@ -108,6 +109,23 @@ def test_decoding_of_any_ids(library):
         assert model.decode(ids) == library.decode(ids), ids
 
 
+def test_caches_forget_what_is_not_asked_for(library, monkeypatch):
+    """Caches are bounded in memory (by rough bytes of an entry), words that come again and again stay, and ids are the same."""
+    with open(piece_model_path(), "rb") as f:
+        data = f.read()
+    small, rng, made = pieces.PieceModel(data, cache=40), random.Random(6), Counter()
+    unit = small._unit
+    monkeypatch.setattr(small, "_unit", lambda e, w: made.update([w]) or unit(e, w))
+    for _ in range(300):
+        text = "often " + "".join(rng.choice("abcdeé") for _ in range(7))
+        assert small.round_trip(text)[1] == " ".join(map(str, library.encode(text, add_bos=False, add_eos=True)))
+    assert made["often"] == 1
+    for kept in (small._words, small._cuts, small._pairs):
+        assert 0 < len(kept.new) <= kept.most and len(kept.old) <= kept.most
+    usual = pieces.PieceModel(data)
+    assert 2 * (330 * usual._words.most + 250 * usual._cuts.most + 110 * usual._pairs.most) < 300e6
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_pieces_of_documents(spark, library, extra):
     docs = cases.documents(spark, extra)

@@ -10,8 +10,8 @@ all compatible is the one that merging the whole text gives.
 
 Texts are cut at places that no piece crosses, which is proved on the loaded
 vocabulary: before each word mark, and around characters that have no piece of
-their own (they are spelled with byte pieces). Encodings of cuts are kept in a
-cache of bounded size. Runs of word marks, whose pieces all share one score, are
+their own (they are spelled with byte pieces). Encodings of cuts are kept in
+caches of bounded size, which forget what wasn't asked for lately. Runs of word marks, whose pieces all share one score, are
 merged directly, left to right.
 
 Nulls are encoded as empty texts; an empty text gives the end id alone. Texts may
@@ -64,10 +64,32 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         i += size
 
 
+class Recent:
+    """Values by key, in two generations: as the newer reaches `most`, it becomes the older, and the one before is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        """The value, None if it isn't kept."""
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class PieceModel:
-    """A merge-type model read from its file: encode(text) and decode(ids)."""
+    """A merge-type model read from its file: encode(text) and decode(ids).
+
+    cache: pairs of pieces in a generation; there are half as many words, and a quarter as many cuts.
+    """
 
-    def __init__(self, data: bytes, cache: int = 1_000_000):
+    def __init__(self, data: bytes, cache: int = 400_000):
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         self.scores: list[float] = []
@@ -90,6 +112,8 @@ class PieceModel:
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.byte_of = {i: b for b, i in self.bytes_ids.items()}
+        # What a piece decodes to; None: a byte, which is read with its neighbours.
+        self._shown = [{UNKNOWN: " ⁇ ", CONTROL: "", BYTE: None}.get(k, p.replace(MARK, " ")) for p, k in zip(self.pieces, self.kinds, strict=True)]
         if any(MARK in p.lstrip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p in self.ids):
             raise ValueError("a piece crosses the start of a word; texts can't be cut there")
         runs = [p for p in self.ids if len(p) > 1 and not p.strip(MARK)]
@@ -97,11 +121,9 @@ class PieceModel:
         if any(self.scores[i] <= low for p, i in self.ids.items() if len(p) > 1 and p not in runs):
             raise ValueError("runs of word marks must merge after everything else")
         self.chars = {p for p in self.ids if len(p) == 1}
-        self.limit = cache
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._cuts: dict[str, tuple[int, ...]] = {}
+        self._pairs, self._cuts, self._words = Recent(cache), Recent(cache // 4), Recent(cache // 2)
+        self._whole: dict[int, bool] = {}
         self._runs: dict[int, tuple[int, ...]] = {}
-        self._words: dict[str, tuple[str, int, str]] = {}
         import ahocorasick
 
         self._automaton = ahocorasick.Automaton()
@@ -140,13 +162,11 @@ class PieceModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two pieces, side by side, stay as they are when re-merged."""
-        key = (left, right)
-        found = self._pairs.get(key)
-        if found is None:
+        key = left * len(self.pieces) + right
+        found = self._pairs.new.get(key)
+        if found is None and (found := self._pairs.get(key)) is None:
             found = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
-            if len(self._pairs) >= 2 * self.limit:
-                self._pairs.clear()
-            self._pairs[key] = found
+            self._pairs.put(key, found)
         return found
 
     # -- encoding ----------------------------------------------------------
@@ -184,19 +204,17 @@ class PieceModel:
 
     def _stands(self, piece: int) -> bool:
         """Whether merging the piece's own characters gives the piece."""
-        found = self._pairs.get((-1, piece))
+        found = self._whole.get(piece)
         if found is None:
-            found = self._pairs[-1, piece] = self.merge(self.pieces[piece]) == [piece]
+            found = self._whole[piece] = self.merge(self.pieces[piece]) == [piece]
         return found
 
     def _cut(self, text: str) -> tuple[int, ...]:
-        found = self._cuts.get(text)
-        if found is None:
+        found = self._cuts.new.get(text)
+        if found is None and (found := self._cuts.get(text)) is None:
             found = self.backtrack(text)
             if len(text) <= 64:
-                if len(self._cuts) >= self.limit // 4:
-                    self._cuts.clear()
-                self._cuts[text] = found
+                self._cuts.put(text, found)
         return found
 
     def _word(self, word: str) -> tuple[int, ...]:
@@ -265,6 +283,9 @@ class PieceModel:
     # -- decoding ----------------------------------------------------------
     def _plain(self, ids: tuple[int, ...] | list[int]) -> str:
         """The text of ids, marks as spaces, bytes joined to characters; the leading space stays."""
+        shown = [self._shown[i] for i in ids]
+        if None not in shown:
+            return "".join(shown)
         out: list[str] = []
         pending = bytearray()
 
@@ -278,11 +299,7 @@ class PieceModel:
                 pending.append(b)
                 continue
             flush()
-            kind = self.kinds[i]
-            if kind == UNKNOWN:
-                out.append(" ⁇ ")
-            elif kind != CONTROL:
-                out.append(self.pieces[i].replace(MARK, " "))
+            out.append(self._shown[i])
         flush()
         return "".join(out)
 
@@ -301,17 +318,18 @@ class PieceModel:
         """(number of ids, ids in decimal joined by spaces, decoded text); no byte piece's character spans two cuts."""
         if not text:
             return 1, str(self.end_id), ""
-        cache = self._words
+        cache, newest = self._words, self._words.new.get
         if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
             found = []
             for w in text.split(" "):
-                x = cache.get(w)
+                x = newest(w)
                 if x is None:
-                    x = self._unit(0, w)
-                    if len(w) <= 48:
-                        if len(cache) >= self.limit:
-                            cache.clear()
-                        cache[w] = x
+                    x = cache.get(w)
+                    if x is None:
+                        x = self._unit(0, w)
+                        if len(w) <= 48:
+                            cache.put(w, x)
+                    newest = cache.new.get
                 found.append(x)
         else:
             found = [self._unit(e, w) for e, w in self._units(text)]
