@@ -7,6 +7,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import functions as F
 
 from tests.llm import cases
-from weirflow.llm import jaccard, language_model, licenses, pii, quality, repeats
+from weirflow.llm import common, jaccard, language_model, licenses, pii, quality, repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,6 +103,35 @@ def test_dense_families(spark):
         assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs, **options).collect()} == want
 
 
+def test_shingles_shared_by_chance_send_no_sets(spark, monkeypatch):
+    """Texts that share one or two leading shingles with others, none of which links: sets of near copies only are sent."""
+    words = lambda a, n: [f"{a}w{i}" for i in range(n)]
+    passages = [words(f"p{i}", 5 + i % 2) for i in range(30)]
+    texts = [" ".join([*words(f"d{i}", 6), *passages[i], *words(f"e{i}", 4), *passages[(i + 1) % 30]]) for i in range(30)]
+    base = words("near", 60)
+    texts += [" ".join(base), " ".join([*base[3:], "tail"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent, sets_of = [], jaccard.sets_of
+    monkeypatch.setattr(jaccard, "sets_of", lambda *args, **more: sent.append(args[2].count()) or sets_of(*args, **more))
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
+    assert got == dict(enumerate(cases.components(texts))) and got[31] == 30
+    assert sent == [2]
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """What a written table was shuffled by isn't kept on disk."""
+    cleaning = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, disk = spark.conf.get(cleaning, "false"), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x.rpartition("/")[2] for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    old = held()
+    df = common.written(spark.range(5000).groupBy((F.col("id") % 97).alias("k")).count(), "probe")
+    for _ in range(50):
+        if not held() - old:
+            break
+        time.sleep(0.2)
+    assert not held() - old and df.count() == 97 and spark.conf.get(cleaning, "false") == before
+
+
 def test_kept_documents(spark):
     docs = cases.documents(spark, extra=True)
     kept = jaccard.kept(docs)

@@ -5,9 +5,13 @@ distance 1 from each other, where no pivot can part them; so the first regions c
 from shared shingles, and pivots, Voronoi regions, windows and recursion work inside:
 
 1. Documents with equal sets form a class; the join runs between classes.
-2. Two sets that link share one shingle at least among the first
-   n - ceil(0.75 n) + 1 shingles of each, in any fixed order of all shingles.
-   Each of these spans a region, whose pivot is its smallest class; regions of one pivot
+2. Two sets that link share SHARED = 3 shingles at least among the first
+   n - ceil(0.75 n) + 3 shingles of each, in any fixed order of all shingles (sets of
+   under 3 link with no other). A shingle that few sets lead with gives their pairs, and
+   the smaller class of a pair with 3 of them is a pivot whose cell has both: a pair
+   that shares one or two by chance, of which there are more and more as a corpus
+   grows, sends no set. Each other shingle
+   spans a region, whose pivot is its smallest class; regions of one pivot
    make its cell, and a class is in the cell of each of its regions. The order puts
    shingles that many documents share last (a hint from counts over all documents; any
    order is exact). Of shingles that are counted often the pivots are found first, so
@@ -51,6 +55,10 @@ SIZE, PERCENT = 5, 75
 HEAVY = 200_000
 #: Different sets of slices that make a shingle hot; those of less, or not among HEAVY, have few rows of any task.
 HOT = 1_000
+#: Leading shingles that sets that link share at least: no set of fewer members links with another.
+SHARED = 3
+#: Rows of a shingle that are taken as pairs; shingles of more span a region.
+PAIRED = 8
 #: Pivots of a region that is cut, at most, and levels of the recursion.
 PIVOTS, LEVELS = 8, 12
 #: Shingles of the sets of a cell (and members, by 256 each) that one task joins, at most; also the size of blocks, doubled.
@@ -249,7 +257,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, ranks: np.ndarray, hot: np.ndar
                     if not n or (k := s.key(own)) in seen:
                         continue
                     seen.add(k)
-                    lead = n - -(-PERCENT * n // 100) + 1
+                    lead = n - -(-PERCENT * n // 100) + SHARED
                     at, hit = found(common, own)
                     if hit.any():
                         own = own[np.argsort(np.where(hit, rank[at], 0), kind="stable")]
@@ -628,6 +636,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW_LINK
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root"))).groupBy("key").agg(F.min("root").alias("root"))
 
 
+def members_of(led: DataFrame, paired: int = PAIRED) -> DataFrame:
+    """(cell, key, n): each class once in each of its cells. led: token, cell, key, n of leading shingles.
+
+    Sets that link share SHARED leading shingles at least. If one of them has a cell, or more than `paired` rows, they meet in
+    its cell; else all have few rows, and the pair is found SHARED times among the pairs of these. Copies that are
+    counted twice only bring more pairs.
+    """
+    token = Window.partitionBy("token").orderBy("key")
+    every = token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    led = led.withColumn("pivot", F.min("key").over(every)).withColumn("last", F.max("key").over(every)).withColumn("rows", F.count(F.lit(1)).over(every))
+    led = led.where("cell IS NOT NULL OR pivot != last")
+    before = F.array(*[F.struct(F.lag("key", i).over(token).alias("cell"), F.lag("n", i).over(token).alias("size"), F.lit(1).alias("times")) for i in range(1, paired)])
+    alone = F.array(F.struct(F.coalesce("cell", "pivot").alias("cell"), F.lit(None).cast("int").alias("size"), F.lit(SHARED).alias("times")))
+    is_pair = F.col("cell").isNull() & (F.col("rows") <= paired)
+    led = led.withColumn("before", before).select("key", "n", F.explode(F.when(is_pair, F.filter("before", lambda x: x["cell"] != F.col("key"))).otherwise(alone)).alias("at"))
+    found = written(led.groupBy("at.cell", "key").agg(F.max("n").alias("n"), F.max("at.size").alias("size"), F.sum("at.times").alias("times")).where(F.col("times") >= SHARED), "met")
+    both = found.select("cell", "key", "n").unionByName(found.where("size IS NOT NULL").select("cell", F.col("cell").alias("key"), F.col("size").alias("n")))
+    return both.groupBy("cell", "key").agg(F.max("n").alias("n"))
+
+
 def class_links(docs: DataFrame, surveyed: DataFrame, heavy: int = HEAVY, cell: int = CELL, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(links, roots): links (a, b) that connect classes, and the component of every linked class."""
     classes = surveyed.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg(F.min("row").alias("doc"))
@@ -646,11 +674,8 @@ def class_links(docs: DataFrame, surveyed: DataFrame, heavy: int = HEAVY, cell:
         cells = named[by], np.array(least.column("cell").to_pylist(), np.int64)[by]
 
     # Shingles that aren't hot have at most `hot` rows, two of each slice, or one of `heavy` of all, so a window takes them.
-    token = Window.partitionBy("token")
     led = prefixes(docs, tokens, ranks, often, cells, text_col) if cells is not None else prefixes(docs, tokens, ranks, text_col=text_col)
-    led = led.withColumn("pivot", F.min("key").over(token)).withColumn("last", F.max("key").over(token)).where("cell IS NOT NULL OR pivot != last")
-    # Each class once in each of its cells.
-    members = written(led.groupBy(F.coalesce("cell", "pivot").alias("cell"), "key").agg(F.first("n").alias("n")), "cells")
+    members = written(members_of(led), "cells")
     sets = sets_of(docs, classes, members.select("key").distinct(), id_col=id_col, text_col=text_col)
     large = written(members.groupBy("cell").agg(F.sum(F.col("n") + 256).alias("weight")).where(F.col("weight") > cell).select("cell"), "large")
 
