@@ -411,6 +411,29 @@ def test_gradient_of_the_network():
         assert abs((up - down) / 2e-2 / (y >= 0).sum() - gradient[k]) < 2e-3
 
 
+def test_a_window_costs_what_its_tokens_do():
+    import tracemalloc
+
+    n = 60_000
+    counts = [2 * n - k for k in range(n)]
+    v = language_model.Vocabulary([b"w%d" % k for k in range(n)], counts, sum(counts) + 8, n + 1, language_model.Shape(frequent=n))
+    net = language_model.Network.fresh(v)
+    _, on, x, y, fresh = next(language_model.Lanes.of(*v.encode([b"w5 w70 w5 w59999"] * 8), 8).windows(language_model.WINDOW))
+    tracemalloc.start()
+    gradient, _, _ = net.window_gradient(v.kind_of[x], *language_model._read(v, y), fresh, y >= 0, np.zeros((on, net.h), np.float32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Besides the gradient, what each word reads is held, but no gates, weights or sums of all words.
+    assert peak < gradient.nbytes + 2.5 * net.embedded().nbytes
+    g = language_model.Network(v, gradient).p
+    assert set(np.flatnonzero(g["E"][v.classes :].any(axis=1))) == {5, 70, n - 1}  # the words that are read
+    trainer = language_model.Trainer(net)
+    trainer.step(gradient)
+    m, s = 0.1 * gradient.astype(float), 0.01 * gradient.astype(float) ** 2
+    norm = max(1.0, float(np.sqrt((gradient.astype(float) ** 2).sum())))
+    assert np.allclose(trainer.m, m / norm, rtol=1e-4, atol=1e-9) and np.allclose(trainer.s, s / norm**2, rtol=1e-4, atol=1e-12)
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     shape = language_model.Shape(hidden=4, frequent=3, fine=2, coarse=3, lanes=4)
     tokens, counts = [b"a", b"b", language_model.END, b"c", b"d"], [9, 8, 6, 3, 2]

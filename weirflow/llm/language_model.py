@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -171,12 +172,11 @@ class Vocabulary:
 # -- the network -----------------------------------------------------------------
 @dataclass
 class Passed:
-    """What the unit went through, [steps, values, lanes]: the states before and after each step, both sigmoid gates, the reset states and the proposed ones."""
+    """What the unit went through, [steps, values, lanes]: what its gates read (the state before a step, the input, 1, the reset state), the states after, both sigmoid gates and the proposed states."""
 
-    befores: np.ndarray
+    read: np.ndarray
     states: np.ndarray
     zr: np.ndarray
-    rs: np.ndarray
     n: np.ndarray
 
 
@@ -187,16 +187,21 @@ class Network:
         v, s = vocabulary, vocabulary.shape
         h, c, n = s.hidden, vocabulary.classes, v.frequent
         self.v, self.h = v, h
-        shapes = {"E": (c + n, h), "W": (h, 3 * h), "U": (h, 2 * h), "Un": (h, h), "b": (3 * h,), "C": (h, c), "cb": (c,), "O": (n, h), "ob": (n,)}
+        # Biases lie beside what they are added to: "C_cb" has them in its last row, "O_ob" in its last column.
+        shapes = {"E": (c + n, h), "W": (h, 3 * h), "U": (h, 2 * h), "Un": (h, h), "b": (3 * h,), "C_cb": (h + 1, c), "O_ob": (n, h + 1)}
         size = sum(int(np.prod(x)) for x in shapes.values())
         if flat is None:
             flat = np.random.default_rng(seed).normal(0, 0.15, size).astype(np.float32)
+            own = flat[size - n * (h + 1) :]
+            own[:] = np.concatenate([own[: n * h].reshape(n, h), own[n * h :, None]], axis=1).ravel()
         self.flat = np.ascontiguousarray(flat, np.float32)
         self.p, at = {}, 0
         for name, shape in shapes.items():
             k = int(np.prod(shape))
             self.p[name] = self.flat[at : at + k].reshape(shape)
             at += k
+        both, own = self.p["C_cb"], self.p["O_ob"]
+        self.p |= {"C": both[:h], "cb": both[h], "O": own[:, :h], "ob": own[:, h]}
 
     @classmethod
     def fresh(cls, v: Vocabulary) -> Network:
@@ -210,41 +215,37 @@ class Network:
 
     def step(self, inputs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, Passed]:
         """One step of the unit: inputs are rows of E already multiplied by W, plus b; a state a row."""
-        gates = inputs.T[None].astype(np.float32)
-        gates[:, : 2 * self.h] *= 0.5
-        passed = self.passed(gates, np.zeros((1, len(inputs)), bool), state)
+        passed = self.passed(inputs[None], np.zeros((1, len(inputs)), bool), state, (np.eye(3 * self.h, dtype=np.float32), np.zeros(3 * self.h, np.float32)))
         return passed.states[0].T, passed
 
     def embedded(self) -> np.ndarray:
-        """What each kind of input reads: a frequent word its class's row and its own, the others their class's row."""
+        """What each kind of input reads: a frequent word its class's row and its own, the others their class's row; zeros, in the last row, where a document begins."""
         v, e = self.v, self.p["E"]
-        return np.concatenate([e[v.class_of[: v.frequent]] + e[v.classes :], e[v.shape.fine : v.classes]])
-
-    def table(self, embedded: np.ndarray | None = None) -> np.ndarray:
-        """What each kind of input puts into the gates, and in the last row a document's begin: sigmoids are taken as (1 + tanh(x / 2)) / 2, so theirs is halved."""
-        rows = np.concatenate([(self.embedded() if embedded is None else embedded) @ self.p["W"] + self.p["b"], self.p["b"][None]])
-        rows[:, : 2 * self.h] *= 0.5
-        return rows
-
-    def passed(self, gates: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> Passed:
-        """The unit over all steps; gates are [steps, 3 * hidden, lanes], which keeps lanes together for arithmetic by element."""
-        steps, h, lanes = len(gates), self.h, gates.shape[2]
-        out = Passed(*(np.empty((steps, k, lanes), np.float32) for k in (h, h, 2 * h, h, h)))
-        u, un = np.ascontiguousarray(0.5 * self.p["U"].T), np.ascontiguousarray(self.p["Un"].T)
+        return np.concatenate([e[v.class_of[: v.frequent]] + e[v.classes :], e[v.shape.fine : v.classes], np.zeros((1, self.h), np.float32)])
+
+    def passed(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, weights: tuple[np.ndarray, np.ndarray] | None = None) -> Passed:
+        """The unit over all steps; inputs are [steps, lanes, values], which weights (W and b) take to the gates. Inside, lanes lie together for arithmetic by element.
+
+        Sigmoids are taken as (1 + tanh(x / 2)) / 2, so what goes into them is halved.
+        """
+        (w, b), (steps, lanes, k), h = weights or (self.p["W"], self.p["b"]), inputs.shape, self.h
+        out = Passed(*(np.empty((steps, x, lanes), np.float32) for x in (2 * h + k + 1, h, 2 * h, h)))
+        out.read[:, h : h + k], out.read[:, h + k] = inputs.transpose(0, 2, 1), 1
+        by_zr = np.ascontiguousarray(0.5 * np.concatenate([self.p["U"], w[:, : 2 * h], b[None, : 2 * h]]).T)
+        by_n = np.ascontiguousarray(np.concatenate([w[:, 2 * h :], b[None, 2 * h :], self.p["Un"]]).T)
         state, some_fresh = np.ascontiguousarray(state.T, np.float32), fresh.any(axis=1).tolist()
         for t in range(steps):
-            before, zr, rs, n, after = out.befores[t], out.zr[t], out.rs[t], out.n[t], out.states[t]
+            read, zr, n, after = out.read[t], out.zr[t], out.n[t], out.states[t]
+            before = read[:h]
             before[:] = state
             if some_fresh[t]:
                 before[:, fresh[t]] = 0
-            np.matmul(u, before, out=zr)
-            zr += gates[t, : 2 * h]
+            np.matmul(by_zr, read[: h + k + 1], out=zr)
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
-            np.multiply(zr[h:], before, out=rs)
-            np.matmul(un, rs, out=n)
-            n += gates[t, 2 * h :]
+            np.multiply(zr[h:], before, out=read[h + k + 1 :])
+            np.matmul(by_n, read[h:], out=n)
             np.tanh(n, out=n)
             np.subtract(before, n, out=after)
             after *= zr[:h]
@@ -254,8 +255,10 @@ class Network:
 
     def weights(self) -> tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]]:
         """Of the classes and of the frequent words: weights [hidden + 1, members], the biases in the last row, and whether logits may be too large for exponentials (states lie in -1 to 1)."""
-        found = (np.concatenate([self.p["C"], self.p["cb"][None]]), np.concatenate([self.p["O"].T, self.p["ob"][None]]))
-        return tuple((w, float(np.abs(w).sum(axis=0).max(initial=0)) > 60) for w in found)
+        found = self.p["C_cb"], self.p["O_ob"].T
+        # Most often the largest weight alone tells that no sum of a word's is beyond.
+        top = [len(w) * float(max(w.max(initial=0), -w.min(initial=0))) for w in found]
+        return tuple((w, t > 60 and float(np.abs(w).sum(axis=0).max(initial=0)) > 60) for w, t in zip(found, top, strict=True))
 
     def by_class(self, classes: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
         """Rows `some` by class, and (first row, end, first word, words) of each class among them that has more than one word: a lone word is certain."""
@@ -270,14 +273,14 @@ class Network:
         flat = _with_ones(states)
         out = np.empty(len(flat), np.float32)
         for a, b in _blocks(len(flat), c.shape[1]):
-            own, sums, picked = _softmax(flat[a:b] @ c, classes[a:b], c_large)
+            _, sums, picked, _ = _softmax(flat[a:b] @ c, classes[a:b], c_large)
             out[a:b] = np.log(picked) - np.log(sums)
         order, groups = self.by_class(classes, np.flatnonzero(ids >= 0))
         flat, at = flat.take(order, axis=0), ids[order] - self.v.starts[classes[order]]
         sums, picked = np.ones(len(order), np.float32), np.ones(len(order), np.float32)
         for first, end, a, m in groups:
             for i, j in _blocks(end - first, m, first):
-                _, sums[i:j], picked[i:j] = _softmax(flat[i:j] @ o[:, a : a + m], at[i:j], o_large)
+                _, sums[i:j], picked[i:j], _ = _softmax(flat[i:j] @ o[:, a : a + m], at[i:j], o_large)
         out[order] += np.log(picked) - np.log(sums)
         return out
 
@@ -286,44 +289,40 @@ class Network:
         p, h, v = self.p, self.h, self.v
         steps, lanes = x_kinds.shape
         embedded = self.embedded()
-        kinds = np.where(fresh, len(embedded), x_kinds)
-        unit = self.passed(_turned(self.table(embedded).take(kinds, axis=0)), fresh, state)
+        kinds = np.where(fresh, len(embedded) - 1, x_kinds)
+        unit = self.passed(embedded.take(kinds, axis=0), fresh, state)
         flat, grad = _with_ones(_turned(unit.states).reshape(-1, h)), np.zeros_like(self.flat)
         g = Network(v, grad).p
         yc, yi, w = y_classes.ravel(), y_ids.ravel(), weight.ravel().astype(np.float32)
         scale = np.float32(1 / max(float(w.sum()), 1.0))
         (c, c_large), (o, o_large) = self.weights()
-        d_states, g_c, chances = np.empty((len(flat), h), np.float32), np.zeros_like(c), np.empty(len(flat), np.float32)
+        d_states, chances = np.empty((len(flat), h), np.float32), np.empty(len(flat), np.float32)
         for a, b in _blocks(len(flat), c.shape[1]):
-            own, sums, picked = _softmax(flat[a:b] @ c, yc[a:b], c_large)
+            own, sums, picked, places = _softmax(flat[a:b] @ c, yc[a:b], c_large)
             chances[a:b] = picked / sums
             own *= (w[a:b] * scale / sums)[:, None]
-            own[np.arange(b - a), yc[a:b]] -= w[a:b] * scale
-            g_c += flat[a:b].T @ own
-            d_states[a:b] = own @ p["C"].T
-        g["C"][:], g["cb"][:] = g_c[:h], g_c[h]
+            own.reshape(-1)[places] -= w[a:b] * scale
+            g["C_cb"] += flat[a:b].T @ own
+            np.matmul(own, p["C"].T, out=d_states[a:b])
         loss = -float((np.log(chances + 1e-20) * w).sum())
         order, groups = self.by_class(yc, np.flatnonzero((yi >= 0) & (w > 0)))
         flat, at = flat.take(order, axis=0), yi[order] - v.starts[yc[order]]
-        d_own, chances = np.zeros((len(order), h), np.float32), np.ones(len(order), np.float32)
-        rows = np.arange(max((j - i for i, j, _, _ in groups), default=0))
+        d_own, sums, picked = np.zeros((len(order), h), np.float32), np.ones(len(order), np.float32), np.ones(len(order), np.float32)
+        # Rows of the gradient by logits would be multiplied by scale / sums; the shorter ones that they are multiplied with are.
         for first, end, a, m in groups:
             for i, j in _blocks(end - first, m, first):
-                own, sums, picked = _softmax(flat[i:j] @ o[:, a : a + m], at[i:j], o_large)
-                chances[i:j] = picked / sums
-                own *= (scale / sums)[:, None]
-                own[rows[: j - i], at[i:j]] -= scale
-                back = own.T @ flat[i:j]
-                g["O"][a : a + m] += back[:, :h]
-                g["ob"][a : a + m] += back[:, h]
+                own, sums[i:j], picked[i:j], places = _softmax(flat[i:j] @ o[:, a : a + m], at[i:j], o_large)
+                own.reshape(-1)[places] = picked[i:j] - sums[i:j]
+                g["O_ob"][a : a + m] += own.T @ (flat[i:j] * (scale / sums[i:j])[:, None])
                 np.matmul(own, p["O"][a : a + m], out=d_own[i:j])
-        loss -= float(np.log(chances + 1e-20).sum())
+        loss -= float(np.log(picked / sums + 1e-20).sum())
+        d_own *= (scale / sums)[:, None]
         d_states[order] += d_own
         # Back through the unit; what doesn't depend on later steps is taken for all steps at once.
         d_states = _turned(d_states.reshape(steps, lanes, h))
-        z, r, by_n = unit.zr[:, :h], unit.zr[:, h:], 1 - unit.n * unit.n
+        befores, rs, z, r, by_n = unit.read[:, :h], unit.read[:, 2 * h + 1 :], unit.zr[:, :h], unit.zr[:, h:], 1 - unit.n * unit.n
         by_n *= 1 - z
-        by_z, by_r = (unit.befores - unit.n) * z * (1 - z), unit.rs * (1 - r)
+        by_z, by_r = (befores - unit.n) * z * (1 - z), rs * (1 - r)
         d_gates = np.empty((steps, 3 * h, lanes), np.float32)
         later, some_fresh = np.zeros((h, lanes), np.float32), fresh.any(axis=1).tolist()
         for t in reversed(range(steps)):
@@ -344,17 +343,14 @@ class Network:
             later += drs
             if some_fresh[t]:
                 later[:, fresh[t]] = 0
-        all_gates = _turned(d_gates)
-        g["Un"][:] = _turned(unit.rs).reshape(-1, h).T @ all_gates[..., 2 * h :].reshape(-1, h)
-        g["U"][:] = _turned(unit.befores).reshape(-1, h).T @ all_gates[..., : 2 * h].reshape(-1, 2 * h)
-        by = np.zeros((len(embedded) + 1, 3 * h), np.float32)
-        _add_rows(by, kinds.ravel(), all_gates.reshape(-1, 3 * h))
-        g["b"][:] = by.sum(axis=0)
-        g["W"][:] = embedded.T @ by[:-1]
-        back = by[:-1] @ p["W"].T
-        g["E"][v.classes :] = back[: v.frequent]
-        g["E"][v.shape.fine : v.classes] = back[v.frequent :]
-        _add_rows(g["E"], v.class_of[: v.frequent], back[: v.frequent])
+        # What all gates read is one array, so its products with theirs are the gradients of U, W, b and Un.
+        both = np.matmul(d_gates, unit.read.transpose(0, 2, 1)).sum(axis=0)
+        g["U"][:], g["W"][:], g["b"][:], g["Un"][:] = both[: 2 * h, :h].T, both[:, h : 2 * h].T, both[:, 2 * h], both[2 * h :, 2 * h + 1 :].T
+        found, back = _sums(kinds.ravel(), _turned(np.matmul(p["W"], d_gates)).reshape(-1, h), len(embedded))
+        frequent, coarse = found < v.frequent, (found >= v.frequent) & (found < len(embedded) - 1)
+        g["E"][v.classes + found[frequent]] = back[frequent]
+        g["E"][v.shape.fine + found[coarse] - v.frequent] = back[coarse]
+        _add_rows(g["E"], v.class_of[found[frequent]], back[frequent])
         return grad, loss, unit.states[-1].T
 
 
@@ -376,22 +372,34 @@ def _blocks(rows: int, columns: int, first: int = 0, values: int = 1 << 18) -> l
     return [(a, min(a + most, first + rows)) for a in range(first, first + rows, most)]
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exponentials in place of the logits, their sums by row, those at `at`); shifted by row only where they may be large, as rows are short."""
+def _softmax(logits: np.ndarray, at: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials in place of the logits, their sums by row, those at `at`, and where these lie among all); shifted by row only where they may be large, as rows are short."""
     if large:
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], np.float32), logits[np.arange(len(at)), at]
+    places = np.arange(0, logits.size, logits.shape[1])
+    places += at
+    return logits, logits @ _ones(logits.shape[1]), logits.reshape(-1).take(places), places
 
 
-def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """out[at] += rows, with repeats: sorted, then summed by segment."""
-    if not len(at):
-        return
-    order = np.argsort(at.astype(np.uint16) if len(out) <= 1 << 16 else at, kind="stable")
+@lru_cache(4096)
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def _sums(at: np.ndarray, rows: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different values of `at`, rising, and under `below`; the sum of the rows of each): sorted, then summed by segment."""
+    order = np.argsort(at.astype(np.uint16) if below <= 1 << 16 else at, kind="stable")
     own = at[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    out[own[first]] += np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    return own[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+
+
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """out[at] += rows, with repeats."""
+    if len(at):
+        found, sums = _sums(at, rows, len(out))
+        out[found] += sums
 
 
 class Trainer:
@@ -403,13 +411,25 @@ class Trainer:
     def step(self, gradient: np.ndarray, share: float = 1.0) -> None:
         """share: the window's tokens by those of a full one, so that windows where few lanes go on move the weights as little as they weigh."""
         self.t += 1
-        norm = float(np.sqrt((gradient * gradient).sum()))
-        if norm > 1:
-            gradient = gradient / norm
-        self.m += 0.1 * (gradient - self.m)
-        self.s += 0.01 * (gradient * gradient - self.s)
-        rate = share * self.rate / (1 + self.t / 400) ** 0.5
-        self.net.flat -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8)
+        norm = float(np.sqrt(np.dot(gradient, gradient)))
+        factor = 1 / norm if norm > 1 else 1.0
+        rate, by_m, by_s = share * self.rate / (1 + self.t / 400) ** 0.5, 1 - 0.9**self.t, 1 - 0.99**self.t
+        # Block by block, in place: values stay in a core's cache.
+        for a in range(0, len(gradient), BLOCK):
+            g, m, s = gradient[a : a + BLOCK] * factor, self.m[a : a + BLOCK], self.s[a : a + BLOCK]
+            m *= 0.9
+            s *= 0.99
+            by = g * g
+            by *= 0.01
+            s += by
+            g *= 0.1
+            m += g
+            np.divide(s, by_s, out=by)
+            np.sqrt(by, out=by)
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= rate / by_m
+            self.net.flat[a : a + BLOCK] -= by
 
 
 # -- lanes: documents side by side ---------------------------------------------------
@@ -513,11 +533,11 @@ def train_on(net: Network, trainer: Trainer, texts: list[bytes]) -> tuple[float,
 
 
 def _logs(net: Network, ready: tuple, lanes: Lanes, state: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(natural logs of the network's part of each token's probability, by place, and the state after); ready: the network's table and weights."""
-    table, weights = ready
+    """(natural logs of the network's part of each token's probability, by place, and the state after); ready: what the network's inputs read, and its weights."""
+    embedded, weights = ready
     out = np.zeros(len(lanes.flat), np.float32)
     for at, on, x, y, fresh in lanes.windows(WINDOW, before, net.v.shape.lanes):
-        unit = net.passed(_turned(table.take(np.where(fresh, len(table) - 1, net.v.kind_of[x]), axis=0)), fresh, state[:on])
+        unit = net.passed(embedded.take(np.where(fresh, len(embedded) - 1, net.v.kind_of[x]), axis=0), fresh, state[:on])
         state = unit.states[-1].T
         yc, yi = _read(net.v, y)
         some = np.flatnonzero(y.ravel() >= 0)
@@ -527,7 +547,7 @@ def _logs(net: Network, ready: tuple, lanes: Lanes, state: np.ndarray, before: i
 
 def log10_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: log10 by the network without the counts of words that are not broadcast; tokens; broadcast tokens seen in training; sum of their log10(c + ALPHA)."""
-    v, ready = net.v, (net.table(), net.weights())
+    v, ready = net.v, (net.embedded(), net.weights())
     out = np.zeros((4, len(texts)))
 
     def summed(logs: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
